@@ -14,6 +14,7 @@ from fleetweave.plans import frontier_targets, monitor, sharing_round
 from fleetweave.sinks import rejects, reports
 from fleetweave.sources import fixtures as fx
 from fleetweave.sources import graphs, messages
+from fleetweave.session import cut_lineage
 from fleetweave.streaming import batches, stateful, stateless
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -643,15 +644,21 @@ def packed_graphs(spark, path):
     return knowledge.pack_graphs(*messages.explode_graphs(good_shares(spark, path)))
 
 
+def trade_graphs(spark, path) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges, written out once: compression reads them several times, as it would stored tables."""
+    edges = cut_lineage(fx.edges(spark, path))
+    return cut_lineage(fx.nodes_of(edges, spark, path)), edges
+
+
 @query
 def compressed_nodes(spark, path):
-    marked = knowledge.keep_top(fx.nodes(spark, path), fx.edges(spark, path))
+    marked = knowledge.keep_top(*trade_graphs(spark, path))
     return marked.select("graph_id", "node_id", "degree", "score", "rank", "kept")
 
 
 @query
 def compression_stats(spark, path):
-    return rounded(knowledge.compress(fx.nodes(spark, path), fx.edges(spark, path))[2], "node_retention")
+    return rounded(knowledge.compress(*trade_graphs(spark, path))[2], "node_retention")
 
 
 @query
@@ -687,7 +694,7 @@ def round_inputs(spark, path):
                                                  ((day * 10 + F.col("robot_id")) % 25).cast("long").alias("graph_id"))
     at = fx.fleet(spark, path).select("run_id").distinct().withColumn(
         "ts", F.to_timestamp("run_id") + F.expr("INTERVAL 12 HOURS"))
-    return fx.world(spark, path), agents, fx.nodes(spark, path), fx.edges(spark, path), at
+    return fx.world(spark, path), agents, *trade_graphs(spark, path), at
 
 
 @query

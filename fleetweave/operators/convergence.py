@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetweave.operators import scan
+from fleetweave.session import cut_lineage
 
 RUN = ["run_id"]
 
@@ -29,7 +30,7 @@ def with_rise(cycles: DataFrame) -> DataFrame:
 def with_stability(cycles: DataFrame, eps: float = 0.005) -> DataFrame:
     """``with_rise`` plus ``stable``: readings in a row that moved by less than ``eps``; any other resets it to 0."""
     calm = F.col("has_prev") & (F.abs("delta") < eps)
-    reset = scan.running(_steps(cycles), RUN, ["cycle"], _chunks(), last={"_reset": F.when(~calm, F.col("_pos"))})
+    reset = scan.running(cut_lineage(_steps(cycles)), RUN, ["cycle"], _chunks(), last={"_reset": F.when(~calm, F.col("_pos"))})
     return reset.withColumn("stable", (F.col("_pos") - F.col("_reset")).cast("long")).drop("_pos", "_reset")
 
 
@@ -38,7 +39,8 @@ def convergence(cycles: DataFrame, min_rise: float = 0.03, eps: float = 0.005, s
 
     A run converges once it has merges, has risen by at least ``min_rise`` and stayed stable for ``stable_cycles``.
     """
-    steady = with_stability(cycles, eps)
+    # One row per run and cycle: writing it once is cheaper than repeating the scans behind it.
+    steady = cut_lineage(with_stability(cycles, eps))
     hit = (F.col("merges") > 0) & (F.col("rise") >= min_rise) & (F.col("stable") >= stable_cycles)
     marked = steady.withColumn("_hit", F.when(hit, F.lit(1)).otherwise(F.lit(0)))
     latched = scan.running(marked, RUN, ["cycle"], _chunks(), total={"_hits": F.col("_hit").cast("long")})

@@ -1,7 +1,7 @@
 """Motion analytics: stuck robots, escapes, behaviour and frozen formations."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetweave.functions.geometry import distance
@@ -37,23 +37,25 @@ def stuck(samples: DataFrame, ticks: DataFrame, odom: DataFrame, window_sec: flo
     clock = parts[0]
     for part in parts[1:]:
         clock = clock.unionByName(part, allowMissingColumns=True)
-    order, chunk = ["ts", "kind", "tie"], scan.by_time("ts", chunk_sec)
-    segments = scan.running(clock, ROBOT, order, chunk,
-                            total={"segment": F.when(F.col("kind") == CLEAR, 1).otherwise(0).cast("long")})
-
-    history = scan.trailing_time(
-        segments.where(F.col("kind") == SAMPLE), [*ROBOT, "segment"], "ts", window_sec,
-        {"n": F.count("*"), "oldest": F.min(F.struct("ts", "tie", "pos")), "slowest": F.min("speed")}, chunk_sec)
-    judged = history.select(*ROBOT, "ts", "kind", "tie", "segment", "pos",
-                            F.struct("segment", "n", "oldest", "slowest").alias("seen"))
-    others = segments.where(F.col("kind").isin(ODOM, TICK)).select(*ROBOT, "ts", "kind", "tie", "segment", "pos")
-    merged = judged.unionByName(others, allowMissingColumns=True)
-    known = scan.running(merged, ROBOT, order, chunk,
-                         last={"seen": "seen", "here": F.when(F.col("kind") == ODOM, F.col("pos"))})
+    order, inside = ["ts", "kind", "tie"], [*ROBOT, scan.CHUNK]
+    rows = scan.overlapping(clock, "ts", window_sec, chunk_sec)
+    cleared = F.sum(F.when(F.col("kind") == CLEAR, 1).otherwise(0)).over(Window.partitionBy(*inside).orderBy(*order))
+    frame = scan.trailing([*inside, "_segment"], window_sec)
+    sample = lambda value: F.when(F.col("kind") == SAMPLE, value)
+    history = (rows.withColumn("_segment", cleared)
+               .withColumns({"_n": F.count(sample(F.lit(1))).over(frame), "_slowest": F.min(sample(F.col("speed"))).over(frame),
+                             "_oldest": F.min(sample(F.struct("ts", "tie", "pos"))).over(frame)})
+               .where(F.col(scan.CHUNK) == F.col("_home")))
+    seen = sample(F.struct("ts", F.col("_n").alias("n"), F.col("_oldest").alias("oldest"), F.col("_slowest").alias("slowest")))
+    known = scan.running(
+        history.select(*ROBOT, *order, scan.CHUNK, "pos", seen.alias("_seen")), ROBOT, order, F.col(scan.CHUNK),
+        last={"seen": "_seen", "here": F.when(F.col("kind") == ODOM, F.col("pos")),
+              "emptied": F.when(F.col("kind") == CLEAR, F.col("ts"))})
 
     span = (scan.micros("ts") - scan.micros("seen.oldest.ts")) / 1_000_000
     moved = distance("here.x", "here.y", "seen.oldest.pos.x", "seen.oldest.pos.y")
-    enough = (F.col("seen.segment") == F.col("segment")) & (F.col("seen.n") >= 2) & (span >= window_sec)
+    fresh = F.col("emptied").isNull() | (F.col("emptied") < F.col("seen.ts"))
+    enough = fresh & (F.col("seen.n") >= 2) & (span >= window_sec)
     verdict = enough & (F.col("seen.slowest") > 0) & (moved < eps_m)
     return (known.where(F.col("kind") == TICK)
             .select(*ROBOT, "ts", F.col("tie").alias("event_id"), F.coalesce(verdict, F.lit(False)).alias("stuck")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetweave.functions.geometry import distance
 from fleetweave.operators import scan
+from fleetweave.session import cut_lineage
 
 BLOCK = 4096
 # Cell edge per unit of radius, just under 1/sqrt(2): two points of one cell are always in range, so the candidates
@@ -132,7 +133,8 @@ def contacts_at(events: DataFrame, telemetry: DataFrame, comm_range: float = 3.0
     Returns the event columns with event position x, y and, for an inner join, peer_id and dist.
     """
     bucket = int(bucket_sec * 1_000_000)
-    own = positions_asof(telemetry, events, chunk_sec).where(F.col("x").isNotNull())
+    # Events are few against telemetry and visited twice below: written once instead of looked up twice.
+    own = cut_lineage(positions_asof(telemetry, events, chunk_sec).where(F.col("x").isNotNull()))
     asked = own.select(*own.columns, scan.micros("ts").alias("_at"), F.col("x").alias("lx"), F.col("y").alias("ly"))
     asked = asked.withColumn("_bucket", F.floor(F.col("_at") / bucket).cast("long"))
 

@@ -98,20 +98,20 @@ def following(df: DataFrame, keys: list[str], ts: str, tie: str, chunk_sec: floa
     return out.drop("_back", "_tie")
 
 
-def trailing_time(df: DataFrame, keys: list[str], ts: str, seconds: float, aggregates: dict,
-                  chunk_sec: float = HOUR) -> DataFrame:
-    """Aggregate each row's trailing ``seconds`` (both ends included) within its key.
+def overlapping(df: DataFrame, ts: str, seconds: float, chunk_sec: float = HOUR) -> DataFrame:
+    """Cut rows into time chunks that each also hold the ``seconds`` before their start.
 
-    Chunks overlap by the window length, so each frame lies inside one chunk; the overlap rows are dropped afterwards.
+    Adds ``_t`` (microseconds), ``_home`` (the row's own chunk) and the chunk; rows with chunk = ``_home`` are the originals.
     """
     width, span = int(seconds * 1_000_000), int(max(chunk_sec, seconds) * 1_000_000)
-    t = micros(ts)
-    home = F.floor(t / span).cast("long")
-    rows = (df.withColumn("_t", t).withColumn("_home", home)
-              .withColumn(CHUNK, F.explode(F.sequence(F.col("_home"), F.floor((F.col("_t") + width) / span).cast("long")))))
-    frame = Window.partitionBy(*keys, CHUNK).orderBy("_t").rangeBetween(-width, 0)
-    return (rows.withColumns({n: a.over(frame) for n, a in aggregates.items()})
-                .where(F.col(CHUNK) == F.col("_home")).drop("_t", "_home", CHUNK))
+    spread = F.sequence(F.col("_home"), F.floor((F.col("_t") + width) / span).cast("long"))
+    return (df.withColumn("_t", micros(ts)).withColumn("_home", F.floor(F.col("_t") / span).cast("long"))
+              .withColumn(CHUNK, F.explode(spread)))
+
+
+def trailing(keys: list[str], seconds: float):
+    """Window of the trailing ``seconds``, both ends included, inside ``overlapping`` chunks."""
+    return Window.partitionBy(*keys).orderBy("_t").rangeBetween(-int(seconds * 1_000_000), 0)
 
 
 def trailing_rows(df: DataFrame, keys: list[str], position: str, rows: int, aggregates: dict,

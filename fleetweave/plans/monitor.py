@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetweave.operators import convergence, merging, similarity
 from fleetweave.params import Params
+from fleetweave.session import cut_lineage
 
 
 def monitor_cycles(beliefs: DataFrame, merges: DataFrame, params: Params = Params()) -> DataFrame:
@@ -14,9 +15,9 @@ def monitor_cycles(beliefs: DataFrame, merges: DataFrame, params: Params = Param
     ``beliefs(run_id, cycle, elapsed_sec, robot_id, z)`` holds the fleet's vectors per cycle, ``merges(run_id, cycle,
     n)`` the merges in it. A cycle without beliefs, like a failed reading, has no row.
     """
-    means = similarity.mean_similarity(beliefs, ["run_id", "cycle", "elapsed_sec"])
+    means = cut_lineage(similarity.mean_similarity(beliefs, ["run_id", "cycle", "elapsed_sec"]))
     counts = merging.running_merges(means, merges)
-    cycles = means.join(counts, ["run_id", "cycle"])
+    cycles = cut_lineage(means.join(counts, ["run_id", "cycle"]))
     return convergence.convergence(cycles, params.min_rise, params.stability_eps, params.stable_cycles)
 
 

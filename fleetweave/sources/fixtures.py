@@ -160,8 +160,12 @@ def edges(spark, path) -> DataFrame:
 
 
 def nodes(spark, path) -> DataFrame:
+    return nodes_of(edges(spark, path), spark, path)
+
+
+def nodes_of(trade: DataFrame, spark, path) -> DataFrame:
     """Endpoints of the trade graphs plus suppliers of the nation itself; features derive from the id."""
-    ends = edges(spark, path).select("graph_id", F.explode(F.array("src", "dst")).alias("node_id"))
+    ends = trade.select("graph_id", F.explode(F.array("src", "dst")).alias("node_id"))
     own = table(spark, path, "supplier").select(F.col("s_nationkey").cast("long").alias("graph_id"),
                                                 (F.col("s_suppkey") + 4_000_000_000).alias("node_id"))
     feature = F.array((F.col("node_id") % 7).cast("double"), (F.col("node_id") % 11).cast("double"),
