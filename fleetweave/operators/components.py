@@ -15,28 +15,29 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame
     exponentially. All exchanges are equi-joins and map-side combined minima.
     """
     ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
-    links = edges.where("a <> b").select(*keys, ends.alias("_e")).select(*keys, "_e.a", "_e.b").distinct()
+    links = (edges.where("a <> b").select(*keys, ends.alias("_e"))
+             .select(*keys, F.col("_e.a").alias("node"), F.col("_e.b").alias("_other")).distinct())
     links = cut_lineage(links)
 
-    lowest = links.groupBy(*keys, F.col("a").alias("node")).agg(F.min("b").alias("_m"))
+    lowest = links.groupBy(*keys, "node").agg(F.min("_other").alias("_low"))
     parents = nodes.select(*keys, "node").distinct().join(lowest, [*keys, "node"], "left")
-    state = _jump(parents.select(*keys, "node", F.least("node", "_m").alias("f")), keys)
-    state = cut_lineage(state.withColumn("moved", F.lit(True)))
-    while not is_empty(state.where("moved")):
-        around = (links.join(state.select(*keys, F.col("node").alias("b"), "g"), [*keys, "b"])
-                  .groupBy(*keys, F.col("a").alias("node")).agg(F.min("g").alias("_m")))
-        offers = F.explode(F.array(F.col("node"), F.col("f")))
-        hooks = (state.join(around, [*keys, "node"]).where(F.col("_m") < F.col("f"))
-                 .select(*keys, offers.alias("node"), "_m").groupBy(*keys, "node").agg(F.min("_m").alias("_h")))
+    state = _jump(parents.select(*keys, "node", F.least("node", "_low").alias("_up")), keys)
+    state = cut_lineage(state.withColumn("_moved", F.lit(True)))
+    while not is_empty(state.where("_moved")):
+        around = (links.join(state.select(*keys, F.col("node").alias("_other"), "_top"), [*keys, "_other"])
+                  .groupBy(*keys, "node").agg(F.min("_top").alias("_low")))
+        offers = F.explode(F.array(F.col("node"), F.col("_up")))
+        hooks = (state.join(around, [*keys, "node"]).where(F.col("_low") < F.col("_up"))
+                 .select(*keys, offers.alias("node"), "_low").groupBy(*keys, "node").agg(F.min("_low").alias("_hook")))
         hooked = (state.join(hooks, [*keys, "node"], "left")
-                  .select(*keys, "node", F.least("f", "g", "_h").alias("_f"), F.col("f").alias("_old_f"),
-                          F.col("g").alias("_old_g")).withColumnRenamed("_f", "f"))
-        moved = (F.col("f") != F.col("_old_f")) | (F.col("g") != F.col("_old_g"))
-        state = cut_lineage(_jump(hooked, keys).withColumn("moved", moved).drop("_old_f", "_old_g"))
-    return state.select(*keys, "node", F.col("f").alias("component"))
+                  .select(*keys, "node", F.least("_up", "_top", "_hook").alias("_new"), F.col("_up").alias("_old_up"),
+                          F.col("_top").alias("_old_top")).withColumnRenamed("_new", "_up"))
+        moved = (F.col("_up") != F.col("_old_up")) | (F.col("_top") != F.col("_old_top"))
+        state = cut_lineage(_jump(hooked, keys).withColumn("_moved", moved).drop("_old_up", "_old_top"))
+    return state.select(*keys, "node", F.col("_up").alias("component"))
 
 
 def _jump(state: DataFrame, keys: list[str]) -> DataFrame:
-    """Add ``g``, the parent's parent."""
-    up = state.select(*keys, F.col("node").alias("f"), F.col("f").alias("g"))
-    return state.join(up, [*keys, "f"])
+    """Add ``_top``, the parent's parent."""
+    above = state.select(*keys, F.col("node").alias("_up"), F.col("_up").alias("_top"))
+    return state.join(above, [*keys, "_up"])
