@@ -311,7 +311,7 @@ oracle("world_positions", "world", "SELECT run_id, robot_id, event_id, round(x,
 oracle("yaw", "telemetry", f"SELECT event_id, round({YAW}, 6) AS yaw FROM telemetry")
 oracle("peer_distance", "latest", """SELECT a.run_id, a.robot_id, round(coalesce(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 999.0), 6) AS dist
     FROM latest a LEFT JOIN latest b ON b.run_id = a.run_id AND b.robot_id = a.robot_id + 1""")
-oracle("heading_error", "world", f"""SELECT event_id, round(abs(atan2(sin(atan2(-y, -x) - {YAW}), cos(atan2(-y, -x) - {YAW}))), 6) AS heading_error FROM world""")
+oracle("heading_error", "world", f"""SELECT event_id, round(abs(atan2(sin(atan2(0.0 - y, 0.0 - x) - {YAW}), cos(atan2(0.0 - y, 0.0 - x) - {YAW}))), 6) AS heading_error FROM world""")
 oracle("wall_proximity", "world", "SELECT event_id, abs(x) > 9.5 OR abs(y) > 9.5 AS near_wall FROM world")
 oracle("retention_bands", "telemetry", f"""SELECT event_id, round({SIM}, 6) AS sim,
     CASE WHEN {SIM} > 0.7 THEN 0.20 WHEN {SIM} > 0.4 THEN 0.40 ELSE 0.65 END::DOUBLE AS retention FROM telemetry""")

@@ -28,7 +28,7 @@ def distance_or_unknown(ax, ay, bx, by, unknown: float = UNKNOWN_DISTANCE) -> Co
 
 
 def angle_diff(target, current) -> Column:
-    """Signed heading error wrapped into (-pi, pi]."""
+    """Signed heading error wrapped into (-pi, pi]. Spark reads -0.0 as 0.0, so a target on the spot has heading 0."""
     d = as_col(target) - as_col(current)
     return F.atan2(F.sin(d), F.cos(d))
 

@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from fleetweave.functions.geometry import distance, project_out
 from fleetweave.operators import scan
-from fleetweave.operators.folds import rounds_of
+from fleetweave.operators.folds import Rounds
 from fleetweave.operators.proximity import near
 from fleetweave.params import (BLACKLIST_RADIUS, GOAL_PROJECT, GOAL_TIMEOUT, MAP_REFRESH, MIN_GOAL_DIST,
                                MIN_GOAL_PERIOD, MIN_MOVE, RESEND_RADIUS)
-from fleetweave.session import cut_lineage
 
 DAY = 24 * scan.HOUR
 SEGMENT_ROWS = 512
@@ -76,37 +75,28 @@ def with_dispatched(goal_log: DataFrame, resend: float = RESEND_RADIUS, chunk_se
     segments = scan.running(steps.withColumn("_fresh", F.when(fresh, 1).otherwise(0).cast("long")), robot, order, chunk,
                             total={"_segment": "_fresh"})
     keys = ["robot_id", "_segment"]
-    numbered, n = rounds_of(segments.select(*keys, "_at", "goal_num", "gx", "gy"), keys, "_at",
-                            scan.by_number("_at"), rows)
-    if n > 1:
-        numbered = cut_lineage(numbered)
-
-    spot = "struct<x:double,y:double>"
-    last, flags = None, []
-    for r in range(n):
-        batch = (numbered.where(F.col("_round") == r).groupBy(*keys)
-                 .agg(F.array_sort(F.collect_list(F.struct("_at", "goal_num", "gx", "gy"))).alias("_c")))
-        batch = batch.withColumn("_last", F.lit(None).cast(spot)) if last is None else batch.join(last, keys, "left")
+    rounds = Rounds(segments.select(*keys, "_at", "goal_num", "gx", "gy"), keys, "_at", scan.by_number("_at"), rows)
+
+    def step(acc, c):
+        go = acc["last"].isNull() | (distance(c["gx"], c["gy"], acc["last"]["x"], acc["last"]["y"]) >= resend)
+        here = F.struct(c["gx"].alias("x"), c["gy"].alias("y"))
+        return F.struct(F.when(go, here).otherwise(acc["last"]).alias("last"),
+                        F.concat(acc["sent"], F.array(go)).alias("sent"))
+
+    last, sent = None, None
+    for candidates in rounds:
+        batch = candidates.groupBy(*keys).agg(
+            F.array_sort(F.collect_list(F.struct("_at", "goal_num", "gx", "gy"))).alias("_c"))
+        batch = (batch.withColumn("_last", F.lit(None).cast("struct<x:double,y:double>")) if last is None
+                 else batch.join(last, keys, "left"))
         start = F.struct(F.col("_last").alias("last"), F.array().cast("array<boolean>").alias("sent"))
-
-        def step(acc, c):
-            go = acc["last"].isNull() | (distance(c["gx"], c["gy"], acc["last"]["x"], acc["last"]["y"]) >= resend)
-            here = F.struct(c["gx"].alias("x"), c["gy"].alias("y"))
-            return F.struct(F.when(go, here).otherwise(acc["last"]).alias("last"),
-                            F.concat(acc["sent"], F.array(go)).alias("sent"))
-
-        done = batch.withColumn("_f", F.aggregate("_c", start, step))
-        if n > 1:
-            done = cut_lineage(done)
-            tail = done.select(*keys, F.col("_f.last").alias("_last"))
-            last = tail if last is None else cut_lineage(
-                last.join(tail.select(*keys), keys, "left_anti").unionByName(tail))
+        done = rounds.settle(batch.withColumn("_f", F.aggregate("_c", start, step)))
+        # A segment with another round filled this one, so only its last goal is needed there.
+        last = done.select(*keys, F.col("_f.last").alias("_last"))
         pairs = F.explode(F.arrays_zip(F.col("_c"), F.col("_f.sent").alias("_sent")))
-        flags.append(done.select("robot_id", pairs.alias("_p"))
-                     .select("robot_id", F.col("_p._c.goal_num").alias("goal_num"), F.col("_p._sent").alias("dispatched")))
-    sent = flags[0]
-    for more in flags[1:]:
-        sent = sent.unionByName(more)
+        flags = (done.select("robot_id", pairs.alias("_p"))
+                 .select("robot_id", F.col("_p._c.goal_num").alias("goal_num"), F.col("_p._sent").alias("dispatched")))
+        sent = flags if sent is None else sent.unionByName(flags)
     return goal_log.join(sent, ["robot_id", "goal_num"])
 
 
