@@ -396,7 +396,8 @@ oracle("duplicate_writers", "telemetry", """SELECT run_id, robot_id, CAST(hour(t
 oracle("merged_embeddings", "folds", """SELECT agent_id, n_folded, CAST(unnest(range(64)) AS INTEGER) AS pos, round(unnest(z), 6) AS z FROM folds""")
 oracle("merge_replies", "folds", """SELECT agent_id, 0.5::DOUBLE AS gate, round(sqrt(list_dot_product(z, z)), 6) AS z_norm, round(z[1], 6) AS z_first FROM folds""")
 oracle("share_traffic", "receivers", """SELECT s.run_id, s.sender_id AS robot_id, epoch_us(time_bucket(INTERVAL 6 HOUR, s.ts)) AS bucket_us, count(*) AS broadcasts,
-    CAST(sum((SELECT count(*) FROM receivers r WHERE r.msg_id = s.msg_id)) AS BIGINT) AS recipients, CAST(sum(length(payload)) AS BIGINT) AS bytes FROM shares s GROUP BY ALL""")
+    CAST(sum((SELECT count(*) FROM receivers r WHERE r.msg_id = s.msg_id)) AS BIGINT) AS recipients, CAST(sum(length(payload)) AS BIGINT) AS bytes,
+    round(avg(CASE WHEN (k + 0.5::DOUBLE) / 50 - 1 > 0.7 THEN 0.2::DOUBLE WHEN (k + 0.5::DOUBLE) / 50 - 1 > 0.4 THEN 0.4 ELSE 0.65 END), 6) AS mean_retention FROM shares s GROUP BY ALL""")
 oracle("peers_in_range", "latest_pairs", """SELECT l.run_id, l.robot_id, count(j) AS n_peers, CAST(0 AS BIGINT) AS page, coalesce(string_agg(j, ',' ORDER BY j), '') AS peers
     FROM latest l LEFT JOIN latest_pairs p ON p.run_id = l.run_id AND p.i = l.robot_id GROUP BY l.run_id, l.robot_id""")
 oracle("exploration_progress", "usable", """SELECT m.map_id, count(u.cluster_id) AS n_left, count(u.cluster_id) = 0 AS complete

@@ -469,8 +469,11 @@ def merge_replies(spark, path):
 
 @query
 def share_traffic(spark, path):
-    found = merging.share_traffic(good_shares(spark, path), receivers(spark, path), "6 hours")
-    return found.select("run_id", "robot_id", us("bucket").alias("bucket_us"), "broadcasts", "recipients", "bytes")
+    first = F.get(F.get("graph.x", F.lit(0)), F.lit(0)).cast("double")
+    sent = good_shares(spark, path).withColumn("retention", labels.retention_band(first / 50.0 - 1))
+    found = merging.share_traffic(sent, receivers(spark, path), "6 hours")
+    return found.select("run_id", "robot_id", us("bucket").alias("bucket_us"), "broadcasts", "recipients", "bytes",
+                        r6("mean_retention").alias("mean_retention"))
 
 
 @query
@@ -754,9 +757,10 @@ def stream_latest_positions(spark, path):
 
 def share_clock(events: DataFrame) -> DataFrame:
     """Poses (kind 0) and readable shares (kind 1) of a stream on one clock."""
-    shared = (F.col("event_type") == "purchase") & (F.col("event_id") % 50 != 0)
-    kinds = F.explode(F.when(shared, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    return events.select("run_id", "robot_id", "ts", kinds.alias("kind"), "event_id", "x", "y")
+    shares = messages.read_shares(fx.payloads(events))[0]
+    poses = events.select("run_id", "robot_id", "ts", "event_id", "x", "y")
+    return proximity.interleave(poses, shares.select("run_id", F.col("sender_id").alias("robot_id"), "ts",
+                                                     F.col("msg_id").alias("event_id")))
 
 
 def heard_table(spark, path) -> str:

@@ -16,7 +16,7 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame
     """
     ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     links = (edges.where("a <> b").select(*keys, ends.alias("_e"))
-             .select(*keys, F.col("_e.a").alias("node"), F.col("_e.b").alias("_other")).distinct())
+             .select(*keys, F.col("_e.a").alias("node"), F.col("_e.b").alias("_other")))
     links = cut_lineage(links)
 
     lowest = links.groupBy(*keys, "node").agg(F.min("_other").alias("_low"))
