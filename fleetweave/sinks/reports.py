@@ -36,9 +36,12 @@ def cycle_rows(cycles: DataFrame, positions: DataFrame, pair_counts: DataFrame,
 
 def write_cycle_csv(cycles: DataFrame, positions: DataFrame, pair_counts: DataFrame, robot_ids: list[int],
                     path: str) -> None:
-    """Write ``cycle_rows`` as CSV with a header, one folder per run; an empty path writes nothing."""
+    """Write ``cycle_rows`` as CSV with a header, one folder per run; an empty path writes nothing.
+
+    Rows are range-partitioned, so a long run spans several files whose names follow its cycles.
+    """
     if path:
-        (cycle_rows(cycles, positions, pair_counts, robot_ids).repartition("run_id")
+        (cycle_rows(cycles, positions, pair_counts, robot_ids).repartitionByRange(*CYCLE)
          .sortWithinPartitions(*CYCLE).drop("cycle").write.partitionBy("run_id").mode("overwrite")
          .csv(path, header=True, nullValue="", emptyValue=""))
 

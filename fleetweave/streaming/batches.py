@@ -21,11 +21,6 @@ def work_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
@@ -68,8 +63,7 @@ class Carried:
         self.path = path
 
     def load(self, spark: SparkSession, epoch: int) -> DataFrame | None:
-        before = f"{self.path}/epoch={epoch - 1}"
-        return spark.read.parquet(before) if epoch > 0 and _exists(spark, before) else None
+        return spark.read.parquet(f"{self.path}/epoch={epoch - 1}") if epoch > 0 else None
 
     def save(self, table: DataFrame, epoch: int) -> None:
         table.write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
