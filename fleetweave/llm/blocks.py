@@ -81,7 +81,7 @@ def ask(docs: DataFrame, id_col: str, text_col: str, question: Callable[[Block],
 
 def answered(questions: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
     """Answer each slice: ``answer`` turns the bodies of all blocks into one body per block. Notes pass through."""
-    def run(_, table: pa.Table) -> pa.Table:
+    def run(table):
         if table.column("slice")[0].as_py() < 0:
             return table
         bodies = answer(table.column("body").to_pylist())
@@ -89,7 +89,7 @@ def answered(questions: DataFrame, answer: Callable[[list[bytes]], list[bytes]])
 
     # notes are only carried along: they are dealt by block so that they spread
     keyed = questions.withColumn("deal", F.when(F.col("slice") < 0, -1 - F.col("block")).otherwise(F.col("slice")))
-    return keyed.groupBy("deal").applyInArrow(lambda key, t: run(key, t.select(_ARROW.names)), SCHEMA)
+    return keyed.groupBy("deal").applyInArrow(lambda table: run(table.select(_ARROW.names)), SCHEMA)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
@@ -119,7 +119,7 @@ def settled(docs: DataFrame, id_col: str, text_col: str, answers: DataFrame,
 
     Without ``schema`` the result is questions again, a list of (slice, body).
     """
-    def run(_, table: pa.Table) -> pa.Table:
+    def run(table):
         if len(set(table.column("digest").to_pylist())) > 1:
             raise ValueError("a block was read twice with different rows; pass a table, not a shuffled result")
         number, digest = table.column("block")[0].as_py(), table.column("digest")[0].as_py()

@@ -1,10 +1,11 @@
 """Each operator of this subpackage as a query over its whole table, and its SQL twin where SQL can express it."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetweave.llm import simhash_dedup
+from fleetweave.llm import byte_bpe, simhash_dedup, substring_dedup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +26,21 @@ def op9_simhash_near_dedup(spark: SparkSession, path: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(documents(spark, path))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                         "component_id")
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, path: str) -> DataFrame:
+    """Words of every document, how many of them earlier documents repeat, and a digest of the rest."""
+    found = substring_dedup.without_repeats(documents(spark, path))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op4_byte_bpe(spark: SparkSession, path: str) -> DataFrame:
+    """Digests of the token ids of every document and of the bytes that they decode to."""
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode(documents(spark, path), vocabulary, public_tokenizers.PATTERN)
+    decoded = byte_bpe.decode(encoded, vocabulary)
+    listed = F.array_join(F.col("token_ids").cast("array<string>"), ",")
+    return decoded.select(F.col("id").alias("doc_id"), F.size("token_ids").cast("long").alias("n_tokens"),
+                          F.sha2(listed, 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))

@@ -122,9 +122,10 @@ def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[slice]:
 
 def packed(array: np.ndarray) -> bytes:
     """Bytes of an array, first bytes of all numbers first, so that leading zeros compress well."""
-    return np.ascontiguousarray(array.reshape(-1, 1).view(np.uint8).reshape(len(array), -1).T).tobytes()
+    return np.ascontiguousarray(array.view(np.uint8).reshape(len(array), array.itemsize).T).tobytes()
 
 
 def unpacked(data: bytes, kind) -> np.ndarray:
     kind = np.dtype(kind)
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+    planes = np.frombuffer(data, np.uint8).reshape(kind.itemsize, len(data) // kind.itemsize)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
