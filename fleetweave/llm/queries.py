@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetweave.llm import byte_bpe, simhash_dedup, substring_dedup
+from fleetweave.llm import byte_bpe, language_id, simhash_dedup, substring_dedup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,12 @@ def op4_byte_bpe(spark: SparkSession, path: str) -> DataFrame:
     listed = F.array_join(F.col("token_ids").cast("array<string>"), ",")
     return decoded.select(F.col("id").alias("doc_id"), F.size("token_ids").cast("long").alias("n_tokens"),
                           F.sha2(listed, 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+
+
+@query
+def op10_language_id(spark: SparkSession, path: str) -> DataFrame:
+    """The predicted language of every document, learned from two thirds of the labels."""
+    docs = documents(spark, path)
+    found = language_id.predict(docs, language_id.train(docs))
+    return found.select(F.col("id").alias("doc_id"), (language_id.remainder("id", 3) == 1).alias("held_out"),
+                        "lang_pred", "score")
