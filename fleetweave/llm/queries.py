@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetweave.llm import byte_bpe, language_id, simhash_dedup, substring_dedup
+from fleetweave.llm import byte_bpe, language_id, lm_scoring, simhash_dedup, substring_dedup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,9 @@ def op10_language_id(spark: SparkSession, path: str) -> DataFrame:
     found = language_id.predict(docs, language_id.train(docs))
     return found.select(F.col("id").alias("doc_id"), (language_id.remainder("id", 3) == 1).alias("held_out"),
                         "lang_pred", "score")
+
+
+@query
+def op1_lm_scoring(spark: SparkSession, path: str) -> DataFrame:
+    """Every document's log-probability under the backoff automaton of nine tenths of the documents."""
+    return lm_scoring.scores(documents(spark, path)).withColumnRenamed("id", "doc_id")
