@@ -26,7 +26,7 @@ from fleetweave.llm.blocks import Block
 from fleetweave.llm.scratch import shuffle_width
 from fleetweave.llm.text import mix, packed, unpacked, words_of
 
-STRENGTH = 8.0  # weight of the root's distribution in a history, in tokens
+STRENGTH = 64.0  # weight of the root's distribution in a history, in tokens
 FLOOR = 0.1
 HELD_OUT = (10, 0)  # divisor and remainder of crc32 of the id as text
 END, START = np.uint64(1), np.uint64(2)  # in place of word hashes

@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetweave.llm import byte_bpe, language_id, lm_scoring, simhash_dedup, substring_dedup
+from fleetweave.llm import byte_bpe, language_id, line_dedup, lm_scoring, simhash_dedup, substring_dedup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +59,26 @@ def op10_language_id(spark: SparkSession, path: str) -> DataFrame:
 def op1_lm_scoring(spark: SparkSession, path: str) -> DataFrame:
     """Every document's log-probability under the backoff automaton of nine tenths of the documents."""
     return lm_scoring.scores(documents(spark, path)).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op2_line_dedup(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of every document, how many of them are boilerplate of ten or more sources, and a digest of the rest."""
+    found = line_dedup.without_boilerplate(documents(spark, path))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op2_line_dedup"] = f"""
+    WITH lines AS (
+        SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+               generate_subscripts(string_split(text, chr(10)), 1) AS pos
+        FROM documents),
+    bad AS (
+        SELECT trim(line) AS plain, min({{'d': doc_id, 'p': pos}}) AS first
+        FROM lines WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}),
+    judged AS (
+        SELECT lines.*, first IS NOT NULL AND first <> {{'d': doc_id, 'p': pos}} AS gone
+        FROM lines LEFT JOIN bad ON trim(line) = plain)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+    FROM judged GROUP BY doc_id"""
