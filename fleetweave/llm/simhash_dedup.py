@@ -15,9 +15,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetweave.llm.linking import components
 from fleetweave.llm.scratch import stored
 from fleetweave.llm.text import chunks, texts_of
-from fleetweave.operators.components import components
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -105,9 +105,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows stay repeated; other columns are not read. An empty table gives an empty result.
     """
     prints = stored(fingerprints(docs, id_col, text_col, size))
-    pairs = stored(links(prints, radius))
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-    groups = components(ends, pairs, []).select(F.col("node").alias("fp"), F.col("component").alias("_root"))
+    groups = components(links(prints, radius)).toDF("fp", "_root")
     held = prints.groupBy("fp").agg(F.min("id").alias("_least"))
     labelled = held.join(groups, "fp", "left").withColumn("_root", F.coalesce("_root", "fp"))
     roots = labelled.groupBy("_root").agg(F.min("_least").alias("component_id"))
