@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetweave.llm.columns import let
+
 MIN_SITES = 10
 LG_K = 12  # 4096 registers: a standard error of 1.6 per cent
 BAND = 0.1  # estimates within this share of the threshold, and within one of it, are counted exactly
@@ -45,8 +47,9 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 def _without(lines: Column, gone: Column) -> Column:
     """The lines between the ascending positions ``gone``, in time linear in both."""
     start = lambda k: F.when(k == 0, 0).otherwise(F.get(gone, k - 1) + 1)
-    end = lambda k: F.when(k == F.size(gone), F.size(lines)).otherwise(F.get(gone, k))
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda k: F.slice(lines, start(k) + 1, end(k) - start(k))))
+    return let(lines, lambda lines: F.flatten(F.transform(
+        F.sequence(F.lit(0), F.size(gone)),
+        lambda k: F.slice(lines, start(k) + 1, F.when(k == F.size(gone), F.size(lines)).otherwise(F.get(gone, k)) - start(k)))))
 
 
 def without_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",

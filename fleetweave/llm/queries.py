@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetweave.llm import byte_bpe, language_id, line_dedup, lm_scoring, simhash_dedup, substring_dedup
+from fleetweave.llm import byte_bpe, decontamination, language_id, line_dedup, lm_scoring, simhash_dedup, substring_dedup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,10 @@ ORACLES["op2_line_dedup"] = f"""
     SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
     FROM judged GROUP BY doc_id"""
+
+
+@query
+def op6_benchmark_decontamination(spark: SparkSession, path: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the window where it is most similar."""
+    found = decontamination.contaminated(documents(spark, path), spark.read.parquet(f"{path}/benchmark.parquet"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "start", "n_words", F.round("similarity", 9).alias("similarity"))
