@@ -25,6 +25,7 @@ BATCH, STEPS, RATE = 256, 500, 0.02
 SAMPLE_DOCS = 1200  # documents to learn from, shared out evenly over the languages
 SAMPLE_BYTES = 4 << 20  # of their texts together; the last one that fits is whole
 UNKNOWN = "und"
+MIN_SCORE = 0.3  # a best language below this is no better than a guess among a few
 RESULT = "id long, lang_pred string, score double"
 _RESULT = pa.schema([("id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 _LETTER_BYTE = np.zeros(256, bool)
@@ -259,14 +260,38 @@ def predict(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col:
     """
     def run(batches):
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            if network.languages:
-                found = probabilities(network, texts)
-                best = found.argmax(1)
-                for k, text in enumerate(texts):
-                    if _letter(text.decode()):
-                        names[k], scores[k] = network.languages[best[k]], min(1.0, found[k, best[k]])
+            names, scores = _judged(network, texts_of(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(scores)], schema=_RESULT)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, RESULT)
+
+
+def _judged(network: Network, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
+    names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    if network.languages:
+        found = probabilities(network, texts)
+        best = found.argmax(1)
+        for k, text in enumerate(texts):
+            if _letter(text.decode()):
+                names[k], scores[k] = network.languages[best[k]], min(1.0, found[k, best[k]])
+    return names, scores
+
+
+def accepted(docs: DataFrame, network: Network, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs`` in a learned language: not ``und``, and with a score of ``min_score`` or more.
+
+    All columns pass through. Where nothing was learned there is no ground to reject a text that has a letter.
+    """
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = texts_of(batch.column(place))
+            names, scores = _judged(network, texts)
+            if network.languages:
+                kept = [n != UNKNOWN and s >= min_score for n, s in zip(names, scores)]
+            else:
+                kept = [_letter(t.decode()) is not None for t in texts]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -59,15 +59,16 @@ def simhashes(texts: list[bytes], size: int = SHINGLE_WORDS) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  size: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, fp): the fingerprint of every row as a signed long; null and wordless texts have 0."""
-    kind = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
+    """(id, fp, digest): fingerprint of every row as a signed long and a hash of its text; wordless texts have 0."""
+    kind = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("digest", pa.int64())])
 
     def run(batches):
         for batch in batches:
             prints = simhashes(texts_of(batch.column(1)), size).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(prints)], schema=kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), batch.column(2)], schema=kind)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long"), text, F.xxhash64(text)).mapInArrow(run, "id long, fp long, digest long")
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -104,10 +105,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and link like any other; a null id is never a component id, so a component of null ids alone has a null one.
     Repeated rows stay repeated; other columns are not read. An empty table gives an empty result.
     """
+    grouped, roots = _grouped(docs, id_col, text_col, size, radius)
+    return grouped.join(roots, "root").select("id", "fp", F.col("first.id").alias("component_id"))
+
+
+def _grouped(docs, id_col, text_col, size, radius) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, fp, digest, root) and roots (root, first), the row of each group that comes first by id and text."""
     prints = stored(fingerprints(docs, id_col, text_col, size))
-    groups = components(links(prints, radius)).toDF("fp", "_root")
-    held = prints.groupBy("fp").agg(F.min("id").alias("_least"))
-    labelled = held.join(groups, "fp", "left").withColumn("_root", F.coalesce("_root", "fp"))
-    roots = labelled.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    named = labelled.select("fp", "_root").join(roots, "_root").select("fp", "component_id")
-    return prints.join(named, "fp").select("id", "fp", "component_id")
+    groups = components(links(prints, radius)).toDF("fp", "root")
+    place = F.struct(F.col("id").isNull().alias("null"), "id", "digest")
+    held = prints.groupBy("fp").agg(F.min(place).alias("least"))
+    labelled = held.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    roots = labelled.groupBy("root").agg(F.min("least").alias("first"))
+    return prints.join(labelled.select("fp", "root"), "fp"), roots
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS,
+                 radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` with one row left of each group: the first by id, null last, then by a hash of its text.
+
+    Repeated rows are one group's like any other, so one of them stays. All columns pass through.
+    """
+    _, roots = _grouped(docs, id_col, text_col, size, radius)
+    kept = roots.select(F.col("first.id").alias("_kept_id"), F.col("first.digest").alias("_kept_digest"))
+    digest = F.xxhash64(F.col(text_col).cast("string"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                       F.col(id_col).cast("long").alias("_row_id"), digest.alias("_row_digest"))
+    same = F.col("_row_id").eqNullSafe(F.col("_kept_id")) & (F.col("_row_digest") == F.col("_kept_digest"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["_row_id", "_row_digest"]).select("_row.*")
