@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetweave.llm import byte_bpe, decontamination, language_id, line_dedup, lm_scoring, simhash_dedup, substring_dedup
+from fleetweave.llm import byte_bpe, decontamination, language_id, line_dedup, lm_scoring, sharding, simhash_dedup, substring_dedup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,9 @@ def op6_benchmark_decontamination(spark: SparkSession, path: str) -> DataFrame:
     """Every document that holds a benchmark item, with the window where it is most similar."""
     found = decontamination.contaminated(documents(spark, path), spark.read.parquet(f"{path}/benchmark.parquet"))
     return found.select(F.col("id").alias("doc_id"), "item_id", "start", "n_words", F.round("similarity", 9).alias("similarity"))
+
+
+@query
+def op7_sharding(spark: SparkSession, path: str) -> DataFrame:
+    """The shard of every document, 24 of near-equal bytes, and its slot there."""
+    return sharding.shards(documents(spark, path)).withColumnRenamed("id", "doc_id")
