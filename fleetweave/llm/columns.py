@@ -6,7 +6,20 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+STRIDE = 32  # splitters compared at a time
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once, also where the body uses it inside another function's lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def range_of(key: Column, marks: list[int]) -> Column:
+    """Number of splitters up to the key, first among every ``STRIDE``-th one, then among those that follow it."""
+    if not marks:
+        return F.lit(0)
+    few, every = (F.lit(m).cast("array<bigint>") for m in (marks[STRIDE - 1::STRIDE] or [marks[-1]], marks))
+    passed = lambda some: F.size(F.filter(some, lambda m: m <= key))
+    if len(marks) < STRIDE:
+        return passed(every)
+    return let(passed(few) * STRIDE, lambda low: low + passed(F.slice(every, low + 1, STRIDE)))

@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetweave.llm import byte_bpe, decontamination, language_id, line_dedup, lm_scoring, sharding, simhash_dedup, substring_dedup
+from fleetweave.llm import byte_bpe, decontamination, imatch, language_id, line_dedup, lm_scoring, sharding, simhash_dedup, substring_dedup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +95,49 @@ def op6_benchmark_decontamination(spark: SparkSession, path: str) -> DataFrame:
 def op7_sharding(spark: SparkSession, path: str) -> DataFrame:
     """The shard of every document, 24 of near-equal bytes, and its slot there."""
     return sharding.shards(documents(spark, path)).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op5_imatch(spark: SparkSession, path: str) -> DataFrame:
+    """The fingerprint of every document and of its edited text, and its likeness to that and to the next document."""
+    found = imatch.fingerprints(documents(spark, path))
+    return found.select(F.col("id").alias("doc_id"), "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint",
+                        "edited_fingerprint", "near_edited", "near_next")
+
+
+ORACLES["op5_imatch"] = f"""
+    WITH ordered AS (
+        SELECT doc_id, coalesce(text, '') AS text,
+               coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC), first(coalesce(text, '')) OVER (ORDER BY doc_id DESC)) AS next
+        FROM documents),
+    texts AS (
+        SELECT doc_id, 0 AS kind, text FROM ordered
+        UNION ALL
+        SELECT doc_id, 1, left(text, length(text) - length(text) // 2) || left(next, length(text) // 2) FROM ordered),
+    terms AS (
+        SELECT doc_id, kind, term
+        FROM (SELECT doc_id, kind, unnest(list_distinct(string_split_regex(lower(text), '[\\x20\\x09-\\x0D]+'))) AS term FROM texts)
+        WHERE term <> ''),
+    lexicon AS (
+        SELECT term FROM terms WHERE kind = 0 GROUP BY term
+        HAVING count(*) BETWEEN greatest(2, {imatch.LOW} * (SELECT count(*) FROM documents)) AND {imatch.HIGH} * (SELECT count(*) FROM documents)),
+    viewed AS (
+        SELECT doc_id, kind, term, v, length(ltrim(bin(('0x' || substr(md5(term), 2 * v + 1, 2))::INT), '0')) AS depth
+        FROM terms SEMI JOIN lexicon USING (term), range({imatch.VIEWS}) views(v)),
+    ranked AS (SELECT *, min(depth) OVER (PARTITION BY doc_id, kind, v) AS least FROM viewed),
+    signatures AS (
+        SELECT doc_id, kind, v, left(md5(string_agg(term, ' ' ORDER BY term)), {imatch.DIGITS}) AS sig
+        FROM ranked WHERE depth = least GROUP BY ALL),
+    prints AS (
+        SELECT texts.doc_id, texts.kind, v, coalesce(sig, left(md5(text), {imatch.DIGITS})) AS sig
+        FROM texts CROSS JOIN range({imatch.VIEWS}) views(v) LEFT JOIN signatures USING (doc_id, kind, v)),
+    listed AS (SELECT doc_id, kind, list(sig ORDER BY v) AS sigs FROM prints GROUP BY ALL),
+    paired AS (
+        SELECT a.doc_id, a.sigs AS own, b.sigs AS changed,
+               coalesce(lead(a.sigs) OVER (ORDER BY a.doc_id DESC), first(a.sigs) OVER (ORDER BY a.doc_id DESC)) AS following
+        FROM listed a JOIN listed b ON a.doc_id = b.doc_id AND a.kind = 0 AND b.kind = 1)
+    SELECT paired.doc_id, length(ordered.text) AS n_chars, sha256(texts.text) AS edited_sha256,
+           array_to_string(own, '') AS fingerprint, array_to_string(changed, '') AS edited_fingerprint,
+           len(list_filter(list_zip(own, changed), lambda x: x[1] = x[2])) / {imatch.VIEWS} AS near_edited,
+           len(list_filter(list_zip(own, following), lambda x: x[1] = x[2])) / {imatch.VIEWS} AS near_next
+    FROM paired JOIN ordered USING (doc_id) JOIN texts ON texts.doc_id = paired.doc_id AND texts.kind = 1"""

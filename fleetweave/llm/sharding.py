@@ -8,17 +8,16 @@ bytes gives its shard. So shards differ by about one record, whatever the sample
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetweave.llm.columns import let
+from fleetweave.llm.columns import range_of
 from fleetweave.llm.scratch import stored
 
 SHARDS = 24
 OVERHEAD = 8  # bytes of a record besides its text
 RANGES = 512
 SAMPLE = 32 * RANGES  # expected draws, however large the input
-STRIDE = 32  # splitters compared at a time
 OVERFULL = 2.0  # times the mean bytes of a range
 
 
@@ -39,17 +38,6 @@ def splitters(records: DataFrame, ranges: int = RANGES) -> list[int]:
     return sorted({draws[len(draws) * k // ranges] for k in range(1, ranges)}) if draws else []
 
 
-def _range_of(key: Column, marks: list[int]) -> Column:
-    """Number of splitters up to the key, first among every ``STRIDE``-th one, then among those that follow it."""
-    if not marks:
-        return F.lit(0)
-    few, every = (F.lit(m).cast("array<bigint>") for m in (marks[STRIDE - 1::STRIDE] or [marks[-1]], marks))
-    passed = lambda some: F.size(F.filter(some, lambda m: m <= key))
-    if len(marks) < STRIDE:
-        return passed(every)
-    return let(passed(few) * STRIDE, lambda low: low + passed(F.slice(every, low + 1, STRIDE)))
-
-
 def shards(docs: DataFrame, count: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: (id, size, text_crc32, law, shard, slot, grown_shard).
 
@@ -61,7 +49,7 @@ def shards(docs: DataFrame, count: int = SHARDS, id_col: str = "doc_id", text_co
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     records = stored(docs.select(F.col(id_col).alias("_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("_size"),
                                  F.crc32(text.cast("binary")).alias("_crc"), F.xxhash64(text).alias("_key")))
-    records = records.withColumn("_range", _range_of(F.col("_key"), splitters(records)))
+    records = records.withColumn("_range", range_of(F.col("_key"), splitters(records)))
 
     # one row per range, then per cell: at most RANGES, and RANGES and RANGES / OVERFULL
     measured = records.groupBy("_range").agg(F.sum("_size").alias("_bytes"))

@@ -1,0 +1,72 @@
+"""Fingerprints against SQL on the documents and against plain Python on awkward rows."""
+import hashlib
+import re
+from collections import Counter
+
+import pytest
+
+from compare import connect, differences
+from fleetweave.llm import imatch
+from fleetweave.llm.queries import ORACLES, QUERIES
+
+
+def signatures(text, lexicon):
+    kept = sorted(set(re.split(imatch.SPACE, text.lower())) & lexicon)
+    if not kept:
+        return [hashlib.md5(text.encode()).hexdigest()[:8]] * imatch.VIEWS
+    out = []
+    for view in range(imatch.VIEWS):
+        depth = {t: hashlib.md5(t.encode()).digest()[view].bit_length() for t in kept}
+        sparse = [t for t in kept if depth[t] == min(depth.values())]
+        out.append(hashlib.md5(" ".join(sparse).encode()).hexdigest()[:8])
+    return out
+
+
+def brute(rows, low, high):
+    """Rows come in descending id order."""
+    texts = [t or "" for _, t in rows]
+    counts = Counter(w for t in texts for w in set(re.split(imatch.SPACE, t.lower())) - {""})
+    lexicon = {w for w, n in counts.items() if max(2, low * len(rows)) <= n <= high * len(rows)}
+    out = []
+    for k, (i, _) in enumerate(rows):
+        text, after = texts[k], texts[(k + 1) % len(rows)]
+        half = len(text) // 2
+        edited = text[:len(text) - half] + after[:half]
+        a, b, c = (signatures(t, lexicon) for t in (text, edited, after))
+        like = lambda x, y: sum(p == q for p, q in zip(x, y)) / imatch.VIEWS
+        out.append((i, len(text), edited, "".join(a), "".join(b), like(a, b), like(a, c)))
+    return out
+
+
+def ours(df, low, high):
+    return [tuple(r) for r in imatch.fingerprints(df, low=low, high=high).collect()]
+
+
+def test_the_query_against_sql(spark):
+    path = "/root/testdata/sf0.001"
+    assert differences(spark, connect(path), path, "op5", QUERIES["op5_imatch"], ORACLES["op5_imatch"]) == []
+
+
+@pytest.mark.parametrize("rows, buckets", [(1, 2000), (2, 2000), (23, 4), (23, 1)])
+def test_awkward_texts_over_buckets(spark, monkeypatch, rows, buckets):
+    monkeypatch.setattr(imatch, "BUCKET_ROWS", buckets)
+    texts = ["the cat sat\ton the mat", None, "", "été　é naïve 日本語 a|b", "THE DOG sat", "cat dog mat " * 400, "z" * 999]
+    data = [(3 * k, texts[k % 7] if k % 5 else f"cat {k} mat the dog") for k in range(rows)]
+    df = spark.createDataFrame([(i, t, 0, "x") for i, t in data], "doc_id long, text string, _nth int, term string")
+    assert sorted(ours(df, 0.05, 0.6)) == sorted(brute(data[::-1], 0.05, 0.6))
+
+
+def test_no_rows_null_ids_and_repeated_rows(spark, awkward, no_rows):
+    assert ours(no_rows, 0.1, 0.9) == []
+    found = ours(awkward, 0.1, 0.9)
+    assert len(found) == awkward.count()
+    prints = {}
+    for i, n, _, own, _, near_edited, near_next in found:
+        prints.setdefault((i, n), set()).add(own)
+        assert 0 <= near_edited <= 1 and 0 <= near_next <= 1
+    assert len([k for k in prints if k[0] == 12]) == 1 and all(len(p) == 1 for k, p in prints.items() if k[0] is not None)
+
+
+def test_edited_texts_are_likelier_than_the_next(spark):
+    rows = QUERIES["op5_imatch"](spark, "/root/testdata/sf0.01").collect()
+    assert sum(r["near_edited"] for r in rows) > 2 * sum(r["near_next"] for r in rows)

@@ -6,6 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from fleetweave.llm import sharding
+from fleetweave.llm.columns import range_of
 
 
 def check(df, count=sharding.SHARDS):
@@ -54,5 +55,5 @@ def test_ranges_by_comparison_with_each_splitter(spark):
     for n in (0, 1, 31, 32, 33, 64, 300):
         marks = sorted({draw.randrange(-500, 500) for _ in range(n)})
         keys = spark.createDataFrame([(k,) for k in range(-520, 520)], "k long")
-        got = keys.select("k", sharding._range_of(F.col("k"), marks).alias("r")).collect()
+        got = keys.select("k", range_of(F.col("k"), marks).alias("r")).collect()
         assert all(r["r"] == sum(m <= r["k"] for m in marks) for r in got)
