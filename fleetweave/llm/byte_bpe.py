@@ -198,6 +198,32 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return blocks.settled(docs, "id", "text", answers, _assemble(pattern, odd, width), ENCODED)
 
 
+class _TokenTable:
+    """Token bytes by id, one after the other in one array."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.sizes = np.full(max(ranks.values()) + 1, -1, np.int64)  # -1: no such id
+        tokens = [b""] * len(self.sizes)
+        for token, rank in ranks.items():
+            tokens[rank], self.sizes[rank] = token, len(token)
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+        self.starts = np.cumsum(np.maximum(self.sizes, 0)) - np.maximum(self.sizes, 0)
+
+    def sizes_of(self, ids: np.ndarray) -> np.ndarray:
+        known = (ids >= 0) & (ids < len(self.sizes))
+        return np.where(known, self.sizes[np.where(known, ids, 0)], -1)
+
+    def bytes_of(self, ids: np.ndarray, step: int = 1 << 18) -> bytes:
+        """The bytes of known ids, some at a time so that little is held."""
+        out = []
+        for k in range(0, len(ids), step):
+            part = ids[k:k + step]
+            sizes = self.sizes[part]
+            ends = np.cumsum(sizes)
+            out.append(self.data[np.repeat(self.starts[part] - ends + sizes, sizes) + np.arange(int(ends[-1]))].tobytes())
+        return b"".join(out)
+
+
 def decode(encoded: DataFrame, path: str, ids_col: str = "token_ids", name: str = "data") -> DataFrame:
     """Add ``name``, the bytes of each id list: ids meet the token-byte table, sent to every task as it is bounded.
 
@@ -205,27 +231,33 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "token_ids", name: str
     """
     from pyspark.sql.types import BinaryType, StructField, StructType
 
-    table = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in read_ranks(path).items()})
+    table = encoded.sparkSession.sparkContext.broadcast(_TokenTable(read_ranks(path)))
     place = encoded.columns.index(ids_col)
     schema = StructType([*[f for f in encoded.schema if f.name != name], StructField(name, BinaryType())])
     kept = [i for i, c in enumerate(encoded.columns) if c != name]
 
-    def bytes_of(ids):
-        try:
-            return None if ids is None else b"".join(map(table.value.__getitem__, ids))
-        except KeyError:
-            return None
+    def data_of(column: pa.ListArray) -> pa.Array:
+        """Bytes of the rows whose ids are all known."""
+        flat = column.flatten()
+        ids = flat.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        counts = np.array([0 if n is None else n for n in column.value_lengths().to_pylist()], np.int64)
+        sizes = table.value.sizes_of(ids)
+        upto = np.concatenate(([0], np.cumsum(sizes < 0)))
+        ends = np.cumsum(counts)
+        bad = upto[ends] > upto[ends - counts]
+        good = np.repeat(~bad, counts)
+        data = table.value.bytes_of(ids[good])
+        lengths = np.concatenate(([0], np.cumsum(np.where(good, sizes, 0))))
+        offsets = np.concatenate(([0], lengths[ends])).astype(np.int32)
+        missing = bad | column.is_null().to_numpy(zero_copy_only=False)
+        valid = pa.py_buffer(np.packbits(~missing, bitorder="little").tobytes())
+        return pa.Array.from_buffers(pa.binary(), len(column), [valid, pa.py_buffer(offsets), pa.py_buffer(data)])
 
     def run(batches):
         for batch in batches:
-            data = pa.array([bytes_of(ids) for ids in _lists(batch.column(place))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], data],
-                                             names=[*[batch.schema.names[i] for i in kept], name])
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in kept], data_of(part.column(place))],
+                                                 names=[*[part.schema.names[i] for i in kept], name])
 
     return encoded.mapInArrow(run, schema)
-
-
-def _lists(column):
-    """Id lists one at a time, so that only one is held as Python numbers."""
-    for item in column:
-        yield item.as_py()
