@@ -1,11 +1,15 @@
 """Each operator of this subpackage as a query over its whole table, and its SQL twin where SQL can express it."""
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetweave.llm import byte_bpe, decontamination, imatch, language_id, line_dedup, lm_scoring, sharding, simhash_dedup, substring_dedup
+from fleetweave.llm import byte_bpe, decontamination, imatch, language_id, line_dedup, lm_scoring, sharding, simhash_dedup, substring_dedup, token_rollups
+from fleetweave.llm.scratch import stored
+from fleetweave.session import shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -141,3 +145,33 @@ ORACLES["op5_imatch"] = f"""
            len(list_filter(list_zip(own, changed), lambda x: x[1] = x[2])) / {imatch.VIEWS} AS near_edited,
            len(list_filter(list_zip(own, following), lambda x: x[1] = x[2])) / {imatch.VIEWS} AS near_next
     FROM paired JOIN ordered USING (doc_id) JOIN texts ON texts.doc_id = paired.doc_id AND texts.kind = 1"""
+
+
+TOKENIZERS = ("byte_bpe_50k", "byte_bpe_multi_50k")
+
+
+@query
+def op3_token_rollups(spark: SparkSession, path: str) -> DataFrame:
+    """Tokens by source, language and tokenizer version of all documents whose text no earlier one has.
+
+    Three batches lead there: every document is inserted with a quarter of its bytes as an estimate, every count is revised
+    to that of the tokenizer, and repeated texts are deleted. The second batch is sent twice, which changes nothing.
+    """
+    text = F.coalesce("text", F.lit(""))
+    docs = documents(spark, path).select("doc_id", "source", "lang", "text", F.ceil(F.octet_length(text) / 4).alias("estimate"),
+                                         F.md5(text).alias("digest"))
+    files = {v: (public_tokenizers.path(f"{v}.tiktoken"), public_tokenizers.PATTERN) for v in TOKENIZERS}
+    counts = stored(token_rollups.counted(docs, files, name="counted"))
+    firsts = counts.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    repeats = counts.join(firsts, "digest").where("doc_id <> first")
+
+    def changes(rows: DataFrame, op: str, new, old) -> DataFrame:
+        return rows.select(*token_rollups.KEYS, F.lit(op).alias("op"), F.expr(new).alias("n_tokens"), F.expr(old).alias("old_tokens"))
+
+    rollup = token_rollups.Rollup(spark, f"{shared_dir(spark)}/fleetweave-rollup-{uuid.uuid4().hex}")
+    recount = changes(counts, "revise", "counted", "estimate")
+    rollup.commit("load", changes(counts, "insert", "estimate", "cast(null as bigint)"))
+    rollup.commit("recount", recount)
+    rollup.commit("repeats", changes(repeats, "delete", "cast(null as bigint)", "counted"))
+    rollup.commit("recount", recount)
+    return rollup.totals()
