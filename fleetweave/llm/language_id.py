@@ -24,6 +24,7 @@ PIECE = 48  # bytes read in one go, white space aside
 BATCH, STEPS, RATE = 256, 500, 0.02
 SAMPLE_DOCS = 1200  # documents to learn from, shared out evenly over the languages
 SAMPLE_BYTES = 4 << 20  # of their texts together; the last one that fits is whole
+MOST_SENT = 10_000
 UNKNOWN = "und"
 MIN_SCORE = 0.3  # a best language below this is no better than a guess among a few
 RESULT = "id long, lang_pred string, score double"
@@ -234,6 +235,8 @@ def sample(docs: DataFrame, text_col: str, lang_col: str) -> list[tuple[bytes, s
         return []
     share = max(1, SAMPLE_DOCS // kinds)
     spread = F.pmod(F.xxhash64("_text", F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
+    # few languages are sent to every task, so that no text moves; more than that are met by a shuffle
+    counts = F.broadcast(counts) if kinds <= MOST_SENT else counts
     drawn = (known.join(counts, "_lang").where(spread * F.col("_rows") < share)
              .select("_text", "_lang").limit(2 * SAMPLE_DOCS))
     found, held = [], 0
