@@ -44,9 +44,8 @@ VIEWS = {
     "cycle_merges": """
         SELECT run_id, CAST(hour(ts) AS INTEGER) AS cycle, sender_id, receiver_id, count(*) AS n FROM receivers GROUP BY ALL""",
     "running_pairs": """
-        SELECT run_id, cycle, sender_id, receiver_id,
-               CAST(sum(n) OVER (PARTITION BY run_id, sender_id, receiver_id ORDER BY cycle) AS BIGINT) AS n_merges
-        FROM cycle_merges""",
+        SELECT c.run_id, c.cycle, m.sender_id, m.receiver_id, CAST(sum(m.n) AS BIGINT) AS n_merges
+        FROM cycles c JOIN cycle_merges m ON m.run_id = c.run_id AND m.cycle <= c.cycle GROUP BY ALL""",
     "pair_lists": """
         SELECT run_id, cycle,
                string_agg(sender_id || '-' || receiver_id || ':' || n_merges, ';' ORDER BY sender_id, receiver_id) AS csv_text,
@@ -206,8 +205,7 @@ VIEWS = {
         FROM telemetry GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 HOUR, telemetry.ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM telemetry)""",
     "monitor": """
         SELECT c.run_id, c.cycle, c.n_agents, c.mean_sim,
-               CAST(coalesce((SELECT sum(n) FROM cycle_merges m WHERE m.run_id = c.run_id AND m.cycle <= c.cycle
-                              AND EXISTS (FROM telemetry t WHERE t.run_id = m.run_id AND hour(t.ts) = m.cycle)), 0) AS BIGINT) AS merges
+               CAST(coalesce((SELECT sum(n) FROM cycle_merges m WHERE m.run_id = c.run_id AND m.cycle <= c.cycle), 0) AS BIGINT) AS merges
         FROM (SELECT a.run_id, a.cycle, CAST(count(DISTINCT a.robot_id) AS BIGINT) AS n_agents,
                      coalesce(avg(list_cosine_similarity(a.z, b.z)) FILTER (WHERE a.robot_id <> b.robot_id), 0) AS mean_sim
               FROM active a JOIN active b ON a.run_id = b.run_id AND a.cycle = b.cycle GROUP BY ALL) c""",
@@ -218,7 +216,7 @@ VIEWS = {
 NEEDS = {
     "robots": ["telemetry"], "world": ["robots"], "fleet": ["telemetry"], "latest": ["world"], "latest_pairs": ["latest"],
     "messages": ["telemetry"], "shares": ["messages"], "asked": ["shares", "fleet"], "placed": ["asked", "world"],
-    "receivers": ["placed"], "cycle_merges": ["receivers"], "running_pairs": ["cycle_merges"], "pair_lists": ["running_pairs"],
+    "receivers": ["placed"], "cycle_merges": ["receivers"], "running_pairs": ["cycle_merges", "cycles"], "pair_lists": ["running_pairs"],
     "cycles": ["telemetry"], "risen": ["cycles"], "steady": ["risen"], "judged": ["steady"], "runs": ["telemetry"],
     "ends": ["fleet"], "cycle_positions": ["ends", "world"], "cycle_pairs": ["cycle_positions"], "agents": ["vectors"],
     "beliefs": ["fleet", "agents"], "frontier": ["grids"], "reach": ["frontier"], "clusters": ["reach"], "targets": ["clusters"],
@@ -281,7 +279,7 @@ oracle("grid_to_cells", "grids", "SELECT map_id, CAST(0 AS BIGINT) AS seq, CAST(
 oracle("graph_assignment", "", """SELECT vec_id AS agent_id, vec_id * 900 AS ds_idx, p_partkey AS graph_id FROM embeddings
     JOIN (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS idx, count(*) OVER () AS n FROM part) ON vec_id * 900 % n = idx""")
 oracle("cycle_csv_rows", "judged cycle_positions pair_lists", f"""SELECT j.run_id, j.cycle,
-    strftime(CAST(j.run_id AS TIMESTAMP) + INTERVAL 1 HOUR * j.cycle, '%Y-%m-%dT%H:%M:%S') AS "timestamp", CAST(elapsed_sec AS BIGINT) AS elapsed_sec,
+    strftime(CAST(j.run_id AS TIMESTAMP) + INTERVAL 1 HOUR * j.cycle, '%Y-%m-%dT%H:%M:%S.%f') AS "timestamp", CAST(elapsed_sec AS BIGINT) AS elapsed_sec,
     round(mean_sim, 6) AS mean_sim, round(baseline, 6) AS baseline, round(rise, 6) AS rise,
     CASE WHEN converged THEN 'True' ELSE 'False' END AS converged,
     {', '.join(f"(SELECT round(p.{a}, 6) FROM cycle_positions p WHERE p.run_id = j.run_id AND p.cycle = j.cycle AND p.robot_id = {i}) AS robot{i}_{a}" for i in range(10) for a in 'xy')},
@@ -325,9 +323,9 @@ oracle("cycle_reports", "judged pair_lists", f"""SELECT run_id, cycle, {TREND} A
     || '  Baseline: ' || printf('%.4f', baseline) || '   Rise: ' || printf('%+.4f', rise) || ' (min 0.03)   Stable: ' || stable || '/3' || chr(10)
     || '  Status: ' || CASE WHEN converged THEN 'CONVERGED ✓ (monitoring continues)' ELSE 'NOT YET' END AS report
     FROM judged LEFT JOIN pair_lists USING (run_id, cycle)""")
-oracle("final_reports", "judged receivers", """
+oracle("final_reports", "judged cycle_merges", """
     , done AS (SELECT * FROM judged WHERE newly_converged),
-      counts AS (SELECT run_id, sender_id, receiver_id, count(*) AS n FROM receivers WHERE run_id IN (SELECT run_id FROM done) GROUP BY ALL)
+      counts AS (SELECT m.run_id, sender_id, receiver_id, sum(n) AS n FROM cycle_merges m JOIN done d ON m.run_id = d.run_id AND m.cycle <= d.cycle GROUP BY ALL)
     SELECT run_id, 0 AS line, 'CONVERGENCE REACHED at t=' || elapsed_sec || 's' AS text, -1 AS a, -1 AS b FROM done
     UNION ALL SELECT run_id, 1, '  Final mean pairwise similarity: ' || printf('%.4f', mean_sim), -1, -1 FROM done
     UNION ALL SELECT run_id, 2, '  Rise over baseline: ' || printf('%+.4f', rise), -1, -1 FROM done
@@ -356,6 +354,13 @@ oracle("similarity_matrix", "vectors", REQUESTS + """ SELECT a.request_id, a.ord
     FROM requests a JOIN requests b USING (request_id) JOIN vectors va ON va.agent_id = a.agent_id JOIN vectors vb ON vb.agent_id = b.agent_id
     WHERE a.request_id NOT IN (SELECT request_id FROM bad)""")
 oracle("similarity_request_failures", "vectors", REQUESTS + " SELECT request_id, false AS ok, 'similarity_query failed: ' || id AS error FROM bad")
+oracle("merge_request_failures", "vectors agents", """, asked AS (
+        SELECT agent_id AS seq, label + CASE WHEN agent_id % 11 = 0 THEN 100 ELSE 0 END AS receiver_id,
+               CASE WHEN agent_id % 13 = 0 THEN NULL WHEN agent_id % 7 = 0 THEN 10 ELSE 64 END AS got, agent_id % 17 = 0 AS odd FROM vectors),
+    verdicts AS (
+        SELECT seq, receiver_id, CASE WHEN receiver_id NOT IN (SELECT agent_id FROM agents) THEN 'unknown agent ' || receiver_id
+            WHEN got IS NULL THEN 'no vector' WHEN got <> 64 THEN 'expected 64 values, got ' || got WHEN odd THEN 'not a number' END AS error FROM asked)
+    SELECT seq, receiver_id, false AS ok, error FROM verdicts WHERE error IS NOT NULL""")
 oracle("usable_targets", "usable", "SELECT map_id, CAST(cluster_id AS BIGINT) AS cluster_id, n_cells, round(tx, 6) AS tx, round(ty, 6) AS ty FROM usable")
 for twin in ("frontier_cells", "frontier_cells_joined"):
     oracle(twin, "frontier", "SELECT map_id, CAST(cell AS BIGINT) AS cell, x, y FROM frontier")
@@ -396,7 +401,7 @@ oracle("duplicate_writers", "telemetry", """SELECT run_id, robot_id, CAST(hour(t
 oracle("merged_embeddings", "folds", """SELECT agent_id, n_folded, CAST(unnest(range(64)) AS INTEGER) AS pos, round(unnest(z), 6) AS z FROM folds""")
 oracle("merge_replies", "folds", """SELECT agent_id, 0.5::DOUBLE AS gate, round(sqrt(list_dot_product(z, z)), 6) AS z_norm, round(z[1], 6) AS z_first FROM folds""")
 oracle("share_traffic", "receivers", """SELECT s.run_id, s.sender_id AS robot_id, epoch_us(time_bucket(INTERVAL 6 HOUR, s.ts)) AS bucket_us, count(*) AS broadcasts,
-    CAST(sum((SELECT count(*) FROM receivers r WHERE r.msg_id = s.msg_id)) AS BIGINT) AS recipients, CAST(sum(length(payload)) AS BIGINT) AS bytes,
+    CAST(sum((SELECT count(*) FROM receivers r WHERE r.msg_id = s.msg_id)) AS BIGINT) AS recipients, CAST(sum(strlen(payload)) AS BIGINT) AS bytes,
     round(avg(CASE WHEN (k + 0.5::DOUBLE) / 50 - 1 > 0.7 THEN 0.2::DOUBLE WHEN (k + 0.5::DOUBLE) / 50 - 1 > 0.4 THEN 0.4 ELSE 0.65 END), 6) AS mean_retention FROM shares s GROUP BY ALL""")
 oracle("peers_in_range", "latest_pairs", """SELECT l.run_id, l.robot_id, count(j) AS n_peers, CAST(0 AS BIGINT) AS page, coalesce(string_agg(j, ',' ORDER BY j), '') AS peers
     FROM latest l LEFT JOIN latest_pairs p ON p.run_id = l.run_id AND p.i = l.robot_id GROUP BY l.run_id, l.robot_id""")
@@ -448,8 +453,7 @@ oracle("carried_similarity", "cycle_pairs beliefs", """, directed AS (SELECT run
     read AS (SELECT d.*, CASE WHEN (cycle + i + j) % 3 <> 0 THEN list_cosine_similarity(a.z, b.z) + cycle / 100.0::DOUBLE END AS sim FROM directed d
              JOIN beliefs a ON a.run_id = d.run_id AND a.robot_id = i JOIN beliefs b ON b.run_id = d.run_id AND b.robot_id = j)
     SELECT run_id, i, j, cycle, round(last_value(sim IGNORE NULLS) OVER (PARTITION BY run_id, i, j ORDER BY cycle), 6) AS known_sim FROM read""")
-oracle("running_merges", "cycles cycle_merges", """SELECT c.run_id, c.cycle, CAST(coalesce(sum((SELECT sum(n) FROM cycle_merges m WHERE m.run_id = c.run_id AND m.cycle = c.cycle))
-    OVER (PARTITION BY c.run_id ORDER BY c.cycle), 0) AS BIGINT) AS merges FROM cycles c""")
+oracle("running_merges", "cycles cycle_merges", """SELECT c.run_id, c.cycle, CAST(coalesce((SELECT sum(n) FROM cycle_merges m WHERE m.run_id = c.run_id AND m.cycle <= c.cycle), 0) AS BIGINT) AS merges FROM cycles c""")
 oracle("next_targets", "usable", """, seen AS (SELECT *, sqrt((tx + map_id) ** 2 + (ty - map_id) ** 2) AS d FROM usable),
     best AS (SELECT * FROM seen QUALIFY row_number() OVER (PARTITION BY map_id ORDER BY d < 0.5, d, cluster_id) = 1)
     SELECT map_id, map_id AS robot_id, CAST(cluster_id AS BIGINT) AS cluster_id, n_cells, d < 0.5 AS projected, round(tx, 6) AS fx, round(ty, 6) AS fy,

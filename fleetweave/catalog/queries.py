@@ -15,7 +15,7 @@ from fleetweave.sinks import rejects, reports
 from fleetweave.sources import fixtures as fx
 from fleetweave.sources import graphs, messages
 from fleetweave.session import cut_lineage
-from fleetweave.streaming import batches, stateful, stateless
+from fleetweave.streaming import batches, stateless
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 HOUR = 3600.0
@@ -23,7 +23,7 @@ RAW_EVENTS = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
     T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
     T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
-ROBOT_IDS = list(range(10))
+ROBOT_IDS = list(range(10))  # the fleet, which decides the columns of the CSV export
 
 
 def query(fn):
@@ -73,7 +73,9 @@ def receivers(spark, path) -> DataFrame:
 
 
 def cycle_merges(spark, path) -> DataFrame:
-    return monitor.merge_cycles(receivers(spark, path), 3600)
+    heard = receivers(spark, path)
+    starts = fx.fleet(spark, path).select("run_id").distinct().withColumn("start", F.to_timestamp("run_id"))
+    return monitor.merge_cycles(heard, starts, 3600)
 
 
 def judged(spark, path) -> DataFrame:
@@ -81,10 +83,8 @@ def judged(spark, path) -> DataFrame:
 
 
 def running_pairs(spark, path) -> DataFrame:
-    """Merges per (run, cycle) and pair, cumulative over the cycles in which the pair merged."""
-    found = cycle_merges(spark, path).withColumnRenamed("n", "_n")
-    pair = ["run_id", "sender_id", "receiver_id"]
-    return scan.running(found, pair, ["cycle"], scan.by_number("cycle"), total={"n_merges": "_n"}).drop("_n")
+    """Every pair that has merged so far with its count, per cycle of its run."""
+    return merging.running_pairs(fx.cycles(spark, path), cycle_merges(spark, path))
 
 
 def targets(spark, path) -> DataFrame:
@@ -252,14 +252,17 @@ def similarity_colours(spark, path):
 
 @query
 def cycle_reports(spark, path):
-    pairs = reports.among(running_pairs(spark, path), ROBOT_IDS)
+    pairs = reports.gathered(running_pairs(spark, path))
     return reports.cycle_report(judged(spark, path).join(pairs, ["run_id", "cycle"], "left"))
 
 
 @query
 def final_reports(spark, path):
-    report = merging.merge_report(merging.merge_counts(receivers(spark, path)))
-    return reports.final_report(judged(spark, path), report)
+    """The report that each run's converging cycle writes, with the merges up to that cycle."""
+    found = judged(spark, path)
+    until = found.where("newly_converged").select("run_id", F.col("cycle").alias("_until"))
+    counts = cycle_merges(spark, path).join(until, "run_id").where("cycle <= _until").withColumnRenamed("n", "n_merges")
+    return reports.final_report(found, merging.merge_report(counts))
 
 
 @query
@@ -287,7 +290,7 @@ def projected_points(spark, path):
 
 @query
 def pair_texts(spark, path):
-    pairs = reports.among(running_pairs(spark, path), ROBOT_IDS)
+    pairs = reports.gathered(running_pairs(spark, path))
     return fx.cycles(spark, path).join(pairs, ["run_id", "cycle"], "left").select(
         "run_id", "cycle", F.coalesce(labels.format_pairs("pairs"), F.lit("")).alias("csv_text"),
         labels.format_active_pairs("pairs").alias("report_text"))
@@ -460,6 +463,18 @@ def merged_embeddings(spark, path):
     return rounded(flat, "z")
 
 
+@query
+def merge_request_failures(spark, path):
+    """Merge requests that name no agent, or carry no vector, one of the wrong length, or one that is not all numbers."""
+    seq = F.col("seq")
+    vector = (F.when(seq % 13 == 0, F.lit(None)).when(seq % 7 == 0, F.slice("r", 1, 10))
+              .when(seq % 17 == 0, F.concat(F.array(F.lit(float("nan"))), F.slice("r", 2, 63))).otherwise(F.col("r")))
+    receiver = F.when(seq % 11 == 0, F.col("receiver_id") + 100).otherwise(F.col("receiver_id"))
+    events = fx.merge_events(spark, path).select(receiver.alias("receiver_id"), "seq", vector.alias("r"))
+    found = merging.checked_merges(fx.agents(spark, path), events).where("error is not null")
+    return found.select("seq", "receiver_id", F.lit(False).alias("ok"), "error")
+
+
 @query
 def merge_replies(spark, path):
     folded = merging.merge_embeddings(fx.agents(spark, path), fx.merge_events(spark, path))
@@ -691,25 +706,34 @@ def cluster_similarity(spark, path):
 
 
 def round_inputs(spark, path):
-    """Agents with three-dimensional beliefs, a trade graph each, and noon as the moment of the round."""
+    """Agents with their whole beliefs, a trade graph each, and noon as the moment of the round."""
     day = F.dayofmonth(F.to_date("run_id"))
-    agents = fx.fleet_agents(spark, path).select("run_id", "robot_id", F.slice("z", 1, 3).alias("z"),
+    agents = fx.fleet_agents(spark, path).select("run_id", "robot_id", "z",
                                                  ((day * 10 + F.col("robot_id")) % 25).cast("long").alias("graph_id"))
     at = fx.fleet(spark, path).select("run_id").distinct().withColumn(
         "ts", F.to_timestamp("run_id") + F.expr("INTERVAL 12 HOURS"))
     return fx.world(spark, path), agents, *trade_graphs(spark, path), at
 
 
+def wide_embedding(nodes, edges) -> DataFrame:
+    """A user's embedding as long as the beliefs: 64 mixtures of the mean node features."""
+    mean = knowledge.mean_features(nodes, edges)
+    value = lambda k: (F.element_at("_mean", 1) * F.cos(k) + F.element_at("_mean", 2) * F.sin(k)
+                       + F.element_at("_mean", 3) * F.cos(2 * k))
+    return (mean.withColumnRenamed("z", "_mean")
+            .withColumn("z", F.transform(F.sequence(F.lit(0), F.lit(63)), value)).drop("_mean"))
+
+
 @query
 def sharing_round_sends(spark, path):
-    sends = sharing_round.sharing_round(*round_inputs(spark, path)).sends
+    sends = sharing_round.sharing_round(*round_inputs(spark, path), embed=wide_embedding).sends
     return rounded(sends, "min_sim", "node_retention")
 
 
 @query
 def sharing_round_beliefs(spark, path):
-    beliefs = sharing_round.sharing_round(*round_inputs(spark, path)).beliefs
-    return beliefs.select("run_id", "robot_id", "n_folded", *[r6(F.element_at("z", i + 1)).alias(f"z{i}") for i in range(3)])
+    beliefs = sharing_round.sharing_round(*round_inputs(spark, path), embed=wide_embedding).beliefs
+    return rounded(beliefs.select("run_id", "robot_id", "n_folded", F.posexplode("z").alias("pos", "z")), "z")
 
 
 @query
@@ -806,7 +830,7 @@ def stream_cycles(spark, path):
 def stream_convergence(spark, path):
     source, out = cycle_table(spark, path), batches.work_dir(spark)
     cycles = stateless.subscribe(spark, source, spark.read.parquet(source).schema)
-    finished(stateful.stream_convergence(cycles), batches.epoch_writer(f"{out}/table"), "append", out)
+    finished(cycles, batches.convergence_batches(f"{out}/state", f"{out}/table"), "append", out)
     found = spark.read.parquet(f"{out}/table")
     return rounded(found.select("run_id", us().alias("us"), "mean_sim", "merges", "baseline", "delta", "rise", "stable",
                                 "converged"), "mean_sim", "baseline", "delta", "rise")

@@ -27,11 +27,42 @@ def merge_report(counts: DataFrame) -> DataFrame:
 
 
 def running_merges(cycles: DataFrame, merges: DataFrame) -> DataFrame:
-    """Cumulative merges of each run at each cycle; ``merges(run_id, cycle, n)``, cycles without any count 0."""
-    per_cycle = merges.groupBy("run_id", "cycle").agg(F.sum("n").alias("_n"))
-    joined = (cycles.select("run_id", "cycle").join(per_cycle, ["run_id", "cycle"], "left")
-              .withColumn("_n", F.coalesce("_n", F.lit(0)).cast("long")))
-    return scan.running(joined, ["run_id"], ["cycle"], scan.by_number("cycle"), total={"merges": "_n"}).drop("_n")
+    """Cumulative merges of each run at each cycle; ``merges(run_id, cycle, n)``.
+
+    Merges of a cycle that has no row of its own, because its reading failed, count from the next one on.
+    """
+    marked = cycles.select("run_id", "cycle", F.lit(0).cast("long").alias("n"), F.lit(True).alias("_listed"))
+    both = marked.unionByName(merges.select("run_id", "cycle", F.col("n").cast("long"), F.lit(False).alias("_listed")))
+    summed = both.groupBy("run_id", "cycle").agg(F.sum("n").alias("_n"), F.max("_listed").alias("_listed"))
+    totals = scan.running(summed, ["run_id"], ["cycle"], scan.by_number("cycle"), total={"merges": "_n"})
+    return totals.where("_listed").select("run_id", "cycle", "merges")
+
+
+def running_pairs(cycles: DataFrame, merges: DataFrame) -> DataFrame:
+    """Per cycle of each run, every pair that has merged so far with its count: (run_id, cycle, sender_id, receiver_id,
+    n_merges). ``merges(run_id, cycle, sender_id, receiver_id, n)``; the result has a row per pair and later cycle.
+    """
+    pair = ["run_id", "sender_id", "receiver_id"]
+    firsts = merges.groupBy(*pair).agg(F.min("cycle").alias("_first"))
+    due = cycles.select("run_id", "cycle").join(firsts, "run_id").where("cycle >= _first")
+    due = due.select(*pair, "cycle", F.lit(0).cast("long").alias("n"), F.lit(True).alias("_listed"))
+    both = due.unionByName(merges.select(*pair, "cycle", F.col("n").cast("long"), F.lit(False).alias("_listed")))
+    summed = both.groupBy(*pair, "cycle").agg(F.sum("n").alias("_n"), F.max("_listed").alias("_listed"))
+    totals = scan.running(summed, pair, ["cycle"], scan.by_number("cycle"), total={"n_merges": "_n"})
+    return totals.where("_listed").select("run_id", "cycle", "sender_id", "receiver_id", "n_merges")
+
+
+def checked_merges(agents: DataFrame, events: DataFrame, keys: tuple[str, str] = ("agent_id", "receiver_id")) -> DataFrame:
+    """``events`` with ``error``: null, or why a merge request cannot be carried out; the agent's belief stays as it was."""
+    agent, receiver = keys
+    common = [c for c in agents.columns if c in events.columns and c not in (agent, "z")]
+    sizes = agents.select(*common, F.col(agent).alias(receiver), F.size("z").alias("_size"))
+    odd = F.exists("r", lambda x: x.isNull() | F.isnan(x.cast("double")))
+    error = (F.when(F.col("_size").isNull(), F.concat(F.lit("unknown agent "), F.coalesce(F.col(receiver).cast("string"), F.lit("null"))))
+             .when(F.col("r").isNull(), F.lit("no vector"))
+             .when(F.size("r") != F.col("_size"), F.format_string("expected %d values, got %d", "_size", F.size("r")))
+             .when(odd, F.lit("not a number")))
+    return events.join(sizes, [*common, receiver], "left").withColumn("error", error).drop("_size")
 
 
 def share_traffic(shares: DataFrame, receivers: DataFrame, interval: str = "8 seconds") -> DataFrame:
@@ -44,18 +75,19 @@ def share_traffic(shares: DataFrame, receivers: DataFrame, interval: str = "8 se
     return (sent.join(heard, ["run_id", "msg_id"], "left")
             .groupBy("run_id", F.col("sender_id").alias("robot_id"), F.window("ts", interval)["start"].alias("bucket"))
             .agg(F.count("*").alias("broadcasts"), F.sum(F.coalesce("_heard", F.lit(0))).cast("long").alias("recipients"),
-                 F.avg("retention").alias("mean_retention"), F.sum(F.length("payload")).cast("long").alias("bytes")))
+                 F.avg("retention").alias("mean_retention"), F.sum(F.octet_length("payload")).cast("long").alias("bytes")))
 
 
 def merge_embeddings(agents: DataFrame, events: DataFrame, self_w: float = 0.7, recv_w: float = 0.3,
                      keys: tuple[str, str] = ("agent_id", "receiver_id"), rows: int = ROUND_ROWS) -> DataFrame:
     """Fold each receiver's incoming vectors, in ``seq`` order, into its belief.
 
-    ``agents(agent_id, z)``, ``events(receiver_id, seq, r)``; an agent without events keeps its belief. The step
-    renormalises, so it is not associative and one receiver's history is inherently sequential.
+    ``agents(agent_id, z)``, ``events(receiver_id, seq, r)``; an agent without events keeps its belief, and events that
+    ``checked_merges`` finds fault with are passed over. The step renormalises, so it is not associative and one receiver's history is inherently sequential.
     """
     agent, receiver = keys
     common = [c for c in agents.columns if c in events.columns and c not in (agent, "z")]
+    events = checked_merges(agents, events, keys).where("error is null")
     incoming = events.select(*common, F.col(receiver).alias(agent), "seq", doubles("r").alias("r"))
     start = agents.withColumn("z", doubles("z"))
     return fold_states(start, incoming, [*common, agent], "seq", "r", "z",

@@ -9,8 +9,6 @@ class Params:
     """Tunable parameters with their standard defaults."""
 
     comm_range: float = 3.0
-    share_interval: float = 8.0
-    monitor_interval: float = 10.0
     min_rise: float = 0.03
     stability_eps: float = 0.005
     stable_cycles: int = 3
@@ -50,6 +48,3 @@ GOAL_TIMEOUT = 120.0
 MIN_GOAL_PERIOD = 2.0
 MAP_REFRESH = 5.0
 ON_TARGET = 1e-2
-RELATION_TYPES = 237
-# Default spawn poses of the five-robot fleet, by robot id.
-DEFAULT_SPAWNS = ((3.0, 0.0), (1.2, 3.8), (-3.2, 2.4), (-3.2, -2.4), (1.2, -3.8))

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetweave.functions import labels
 from fleetweave.operators import convergence, merging, similarity
 from fleetweave.params import Params
 from fleetweave.session import cut_lineage
@@ -21,8 +22,8 @@ def monitor_cycles(beliefs: DataFrame, merges: DataFrame, params: Params = Param
     return convergence.convergence(cycles, params.min_rise, params.stability_eps, params.stable_cycles)
 
 
-def merge_cycles(receivers: DataFrame, cycle_sec: int) -> DataFrame:
-    """Shares heard per (run, cycle, sender, receiver); a cycle is a whole number of seconds of the day."""
-    second = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
-    return (receivers.withColumn("cycle", F.floor(second / cycle_sec).cast("int"))
+def merge_cycles(receivers: DataFrame, starts: DataFrame, cycle_sec: int) -> DataFrame:
+    """Shares heard per (run, cycle, sender, receiver); cycles count whole seconds from ``starts(run_id, start)``."""
+    cycle = F.floor(labels.elapsed_sec("ts", "start") / cycle_sec).cast("int")
+    return (receivers.join(starts, "run_id").withColumn("cycle", cycle)
             .groupBy("run_id", "cycle", "sender_id", "receiver_id").agg(F.count("*").alias("n")))

@@ -11,15 +11,14 @@ from fleetweave.operators.proximity import in_range_pairs
 CYCLE = ["run_id", "cycle"]
 
 
-def among(pair_counts: DataFrame, robot_ids: list[int]) -> DataFrame:
-    """Counts among the listed robots, gathered per cycle; the list bounds every array."""
-    listed = pair_counts.where(F.col("sender_id").isin(robot_ids) & F.col("receiver_id").isin(robot_ids))
+def gathered(pair_counts: DataFrame) -> DataFrame:
+    """All pair counts of each cycle in one array, which is as long as the run has pairs."""
     pair = F.struct(F.col("sender_id").alias("a"), F.col("receiver_id").alias("b"), F.col("n_merges").alias("c"))
-    return listed.groupBy(*CYCLE).agg(F.collect_list(pair).alias("pairs"))
+    return pair_counts.groupBy(*CYCLE).agg(F.collect_list(pair).alias("pairs"))
 
 
 def cycle_rows(cycles: DataFrame, positions: DataFrame, pair_counts: DataFrame, robot_ids: list[int]) -> DataFrame:
-    """One wide row per cycle, with two columns per listed robot and the pair counts as text.
+    """One wide row per cycle, with two columns per robot of the fleet and all pair counts as text.
 
     ``cycles(run_id, cycle, ts, elapsed_sec, mean_sim, baseline, rise, converged)``, ``positions(run_id, cycle,
     robot_id, x, y)``, ``pair_counts(run_id, cycle, sender_id, receiver_id, n_merges)``.
@@ -28,8 +27,8 @@ def cycle_rows(cycles: DataFrame, positions: DataFrame, pair_counts: DataFrame,
              .pivot("robot_id", robot_ids).agg(F.first("x").alias("x"), F.first("y").alias("y")))
     places = [F.col(f"{i}_{axis}").alias(f"robot{i}_{axis}") for i in robot_ids for axis in "xy"]
     flag = F.when(F.col("converged"), "True").otherwise("False")
-    return (cycles.join(spots, CYCLE, "left").join(among(pair_counts, robot_ids), CYCLE, "left")
-            .select("run_id", "cycle", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), "elapsed_sec",
+    return (cycles.join(spots, CYCLE, "left").join(gathered(pair_counts), CYCLE, "left")
+            .select("run_id", "cycle", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), "elapsed_sec",
                     "mean_sim", "baseline", "rise", flag.alias("converged"), *places,
                     F.coalesce(labels.format_pairs("pairs"), F.lit("")).alias("pair_counts")))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetweave.operators import frontiers, merging, motion, proximity, scan
 from fleetweave.params import MIN_CLUSTER, Params
-from fleetweave.session import STATE_STORE, shared_dir
+from fleetweave.session import STATE_STORE, cut_lineage, shared_dir
 
 _P = Params()
 
@@ -161,6 +161,49 @@ def merge_batches(state: str, out: str, agents: DataFrame, self_w: float = _P.se
     return fold
 
 
+def convergence_batches(state: str, out: str, params: Params = _P, chunk_sec: float = scan.HOUR):
+    """foreachBatch function judging cycles as the batch operator does, with one carried row per run.
+
+    Batches hold ``(run_id, ts, mean_sim, merges)``, merges of the cycle itself, in time order from batch to batch. Within
+    a batch rows may come in any order, and a long backlog of one run is cut into time chunks.
+    """
+    carried, run = Carried(state), ["run_id"]
+    kept = "run_id string, _ts timestamp, _base double, _sim double, _merged long, _calm long, _done boolean"
+
+    def judge(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()
+        before = carried.load(batch.sparkSession, epoch)
+        before = batch.sparkSession.createDataFrame([], kept) if before is None else before
+        chunk = scan.by_time("ts", chunk_sec)
+        steps = scan.running(batch.select("run_id", "ts", "mean_sim", "merges"), run, ["ts"], chunk,
+                             first={"_first": "mean_sim"}, prev={"_prev": "mean_sim"},
+                             total={"_pos": F.lit(1).cast("long"), "_heard": F.col("merges").cast("long")})
+        steps = steps.join(before.drop("_ts"), run, "left")
+        last = F.coalesce("_prev", "_sim")
+        steps = steps.withColumns({"baseline": F.coalesce("_base", "_first"), "merges": F.coalesce("_merged", F.lit(0)) + F.col("_heard"),
+                                   "delta": F.coalesce(F.col("mean_sim") - last, F.lit(0.0)),
+                                   "_moved": last.isNull() | (F.abs(F.col("mean_sim") - last) >= params.stability_eps)})
+        steps = steps.withColumn("rise", F.col("mean_sim") - F.col("baseline"))
+        reset = scan.running(cut_lineage(steps), run, ["ts"], chunk, last={"_reset": F.when(F.col("_moved"), F.col("_pos"))})
+        calm = F.col("_pos") - F.coalesce("_reset", -F.coalesce("_calm", F.lit(0)))
+        hit = (F.col("merges") > 0) & (F.col("rise") >= params.min_rise) & (F.col("stable") >= params.stable_cycles)
+        marked = reset.withColumn("stable", calm).withColumn("_hit", hit.cast("long"))
+        latched = scan.running(cut_lineage(marked), run, ["ts"], chunk, total={"_hits": "_hit"})
+        earlier = F.coalesce("_done", F.lit(False))
+        judged = cut_lineage(latched.withColumns({"newly_converged": ~earlier & (F.col("_hit") == 1) & (F.col("_hits") == 1),
+                                                  "converged": earlier | (F.col("_hits") > 0)}))
+        judged.select("run_id", "ts", "mean_sim", "merges", "baseline", "delta", "rise", "stable", "newly_converged",
+                      "converged").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        newest = judged.select("run_id", F.col("ts").alias("_ts"), F.col("baseline").alias("_base"), F.col("mean_sim").alias("_sim"),
+                               F.col("merges").alias("_merged"), F.col("stable").alias("_calm"), F.col("converged").alias("_done"))
+        names = [c for c in newest.columns if c != "run_id"]
+        latest = newest.unionByName(before).groupBy("run_id").agg(F.max_by(F.struct(*names), "_ts").alias("_r"))
+        carried.save(latest.select("run_id", "_r.*"), epoch)
+        batch.unpersist()
+
+    return judge
+
+
 def frontier_batches(out: str, min_cells: int = MIN_CLUSTER):
     """foreachBatch function writing the frontier targets of each batch of new maps."""
     def detect(batch: DataFrame, epoch: int) -> None:

@@ -45,7 +45,7 @@ def stream_share_traffic(shares: DataFrame, interval: str = "8 seconds", slide:
     """Broadcasts and bytes per robot in tumbling or sliding intervals."""
     window = F.window("ts", interval, slide) if slide else F.window("ts", interval)
     return (stream_telemetry(shares, late).groupBy(window.alias("w"), "run_id", "robot_id")
-            .agg(F.count("*").alias("broadcasts"), F.sum(F.length("payload")).cast("long").alias("bytes"))
+            .agg(F.count("*").alias("broadcasts"), F.sum(F.octet_length("payload")).cast("long").alias("bytes"))
             .select("run_id", "robot_id", F.col("w.start").alias("start"), "broadcasts", "bytes"))
 
 

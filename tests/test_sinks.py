@@ -8,23 +8,27 @@ from fleetweave.sinks import rejects, reports
 
 
 def csv_inputs(spark, at):
-    cycles = spark.createDataFrame([("r", 0, at(0), 0, 0.50, 0.50, 0.0, False), ("r", 1, at(10), 10, 0.62, 0.50, 0.12, False)],
+    cycles = spark.createDataFrame([("north", 4, at(40), 40, 0.31, 0.25, 0.06, False), ("north", 5, at(50.25), 50, 0.44, 0.25, 0.19, True)],
                                    "run_id string, cycle int, ts timestamp, elapsed_sec int, mean_sim double, baseline double, "
                                    "rise double, converged boolean")
-    spots = spark.createDataFrame([("r", 1, 0, 1.0, 2.0), ("r", 1, 1, -0.5, 4.25)], "run_id string, cycle int, robot_id int, x double, y double")
-    counts = spark.createDataFrame([("r", 1, 0, 1, 2), ("r", 1, 1, 2, 1)], "run_id string, cycle int, sender_id int, receiver_id int, n_merges long")
+    spots = spark.createDataFrame([("north", 5, 3, 7.5, -1.25), ("north", 5, 8, 0.0, 3.0)],
+                                  "run_id string, cycle int, robot_id int, x double, y double")
+    counts = spark.createDataFrame([("north", 5, 8, 3, 12), ("north", 5, 3, 11, 4)],
+                                   "run_id string, cycle int, sender_id int, receiver_id int, n_merges long")
     return cycles, spots, counts
 
 
 def test_cycle_csv(spark, at, tmp_path):
-    reports.write_cycle_csv(*csv_inputs(spark, at), [0, 1, 2], str(tmp_path / "out"))
-    (file,) = Path(tmp_path / "out" / "run_id=r").glob("*.csv")
+    """The columns follow the fleet; the pair text lists every pair, also with a robot that has no column."""
+    reports.write_cycle_csv(*csv_inputs(spark, at), [3, 5, 8], str(tmp_path / "out"))
+    (file,) = Path(tmp_path / "out" / "run_id=north").glob("*.csv")
     first, second = csv.DictReader(file.open())
-    assert list(second) == ["timestamp", "elapsed_sec", "mean_sim", "baseline", "rise", "converged", "robot0_x", "robot0_y",
-                            "robot1_x", "robot1_y", "robot2_x", "robot2_y", "pair_counts"]
-    assert second["pair_counts"] == "0-1:2;1-2:1" and second["robot2_x"] == second["robot2_y"] == ""
-    assert (second["robot1_x"], second["robot1_y"], second["rise"], second["converged"]) == ("-0.5", "4.25", "0.12", "False")
-    assert first["pair_counts"] == "" and first["timestamp"] == "2024-01-01T00:00:00"
+    assert list(second) == ["timestamp", "elapsed_sec", "mean_sim", "baseline", "rise", "converged", "robot3_x", "robot3_y",
+                            "robot5_x", "robot5_y", "robot8_x", "robot8_y", "pair_counts"]
+    assert second["pair_counts"] == "3-11:4;8-3:12" and second["robot5_x"] == second["robot5_y"] == ""
+    assert (second["robot3_x"], second["robot3_y"], second["rise"], second["converged"]) == ("7.5", "-1.25", "0.19", "True")
+    assert first["pair_counts"] == "" and first["converged"] == "False"
+    assert (first["timestamp"], second["timestamp"]) == ("2024-01-01T00:00:40.000000", "2024-01-01T00:00:50.250000")
 
 
 def test_empty_path_writes_nothing(spark, at, tmp_path, monkeypatch):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetweave.operators import convergence, merging, motion, proximity
-from fleetweave.streaming import batches, stateful, stateless
+from fleetweave.streaming import batches, stateless
 
 
 def feed(spark, df, path, order, files=4):
@@ -57,7 +57,7 @@ def test_convergence(spark, at, tmp_path):
             for k in range(5) for c in range(24)]
     cycles = spark.createDataFrame(rows, "run_id string, cycle int, ts timestamp, mean_sim double, merges long")
     stream = feed(spark, cycles.drop("cycle"), f"{tmp_path}/in", ["ts"])
-    work(stateful.stream_convergence(stream), batches.epoch_writer(f"{tmp_path}/out"), "append", tmp_path)
+    work(stream, batches.convergence_batches(f"{tmp_path}/state", f"{tmp_path}/out"), "append", tmp_path)
     running = merging.running_merges(cycles, cycles.select("run_id", "cycle", F.col("merges").alias("n")))
     want = convergence.convergence(cycles.drop("merges").join(running, ["run_id", "cycle"]))
     columns = ["run_id", "ts", "merges", "baseline", "delta", "rise", "stable", "newly_converged", "converged"]
