@@ -439,16 +439,16 @@ oracle("behaviour_timeline", "world fleet", """, ticks AS (SELECT run_id, robot_
         WHEN event_id IN (SELECT event_id FROM near_ticks) THEN 'flock' ELSE 'explore' END AS state FROM seen""")
 oracle("frozen_pairs", "cycle_pairs", """SELECT run_id, cycle, i, j, round(dist, 6) AS dist, round(max(dist) OVER w - min(dist) OVER w, 6) AS spread,
     count(*) OVER w = 4 AND max(dist) OVER w - min(dist) OVER w < 0.01 AS frozen
-    FROM cycle_pairs WINDOW w AS (PARTITION BY run_id, i, j ORDER BY cycle ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""")
+    FROM cycle_pairs WINDOW w AS (PARTITION BY run_id, i, j ORDER BY cycle RANGE BETWEEN 3 PRECEDING AND CURRENT ROW)""")
 oracle("isolated_robots", "cycle_pairs", """SELECT run_id, cycle, robot_id FROM cycle_positions c
     WHERE NOT EXISTS (FROM cycle_pairs p WHERE p.run_id = c.run_id AND p.cycle = c.cycle AND (p.i = c.robot_id OR p.j = c.robot_id))""")
 oracle("goal_outcomes", "outcomes", "SELECT robot_id, goal_num, outcome, outcome <> 'reached' AS blacklisted FROM outcomes")
 oracle("goal_blacklist", "outcomes", "SELECT DISTINCT robot_id, round(gx, 6) AS bx, round(gy, 6) AS by FROM outcomes WHERE outcome <> 'reached'")
-oracle("dispatch_gaps", "goal_log", """SELECT robot_id, goal_num, round(gap, 6) AS gap_sec, coalesce(gap < 600, false) AS too_soon FROM (SELECT *,
-    (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY robot_id ORDER BY ts, goal_num))) / 1000000.0::DOUBLE AS gap FROM goal_log)""")
-oracle("stale_maps", "goal_log", """, maps AS (SELECT CAST(l_suppkey % 10 AS INTEGER) AS robot_id, l_shipdate + INTERVAL 1 SECOND * l_orderkey AS ts FROM lineitem)
+oracle("dispatch_gaps", "outcomes", """SELECT robot_id, goal_num, round(gap, 6) AS gap_sec, coalesce(gap < 600, false) AS too_soon FROM (SELECT *,
+    (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY robot_id ORDER BY ts, goal_num))) / 1000000.0::DOUBLE AS gap FROM outcomes WHERE outcome <> 'resent')""")
+oracle("stale_maps", "outcomes", """, maps AS (SELECT CAST(l_suppkey % 10 AS INTEGER) AS robot_id, l_shipdate + INTERVAL 1 SECOND * l_orderkey AS ts FROM lineitem)
     SELECT g.robot_id, g.goal_num, epoch_us(m.ts) AS next_us, coalesce(epoch_us(m.ts) - (epoch_us(g.ts) + CAST(took AS BIGINT) * 1000000) > 43200000000, true) AS stale
-    FROM goal_log g ASOF LEFT JOIN maps m ON g.robot_id = m.robot_id AND g.ts < m.ts""")
+    FROM (FROM outcomes WHERE outcome NOT IN ('resent', 'timed_out')) g ASOF LEFT JOIN maps m ON g.robot_id = m.robot_id AND g.ts < m.ts""")
 oracle("carried_similarity", "cycle_pairs beliefs", """, directed AS (SELECT run_id, cycle, i, j FROM cycle_pairs UNION ALL SELECT run_id, cycle, j, i FROM cycle_pairs),
     read AS (SELECT d.*, CASE WHEN (cycle + i + j) % 3 <> 0 THEN list_cosine_similarity(a.z, b.z) + cycle / 100.0::DOUBLE END AS sim FROM directed d
              JOIN beliefs a ON a.run_id = d.run_id AND a.robot_id = i JOIN beliefs b ON b.run_id = d.run_id AND b.robot_id = j)

@@ -601,13 +601,13 @@ def goal_blacklist(spark, path):
 
 @query
 def dispatch_gaps(spark, path):
-    found = goals.dispatch_gaps(fx.goal_log(spark, path), 600.0)
+    found = goals.dispatch_gaps(goals.goal_outcomes(fx.goal_log(spark, path)), 600.0)
     return rounded(found.select("robot_id", "goal_num", "gap_sec", "too_soon"), "gap_sec")
 
 
 @query
 def stale_maps(spark, path):
-    found = goals.stale_maps(fx.goal_log(spark, path), map_updates(spark, path), 12 * HOUR)
+    found = goals.stale_maps(goals.goal_outcomes(fx.goal_log(spark, path)), map_updates(spark, path), 12 * HOUR)
     return found.select("robot_id", "goal_num", us("next_map").alias("next_us"), "stale")
 
 

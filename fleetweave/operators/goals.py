@@ -120,19 +120,25 @@ def blacklist_points(outcomes: DataFrame) -> DataFrame:
 
 
 def dispatch_gaps(goal_log: DataFrame, floor_sec: float = MIN_GOAL_PERIOD, chunk_sec: float = DAY) -> DataFrame:
-    """Seconds since the robot's previous goal, flagged when under the floor."""
+    """Seconds since the robot's previous dispatch, flagged when under the floor; candidates never sent are left out."""
+    goal_log = goal_log.where("dispatched") if "dispatched" in goal_log.columns else goal_log
     seen = scan.running(goal_log, ["robot_id"], ["ts", "goal_num"], scan.by_time("ts", chunk_sec), prev={"_was": "ts"})
     gap = (scan.micros("ts") - scan.micros("_was")) / 1_000_000
     return seen.withColumn("gap_sec", gap).withColumn(
         "too_soon", F.coalesce(F.col("gap_sec") < floor_sec, F.lit(False))).drop("_was")
 
 
+WAITED = ("reached", "no_motion", "failed")
+
+
 def stale_maps(goal_log: DataFrame, maps: DataFrame, refresh_sec: float = MAP_REFRESH,
                chunk_sec: float = DAY) -> DataFrame:
     """Goals after which no newer map arrived in time.
 
-    ``maps(robot_id, ts)``. A map newer than the dispatch counts, also when it arrived while driving.
+    ``maps(robot_id, ts)``. A map newer than the dispatch counts, also when it arrived while driving. Of a log with
+    outcomes only goals that end by themselves are judged: re-sent and timed-out ones wait for no map.
     """
+    goal_log = goal_log.where(F.col("outcome").isin(*WAITED)) if "outcome" in goal_log.columns else goal_log
     goals = goal_log.select("robot_id", "ts", F.lit(0).alias("kind"), F.col("goal_num").alias("tie"), "end_ts")
     seen = maps.select("robot_id", "ts", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("tie"))
     clock = goals.unionByName(seen, allowMissingColumns=True).withColumn("_back", -scan.micros("ts"))

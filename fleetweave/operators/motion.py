@@ -116,16 +116,15 @@ def behaviour_timeline(ticks: DataFrame, control_events: DataFrame, telemetry: D
 
 
 def frozen_pairs(pair_distances: DataFrame, rows: int, tol: float) -> DataFrame:
-    """Pairs whose distance stayed within ``tol`` over the trailing ``rows`` cycles.
+    """Pairs whose distance stayed within ``tol`` over the trailing ``rows`` cycles, every one of which must be there.
 
-    ``pair_distances(run_id, i, j, cycle, dist)``; earlier cycles than ``rows`` cannot be frozen yet.
+    ``pair_distances(run_id, i, j, cycle, dist)``; a pair that was out of sight in one of these cycles is not frozen.
     """
-    pair = ["run_id", "i", "j"]
-    placed = scan.running(pair_distances, pair, ["cycle"], scan.by_number("cycle"), total={"_pos": F.lit(1).cast("long")})
-    framed = scan.trailing_rows(placed, pair, "_pos", rows, {"_lo": F.min("dist"), "_hi": F.max("dist"), "_n": F.count("*")})
+    framed = scan.trailing_rows(pair_distances, ["run_id", "i", "j"], "cycle", rows,
+                                {"_lo": F.min("dist"), "_hi": F.max("dist"), "_n": F.count("*")})
     spread = F.col("_hi") - F.col("_lo")
     return (framed.withColumns({"spread": spread, "frozen": (F.col("_n") == rows) & (spread < tol)})
-            .drop("_pos", "_lo", "_hi", "_n"))
+            .drop("_lo", "_hi", "_n"))
 
 
 def isolated_robots(robots: DataFrame, pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:

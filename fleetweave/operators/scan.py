@@ -116,12 +116,12 @@ def trailing(keys: list[str], seconds: float):
 
 def trailing_rows(df: DataFrame, keys: list[str], position: str, rows: int, aggregates: dict,
                   chunk_rows: int = 4096) -> DataFrame:
-    """Aggregate each row's trailing ``rows`` rows; ``position`` numbers the key's rows from 1 without gaps."""
+    """Aggregate over each row's trailing ``rows`` positions; a key has one row per ``position`` and may leave some out."""
     width = max(chunk_rows, rows)
     home = F.floor(F.col(position) / width).cast("long")
     spread = F.sequence(F.col("_home"), F.floor((F.col(position) + rows - 1) / width).cast("long"))
     split = df.withColumn("_home", home).withColumn(CHUNK, F.explode(spread))
-    frame = Window.partitionBy(*keys, CHUNK).orderBy(position).rowsBetween(-(rows - 1), 0)
+    frame = Window.partitionBy(*keys, CHUNK).orderBy(position).rangeBetween(-(rows - 1), 0)
     return (split.withColumns({n: a.over(frame) for n, a in aggregates.items()})
                  .where(F.col(CHUNK) == F.col("_home")).drop("_home", CHUNK))
 

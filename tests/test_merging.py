@@ -59,3 +59,22 @@ def test_traffic_counts_bytes(spark, at):
     shares = spark.createDataFrame([("r", 1, at(0), 4, "été→")], "run_id string, msg_id long, ts timestamp, sender_id int, payload string")
     nobody = spark.createDataFrame([], "run_id string, msg_id long")
     assert merging.share_traffic(shares, nobody).first()["bytes"] == len("été→".encode())
+
+
+def test_a_pair_out_of_sight_is_not_frozen(spark):
+    from fleetweave.operators import motion
+
+    rows = [("r", 1, 2, c, 1.0) for c in (0, 1, 20, 21, 22, 23)]
+    pairs = spark.createDataFrame(rows, "run_id string, i int, j int, cycle int, dist double")
+    assert [r["cycle"] for r in motion.frozen_pairs(pairs, 4, 0.01).where("frozen").collect()] == [23]
+
+
+def test_gaps_and_waits_follow_dispatched_goals(spark, at):
+    from fleetweave.operators import goals
+
+    rows = [(1, 1, at(0), at(50), "failed", True), (1, 2, at(60), at(60), "resent", False), (1, 3, at(90), at(300), "timed_out", True),
+            (1, 4, at(320), at(330), "reached", True)]
+    log = spark.createDataFrame(rows, "robot_id int, goal_num long, ts timestamp, end_ts timestamp, outcome string, dispatched boolean")
+    assert {r["goal_num"]: r["gap_sec"] for r in goals.dispatch_gaps(log, 100.0).collect()} == {1: None, 3: 90.0, 4: 230.0}
+    maps = spark.createDataFrame([(1, at(52)), (1, at(340))], "robot_id int, ts timestamp")
+    assert {r["goal_num"]: r["stale"] for r in goals.stale_maps(log, maps).collect()} == {1: False, 4: True}
