@@ -189,16 +189,6 @@ VIEWS = {
                    list_sum(list_transform(z, lambda v, i: (0.7::DOUBLE * v + 0.3::DOUBLE * r[i]) ** 2)))))) AS z
         FROM agents a JOIN (SELECT label, list(z ORDER BY agent_id) AS s FROM vectors GROUP BY label) ON label = a.agent_id""",
     "stuck_rows": "SELECT run_id, robot_id, ts, event_id, event_type, x, y, cmd_speed AS speed FROM world",
-    "stuck_rows_odom": """
-        SELECT run_id, robot_id, ts, event_id, event_type, odom_x AS x, odom_y AS y, cmd_speed AS speed FROM telemetry""",
-    "heard_odom": """
-        SELECT p.run_id, p.event_id AS msg_id, p.ts, p.robot_id AS sender_id, f.robot_id AS receiver_id, p.odom_x AS sx, p.odom_y AS sy
-        FROM telemetry p JOIN fleet f ON f.run_id = p.run_id AND f.robot_id <> p.robot_id
-        WHERE p.event_type = 'purchase' AND p.event_id % 50 <> 0""",
-    "stream_heard": """
-        SELECT h.run_id, h.msg_id, h.ts, h.sender_id, h.receiver_id, sqrt((h.sx - w.odom_x) ** 2 + (h.sy - w.odom_y) ** 2) AS dist
-        FROM heard_odom h ASOF JOIN telemetry w ON h.run_id = w.run_id AND h.receiver_id = w.robot_id AND h.ts >= w.ts
-        WHERE sqrt((h.sx - w.odom_x) ** 2 + (h.sy - w.odom_y) ** 2) < 3.0""",
     "hour_cycles": """
         SELECT run_id, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS ts, arg_max(value / 490.02::DOUBLE, ts) AS mean_sim,
                count(*) FILTER (WHERE event_type = 'purchase') AS merges
@@ -226,8 +216,7 @@ NEEDS = {
     "bridges": ["kept_parts(graph_id, node_id, part) USING KEY (graph_id, node_id)"], "kept": ["bridges"],
     "raw_scores": ["nodes", "touches", "relations"], "scores": ["raw_scores"], "contact_reach": ["cycle_pairs"],
     "union_reach": ["cycle_pairs", "fleet"], "end_reach": ["latest_pairs"], "end_parts": ["end_reach"], "folds": ["agents"],
-    "stuck_rows": ["world"], "stuck_rows_odom": ["telemetry"], "heard_odom": ["telemetry", "fleet"],
-    "stream_heard": ["heard_odom"], "hour_cycles": ["telemetry"], "active": ["telemetry", "agents"],
+    "stuck_rows": ["world"], "hour_cycles": ["telemetry"], "active": ["telemetry", "agents"],
     "monitor": ["active", "cycle_merges"],
 }
 
@@ -491,10 +480,10 @@ oracle("monitor_cycles", "monitor", """SELECT run_id, cycle, n_agents, round(mea
     round(coalesce(mean_sim - lag(mean_sim) OVER w, 0), 6) AS delta, round(mean_sim - first_value(mean_sim) OVER w, 6) AS rise
     FROM monitor WINDOW w AS (PARTITION BY run_id ORDER BY cycle)""")
 
-oracle("stream_latest_positions", "telemetry", """SELECT run_id, robot_id, event_id, round(odom_x, 6) AS x, round(odom_y, 6) AS y FROM telemetry
+oracle("stream_latest_positions", "world", """SELECT run_id, robot_id, event_id, round(x, 6) AS x, round(y, 6) AS y FROM world
     QUALIFY row_number() OVER (PARTITION BY run_id, robot_id ORDER BY ts DESC, event_id DESC) = 1""")
-oracle("stream_receivers", "stream_heard", "SELECT run_id, msg_id, sender_id, receiver_id, round(dist, 6) AS dist FROM stream_heard")
-oracle("stream_merge_counts", "stream_heard", "SELECT run_id, sender_id, receiver_id, count(*) AS n_merges FROM stream_heard GROUP BY ALL")
+oracle("stream_receivers", "receivers", "SELECT run_id, msg_id, sender_id, receiver_id, round(dist, 6) AS dist FROM receivers")
+oracle("stream_merge_counts", "receivers", "SELECT run_id, sender_id, receiver_id, count(*) AS n_merges FROM receivers GROUP BY ALL")
 oracle("stream_cycles", "hour_cycles", "SELECT run_id, epoch_us(ts) AS us, round(mean_sim, 6) AS mean_sim, merges FROM hour_cycles")
 oracle("stream_convergence", "hour_cycles", """, steps AS (SELECT run_id, ts, mean_sim, CAST(sum(merges) OVER w AS BIGINT) AS merges, first_value(mean_sim) OVER w AS baseline,
         coalesce(mean_sim - lag(mean_sim) OVER w, 0) AS delta, lag(mean_sim) OVER w IS NOT NULL AS has_prev, row_number() OVER w AS pos
@@ -502,13 +491,13 @@ oracle("stream_convergence", "hour_cycles", """, steps AS (SELECT run_id, ts, me
     calm AS (SELECT *, mean_sim - baseline AS rise, pos - max(CASE WHEN NOT (has_prev AND abs(delta) < 0.005) THEN pos END) OVER (PARTITION BY run_id ORDER BY ts) AS stable FROM steps)
     SELECT run_id, epoch_us(ts) AS us, round(mean_sim, 6) AS mean_sim, merges, round(baseline, 6) AS baseline, round(delta, 6) AS delta, round(rise, 6) AS rise, stable,
            bool_or(merges > 0 AND rise >= 0.03 AND stable >= 3) OVER (PARTITION BY run_id ORDER BY ts) AS converged FROM calm""")
-oracle("stream_stuck", "stuck_rows_odom", ", " + stuck_sql("stuck_rows_odom", True) + " SELECT run_id, robot_id, event_id, stuck FROM verdict")
+oracle("stream_stuck", "stuck_rows", ", " + stuck_sql("stuck_rows", True) + " SELECT run_id, robot_id, event_id, stuck FROM verdict")
 ORACLES["stream_merge"] = ORACLES["merged_embeddings"]
 oracle("stream_subscription", "", "SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-16'")
 oracle("stream_share_traffic", "telemetry", """SELECT run_id, robot_id, epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, count(*) AS broadcasts,
     CAST(8 * count(*) AS BIGINT) AS bytes FROM telemetry WHERE event_type = 'purchase' GROUP BY ALL
     HAVING time_bucket(INTERVAL 1 HOUR, any_value(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM telemetry WHERE event_type = 'purchase')""")
-oracle("stream_encounters", "stream_heard", """, contacts AS (SELECT run_id, least(sender_id, receiver_id) AS i, greatest(sender_id, receiver_id) AS j, ts FROM stream_heard),
+oracle("stream_encounters", "receivers", """, contacts AS (SELECT run_id, least(sender_id, receiver_id) AS i, greatest(sender_id, receiver_id) AS j, ts FROM receivers),
     cut AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY run_id, i, j ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM contacts),
     numbered AS (SELECT *, sum(new) OVER (PARTITION BY run_id, i, j ORDER BY ts) AS n FROM cut)
     SELECT run_id, i, j, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 2 HOUR) AS end_us, count(*) AS n_contacts FROM numbered GROUP BY run_id, i, j, n

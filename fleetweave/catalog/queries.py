@@ -112,10 +112,10 @@ def map_updates(spark, path) -> DataFrame:
 
 
 def events_stream(spark, path) -> DataFrame:
-    """The event table as a stream of shaped telemetry."""
+    """The event table as a stream of shaped telemetry in world coordinates."""
     fx.configure(spark)
     raw = messages.read_telemetry(spark, path, stream=True, schema=RAW_EVENTS, pathGlobFilter="events.parquet")
-    return fx.shape_events(raw).withColumns({"x": F.col("odom_x"), "y": F.col("odom_y")})
+    return proximity.to_world(fx.shape_events(raw), fx.robots(spark, path))
 
 
 # Sources and sinks
