@@ -745,9 +745,9 @@ def graph_embeddings(spark, path):
 @query
 def message_embeddings(spark, path):
     """A user's model on every share message: here the feature means, computed in Python."""
-    def means(message):
-        rows = message["graph"]["x"]
-        return [sum(column) / len(rows) for column in zip(*rows)]
+    def means(batch):
+        graphs = [message["graph"]["x"] for message in batch]
+        return [[sum(column) / len(rows) for column in zip(*rows)] for rows in graphs]
 
     found = knowledge.embed_messages(good_shares(spark, path), means, "payload")
     return found.select("msg_id", r6(F.element_at("z", 1)).alias("z0"), r6(F.element_at("z", 2)).alias("z1"))

@@ -15,6 +15,7 @@ from fleetweave.session import configure  # noqa: E402
 def spark():
     session = (SparkSession.builder.master("local[*]").appName("fleetweave-tests")
                .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
                .config("spark.driver.memory", "6g").config("spark.ui.showConsoleProgress", "false").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield configure(session)
