@@ -28,6 +28,7 @@ from fleetweave.llm.text import mix, packed, unpacked, words_of
 
 STRENGTH = 64.0  # weight of the root's distribution in a history, in tokens
 FLOOR = 0.1
+FINER = 2  # slices per part of a shuffle, so that a slice is small beside a block
 HELD_OUT = (10, 0)  # divisor and remainder of crc32 of the id as text
 END, START = np.uint64(1), np.uint64(2)  # in place of word hashes
 RESULT = ("id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
@@ -185,7 +186,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     and teach nothing. Null and empty texts are their end alone. Repeated rows count as often as they stand there. Without
     any training row every token has the root's probability of an unseen one. Other columns are not read.
     """
-    width = shuffle_width(docs)
+    width = FINER * shuffle_width(docs)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     answers = blocks.answered(blocks.ask(docs, "id", "text", _ask(width)), _answer)
     return blocks.settled(docs, "id", "text", answers, _score(width), RESULT)
