@@ -1,0 +1 @@
+"""Operators of a training-data pipeline. Nothing else in the library imports this package."""
