@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetweave.llm.text import texts_of
+from fleetweave.llm.text import release, texts_of
 
 BLOCK_BYTES = 8 << 20
 SCHEMA = "block long, slice int, digest long, body binary"
@@ -75,6 +75,7 @@ def ask(docs: DataFrame, id_col: str, text_col: str, question: Callable[[Block],
         for block in _gather(batches, block_bytes):
             for number, body in question(block).items():
                 yield _rows([(block.number, number, block.digest, body)])
+            release()
 
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, SCHEMA)
 
@@ -85,6 +86,7 @@ def answered(questions: DataFrame, answer: Callable[[list[bytes]], list[bytes]])
         if table.column("slice")[0].as_py() < 0:
             return table
         bodies = answer(table.column("body").to_pylist())
+        release()
         return table.set_column(3, _ARROW.field("body"), pa.array(bodies, pa.binary()))
 
     # notes are only carried along: they are dealt by block so that they spread
@@ -126,7 +128,8 @@ def settled(docs: DataFrame, id_col: str, text_col: str, answers: DataFrame,
         bodies = dict(zip(table.column("slice").to_pylist(), table.column("body").to_pylist()))
         out = settle(_restored(number, digest, bodies.pop(TEXTS)), bodies)
         if schema is None:
-            return pa.Table.from_batches([_rows([(number, s, digest, b) for s, b in out])], _ARROW)
+            out = pa.Table.from_batches([_rows([(number, s, digest, b) for s, b in out])], _ARROW)
+        release()
         return out
 
     both = _texts(docs, id_col, text_col, block_bytes).unionByName(answers)

@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from fleetweave.llm import blocks
 from fleetweave.llm.blocks import Block
 from fleetweave.llm.scratch import shuffle_width
-from fleetweave.llm.text import packed, unpacked
+from fleetweave.llm.text import packed, release, unpacked
 
+DECODED_ROWS = 250  # decoded together
 ENCODED = "id long, token_ids array<int>"
 _ENCODED = pa.schema([("id", pa.int64()), ("token_ids", pa.list_(pa.int32()))])
 
@@ -175,11 +176,14 @@ def _assemble(pattern: str, odd: dict[int, str], width: int):
             mine = np.flatnonzero(where == k)
             own = np.repeat(starts[mine] - np.concatenate(([0], np.cumsum(sizes[mine])[:-1])), sizes[mine])
             flat[own + np.arange(len(ids))] = ids
-        sequence = np.concatenate([*rows, np.empty(0, np.int32)])
-        lengths = sizes[sequence]
-        upto = np.concatenate(([0], np.cumsum(lengths)))
-        tokens = flat[np.repeat(starts[sequence] - upto[:-1], lengths) + np.arange(int(upto[-1]))]
-        offsets = upto[np.concatenate(([0], np.cumsum([len(r) for r in rows])))]
+        tokens, counts = [], []
+        for row in rows:  # one text at a time, so that only one is held in wide numbers
+            lengths = sizes[row]
+            upto = np.cumsum(lengths)
+            counts.append(int(upto[-1]) if len(row) else 0)
+            tokens.append(flat[np.repeat(starts[row] - upto + lengths, lengths) + np.arange(counts[-1])])
+        offsets = np.cumsum([0, *counts])
+        tokens = np.concatenate([*tokens, np.empty(0, np.int32)])
         lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens))
         return pa.Table.from_arrays([pa.array(block.ids, mask=block.nulls), lists], schema=_ENCODED)
     return settle
@@ -255,9 +259,10 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "token_ids", name: str
 
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, DECODED_ROWS):
+                part = batch.slice(start, DECODED_ROWS)
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in kept], data_of(part.column(place))],
                                                  names=[*[part.schema.names[i] for i in kept], name])
+            release()
 
     return encoded.mapInArrow(run, schema)

@@ -17,10 +17,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetweave.llm.text import chunks, texts_of, words_of
+from fleetweave.llm.text import chunks, release, texts_of, words_of
 
 HIDDEN = 16
 PIECE = 48  # bytes read in one go, white space aside
+CHUNK = 3 << 20  # bytes of text whose equal words are read once
+ROWS = 1000  # documents in hand at a time
 BATCH, STEPS, RATE = 256, 500, 0.02
 SAMPLE_DOCS = 1200  # documents to learn from, shared out evenly over the languages
 SAMPLE_BYTES = 4 << 20  # of their texts together; the last one that fits is whole
@@ -185,10 +187,10 @@ def _word_labels(network: Network, words: list[bytes]) -> np.ndarray:
         for piece in _pieces(word):
             pieces.append(piece)
             owner.append(k)
-    out = np.zeros((len(words), len(network.languages) + 1))
+    out = np.zeros((len(words), len(network.languages) + 1), np.float32)
     order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
-    for start in range(0, len(order), 4096):
-        part = order[start:start + 4096]
+    for start in range(0, len(order), 2048):
+        part = order[start:start + 2048]
         probs, (forward, _, lengths, *_) = _label(network.weights, [pieces[i] for i in part])
         letters = _LETTER_BYTE[forward] & (np.arange(len(forward))[:, None] < lengths)
         sums = np.concatenate([(probs * letters[:, :, None]).sum(0), letters.sum(0)[:, None]], axis=1)
@@ -199,7 +201,7 @@ def _word_labels(network: Network, words: list[bytes]) -> np.ndarray:
 def probabilities(network: Network, texts: list[bytes]) -> np.ndarray:
     """Mean label probabilities (text, language) over each text's letter positions; zero where there are none."""
     out = np.zeros((len(texts), len(network.languages)))
-    for part in chunks(texts, 8 << 20):
+    for part in chunks(texts, CHUNK):
         words = words_of(texts[part])
         if not len(words.starts):
             continue
@@ -208,7 +210,7 @@ def probabilities(network: Network, texts: list[bytes]) -> np.ndarray:
         distinct = [data[a:b] for a, b in zip(words.starts[firsts].tolist(), words.ends[firsts].tolist())]
         sums = _word_labels(network, distinct)[inverse]
         full = np.flatnonzero(words.counts)
-        pooled = np.add.reduceat(sums, words.firsts[full], axis=0)
+        pooled = np.add.reduceat(sums, words.firsts[full], axis=0, dtype=np.float64)
         out[part.start + full] = pooled[:, :-1] / np.maximum(pooled[:, -1:], 1)
     return out
 
@@ -262,13 +264,20 @@ def predict(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col:
     language first in the alphabet. Whole texts are read; repeated rows stay; other columns are not read.
     """
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             names, scores = _judged(network, texts_of(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(scores)], schema=_RESULT)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, RESULT)
 
 
+def _parts(batches):
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
+        release()
+
+
 def _judged(network: Network, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
     names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
     if network.languages:
@@ -288,7 +297,7 @@ def accepted(docs: DataFrame, network: Network, text_col: str = "text", min_scor
     place = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             texts = texts_of(batch.column(place))
             names, scores = _judged(network, texts)
             if network.languages:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from fleetweave.llm.linking import components
 from fleetweave.llm.scratch import stored
-from fleetweave.llm.text import chunks, texts_of
+from fleetweave.llm.text import chunks, release, texts_of
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             prints = simhashes(texts_of(batch.column(1)), size).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), batch.column(2)], schema=kind)
+            release()
 
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).cast("long"), text, F.xxhash64(text)).mapInArrow(run, "id long, fp long, digest long")

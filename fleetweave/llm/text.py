@@ -5,6 +5,7 @@ are polynomial prefix sums over the bytes, mixed to 64 bits: equal words have eq
 """
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,14 @@ _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def release() -> None:
+    """Hand freed memory back to the system: a worker serves many tasks, and what it keeps adds up beside the others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every input bit over the result."""
     x = x ^ (x >> np.uint64(30))
