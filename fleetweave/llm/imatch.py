@@ -80,8 +80,8 @@ def _neighbours(docs: DataFrame, rows: int) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = LOW,
-                 high: float = HIGH) -> DataFrame:
-    """One row per input row: (id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next).
+                 high: float = HIGH, keep_text: bool = False) -> DataFrame:
+    """One row per input row: (id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next).
 
     The edited text is the text with its last half (rounded down, in code points) replaced by the start of the next text
     in descending id order; after the last comes the first, and a single row follows itself. Null ids come last, equal ids
@@ -108,16 +108,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     signed = grouped.select(F.col("_bucket").alias("_b"), F.col("_nth").alias("_n"), of_kind(0).alias("_plain"), of_kind(1).alias("_changed"))
 
     def whole(column) -> Column:
-        return F.array_repeat(F.substring(F.md5(column), 1, DIGITS), VIEWS)
+        return F.substring(F.md5(column), 1, DIGITS)
 
-    meta = placed.select("_bucket", "_nth", "_extra", "_id", F.char_length("_text").cast("long").alias("n_chars"), "_edited",
+    meta = placed.select("_bucket", "_nth", "_extra", "_id", F.char_length("_text").cast("long").alias("n_chars"),
+                         (F.col("_edited") if keep_text else F.sha2("_edited", 256)).alias("_edited"),
                          whole("_text").alias("_whole"), whole(F.coalesce("_edited", F.lit(""))).alias("_edited_whole"))
     joined = meta.join(signed, (F.col("_bucket") == F.col("_b")) & (F.col("_nth") == F.col("_n")), "left")
-    joined = joined.select("_bucket", "_nth", "_extra", "_id", "n_chars", "_edited", F.coalesce("_plain", "_whole").alias("_plain"),
-                           F.coalesce("_changed", "_edited_whole").alias("_changed"))
+    joined = joined.select("_bucket", "_nth", "_extra", "_id", "n_chars", "_edited", F.coalesce("_plain", F.array_repeat("_whole", VIEWS)).alias("_plain"),
+                           F.coalesce("_changed", F.array_repeat("_edited_whole", VIEWS)).alias("_changed"))
     order = Window.partitionBy("_bucket").orderBy("_nth")
     return joined.withColumn("_following", F.lead("_plain").over(order)).where(~F.col("_extra")).select(
-        F.col("_id").alias("id"), "n_chars", F.col("_edited").alias("edited_text"), F.array_join("_plain", "").alias("fingerprint"),
+        F.col("_id").alias("id"), "n_chars", F.col("_edited").alias("edited"), F.array_join("_plain", "").alias("fingerprint"),
         F.array_join("_changed", "").alias("edited_fingerprint"), _likeness(F.col("_plain"), F.col("_changed")).alias("near_edited"),
         _likeness(F.col("_plain"), F.col("_following")).alias("near_next"))
 

@@ -105,7 +105,7 @@ def op7_sharding(spark: SparkSession, path: str) -> DataFrame:
 def op5_imatch(spark: SparkSession, path: str) -> DataFrame:
     """The fingerprint of every document and of its edited text, and its likeness to that and to the next document."""
     found = imatch.fingerprints(documents(spark, path))
-    return found.select(F.col("id").alias("doc_id"), "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint",
+    return found.select(F.col("id").alias("doc_id"), "n_chars", F.col("edited").alias("edited_sha256"), "fingerprint",
                         "edited_fingerprint", "near_edited", "near_next")
 
 

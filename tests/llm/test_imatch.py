@@ -39,7 +39,7 @@ def brute(rows, low, high):
 
 
 def ours(df, low, high):
-    return [tuple(r) for r in imatch.fingerprints(df, low=low, high=high).collect()]
+    return [tuple(r) for r in imatch.fingerprints(df, low=low, high=high, keep_text=True).collect()]
 
 
 def test_the_query_against_sql(spark):
