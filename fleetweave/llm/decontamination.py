@@ -2,8 +2,8 @@
 
 Words are lower-cased runs of letters and digits; shingles are five words. For every item of n shingles, windows of n
 shingles slide over the documents, word by word. A window whose weighted similarity to an item is 0.8 or more has at
-least ``need`` shingles in common with it, so windows with fewer benchmark shingles than that are ruled out by counting:
-nothing that could be verified is lost. The rest get a SimHash, their shingles weighted by how often they stand in them.
+least ``need`` shingles in common with it, so windows with fewer shingles of items of their size than that are ruled out
+by counting: nothing that could be verified is lost. The rest get a SimHash, their shingles weighted by how often they stand in them.
 Fingerprints are four blocks of 16 bits. Within ``RADIUS`` differing bits one block differs in ``RADIUS // 4`` bits at
 most, so the index holds every such variant of every block of the items, and a window looks its four blocks up: all
 pairs within the radius meet. They are verified by the weighted Jaccard similarity of their shingles.
@@ -84,27 +84,24 @@ def _small(df: DataFrame, rows: DataFrame, each: int = 1) -> DataFrame:
 
 
 def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(_id, _digest, _at): for each document the ascending positions of its benchmark shingles."""
-    known = items.select(F.explode("_mine").alias("_shingle")).distinct()
-    known = _small(known, known)
+    """(_id, _digest, _n, _need, _at): for each document and item size the ascending positions of such items' shingles.
+
+    Documents with fewer of them than ``_need`` are left out.
+    """
+    known = items.select(F.explode("_mine").alias("_shingle"), "_n", "_need").distinct()
     places = docs.select("_id", "_digest", F.posexplode("_all").alias("_pos", "_shingle"))
-    return (places.join(known, "_shingle").groupBy("_id", "_digest")
-            .agg(F.sort_array(F.collect_set("_pos")).alias("_at")))
+    return (places.join(_small(known, known), "_shingle").groupBy("_id", "_digest", "_n", "_need")
+            .agg(F.sort_array(F.collect_set("_pos")).alias("_at")).where(F.size("_at") >= F.col("_need")))
 
 
-def _starts(at: Column, sizes: Column) -> Column:
-    """(s, n) of the windows that hold enough benchmark shingles, each once: by their first hit and their item size."""
+def _starts(at: Column, n: Column, need: Column) -> Column:
+    """Starts of the windows of ``n`` shingles that hold ``need`` of the positions, each once, under its first one."""
     def windows(x: Column, i: Column) -> Column:
         before = F.when(i == 0, -1).otherwise(F.get(at, i - 1))
-
-        def of_size(size: Column) -> Column:
-            n, need = size["n"], size["need"]
-            low = F.greatest(before + 1, F.get(at, i + need - 1) - n + 1, F.lit(0))
-            return F.transform(F.sequence(low, x), lambda s: F.struct(s.alias("s"), n.alias("n")))
-
-        reached = F.filter(sizes, lambda z: F.coalesce(F.get(at, i + z["need"] - 1) <= x + z["n"] - 1, F.lit(False)))
-        fitting = F.filter(reached, lambda z: F.greatest(before + 1, F.get(at, i + z["need"] - 1) - z["n"] + 1) <= x)
-        return F.flatten(F.transform(fitting, of_size))
+        low = F.greatest(before + 1, F.get(at, i + need - 1) - n + 1, F.lit(0))
+        # without a position that far on there is no such window
+        return F.when(F.coalesce(F.get(at, i + need - 1) <= x + n - 1, F.lit(False)), F.sequence(low, x)).otherwise(
+            F.array().cast("array<int>"))
 
     return F.flatten(F.transform(at, windows))
 
@@ -121,12 +118,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_digest"), F.col(text_col).alias("_text"))
     hits = _hits(keyed.select("_id", "_digest", _shingles(F.col("_text")).alias("_all")), items)
 
-    # one array of the distinct item sizes; their number is at most that of the items' lengths
-    sizes = items.groupBy("_n").agg(F.first("_need").alias("_need")).agg(
-        F.collect_list(F.struct(F.col("_n").alias("n"), F.col("_need").alias("need"))).alias("_sizes")).scalar()
-    hits = hits.select(F.col("_id").alias("_hid"), F.col("_digest").alias("_hdigest"), "_at", sizes.alias("_sizes"))
-    hits = hits.select("_hid", "_hdigest", _starts(F.col("_at"), F.col("_sizes")).alias("_windows"))
-    hits = hits.where(F.size("_windows") > 0)
+    window = lambda s: F.struct(s.alias("s"), F.col("_n").alias("n"))
+    hits = hits.select(F.col("_id").alias("_hid"), F.col("_digest").alias("_hdigest"),
+                       F.transform(_starts(F.col("_at"), F.col("_n"), F.col("_need")), window).alias("_windows"))
+    hits = (hits.where(F.size("_windows") > 0).groupBy("_hid", "_hdigest")
+            .agg(F.flatten(F.collect_list("_windows")).alias("_windows")))
 
     found = (keyed.join(hits, F.col("_id").eqNullSafe(F.col("_hid")) & (F.col("_digest") == F.col("_hdigest")))
              .dropDuplicates(["_id", "_digest"])
