@@ -1,7 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
 Words are lower-cased runs of letters and digits; shingles are five words. For every item of n shingles, windows of n
-shingles slide over the documents, word by word. A window whose weighted similarity to an item is 0.8 or more has at
+shingles slide over the documents, word by word; a document of fewer shingles is one window as a whole, if the caller
+wants that. A window whose weighted similarity to an item is 0.8 or more has at
 least ``need`` shingles in common with it, so windows with fewer shingles of items of their size than that are ruled out
 by counting: nothing that could be verified is lost. The rest get a SimHash, their shingles weighted by how often they stand in them.
 Fingerprints are four blocks of 16 bits. Within ``RADIUS`` differing bits one block differs in ``RADIUS // 4`` bits at
@@ -69,12 +70,10 @@ def _common(a: Column, b: Column) -> Column:
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, _n, _need, _mine): items with a shingle at least. ``_need`` common shingles make similarity 0.8."""
+    """(item_id, _n, _mine): items with a shingle at least."""
     items = benchmark.select(F.col(id_col).alias("item_id"), _shingles(F.col(text_col)).alias("_mine"))
     n = F.size("_mine")
-    # common / (2 n - common) >= s  is  common >= 2 n s / (1 + s)
-    need = F.ceil(F.round(2 * n * (SIMILARITY / (1 + SIMILARITY)), 9)).cast("int")
-    return items.where(n > 0).select("item_id", n.alias("_n"), need.alias("_need"), "_mine")
+    return items.where(n > 0).select("item_id", n.alias("_n"), "_mine")
 
 
 def _small(df: DataFrame, rows: DataFrame, each: int = 1) -> DataFrame:
@@ -83,15 +82,21 @@ def _small(df: DataFrame, rows: DataFrame, each: int = 1) -> DataFrame:
     return F.broadcast(df) if rows.limit(most + 1).count() <= most else df
 
 
-def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(_id, _digest, _n, _need, _at): for each document and item size the ascending positions of such items' shingles.
+def _hits(docs: DataFrame, items: DataFrame, short_docs: bool) -> DataFrame:
+    """(_id, _digest, _n, _w, _need, _at): for each document and item size the ascending positions of such items' shingles.
 
-    Documents with fewer of them than ``_need`` are left out.
+    ``_w`` is the size of its windows, ``_n`` or that of the whole document if smaller. Documents with fewer shingles of
+    such items than ``_need`` are left out.
     """
-    known = items.select(F.explode("_mine").alias("_shingle"), "_n", "_need").distinct()
-    places = docs.select("_id", "_digest", F.posexplode("_all").alias("_pos", "_shingle"))
-    return (places.join(_small(known, known), "_shingle").groupBy("_id", "_digest", "_n", "_need")
-            .agg(F.sort_array(F.collect_set("_pos")).alias("_at")).where(F.size("_at") >= F.col("_need")))
+    known = items.select(F.explode("_mine").alias("_shingle"), "_n").distinct()
+    places = docs.select("_id", "_digest", F.size("_all").alias("_m"), F.posexplode("_all").alias("_pos", "_shingle"))
+    w = F.least("_m", "_n")
+    # common / (w + n - common) >= s  is  common >= (w + n) s / (1 + s)
+    need = F.ceil(F.round((w + F.col("_n")) * (SIMILARITY / (1 + SIMILARITY)), 9)).cast("int")
+    hits = places.join(_small(known, known), "_shingle")
+    hits = (hits if short_docs else hits.where("_m >= _n")).groupBy("_id", "_digest", "_n", "_m")
+    hits = hits.agg(F.sort_array(F.collect_set("_pos")).alias("_at"))
+    return hits.select("_id", "_digest", "_n", w.alias("_w"), need.alias("_need"), "_at").where(F.size("_at") >= F.col("_need"))
 
 
 def _starts(at: Column, n: Column, need: Column) -> Column:
@@ -107,8 +112,10 @@ def _starts(at: Column, n: Column, need: Column) -> Column:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, item_id, start, n_words, similarity): each pair of a document and an item it holds, once, at its best window.
+                 item_col: str = "item_id", item_text: str = "text", short_docs: bool = False) -> DataFrame:
+    """(id, digest, item_id, start, n_words, similarity): each pair of a document and an item it holds, once, at its best window.
+
+    ``short_docs``: documents of fewer shingles than an item are compared with it as a whole; else they hold no such item.
 
     ``start`` counts words from 0; of equally similar windows the first counts. Documents without a leak have no row.
     Null, empty and short texts (fewer than five words), on either side, match nothing. Items with equal texts each get
@@ -116,11 +123,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     items = _items(benchmark, item_col, item_text)
     keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_digest"), F.col(text_col).alias("_text"))
-    hits = _hits(keyed.select("_id", "_digest", _shingles(F.col("_text")).alias("_all")), items)
+    hits = _hits(keyed.select("_id", "_digest", _shingles(F.col("_text")).alias("_all")), items, short_docs)
 
-    window = lambda s: F.struct(s.alias("s"), F.col("_n").alias("n"))
+    window = lambda s: F.struct(s.alias("s"), F.col("_n").alias("n"), F.col("_w").alias("w"))
     hits = hits.select(F.col("_id").alias("_hid"), F.col("_digest").alias("_hdigest"),
-                       F.transform(_starts(F.col("_at"), F.col("_n"), F.col("_need")), window).alias("_windows"))
+                       F.transform(_starts(F.col("_at"), F.col("_w"), F.col("_need")), window).alias("_windows"))
     hits = (hits.where(F.size("_windows") > 0).groupBy("_hid", "_hdigest")
             .agg(F.flatten(F.collect_list("_windows")).alias("_windows")))
 
@@ -128,8 +135,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
              .dropDuplicates(["_id", "_digest"])
              .select("_id", "_digest", "_windows", _shingles(F.col("_text")).alias("_all")))
     cut = let(F.col("_all"), lambda every: F.transform(
-        F.filter("_windows", lambda w: w["s"] + w["n"] <= F.size(every)),
-        lambda w: F.struct(w["s"].alias("s"), w["n"].alias("n"), F.slice(every, w["s"] + 1, w["n"]).alias("own"))))
+        F.filter("_windows", lambda w: w["s"] + w["w"] <= F.size(every)),
+        lambda w: F.struct(w["s"].alias("s"), w["n"].alias("n"), F.slice(every, w["s"] + 1, w["w"]).alias("own"))))
     windows = found.select("_id", "_digest", F.explode(cut).alias("_w"))
     windows = windows.select("_id", "_digest", F.col("_w.s").alias("_start"), F.col("_w.n").alias("_n"), F.col("_w.own").alias("_own"))
     windows = stored(windows.withColumn("_print", simhash(F.col("_own"))))
@@ -148,8 +155,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     texts = items.select("item_id", "_mine")
     near = near.join(_small(texts, texts), "item_id")
     common = _common(F.col("_own"), F.col("_mine"))
-    scored = near.withColumn("similarity", common / (2 * F.col("_n") - common)).where(F.col("similarity") >= SIMILARITY)
+    scored = near.withColumn("similarity", common / (F.size("_own") + F.col("_n") - common)).where(F.col("similarity") >= SIMILARITY)
     best = scored.groupBy("_id", "_digest", "item_id").agg(
-        F.max(F.struct("similarity", (-F.col("_start")).alias("back"))).alias("_best"), F.first("_n").alias("_n"))
-    return best.select(F.col("_id").alias("id"), "item_id", (-F.col("_best.back")).alias("start"),
-                       (F.col("_n") + (SHINGLE_WORDS - 1)).alias("n_words"), F.col("_best.similarity").alias("similarity"))
+        F.max(F.struct("similarity", (-F.col("_start")).alias("back"))).alias("_best"), F.first(F.size("_own")).alias("_w"))
+    return best.select(F.col("_id").alias("id"), F.col("_digest").alias("digest"), "item_id", (-F.col("_best.back")).alias("start"),
+                       (F.col("_w") + (SHINGLE_WORDS - 1)).alias("n_words"), F.col("_best.similarity").alias("similarity"))

@@ -91,7 +91,7 @@ ORACLES["op2_line_dedup"] = f"""
 @query
 def op6_benchmark_decontamination(spark: SparkSession, path: str) -> DataFrame:
     """Every document that holds a benchmark item, with the window where it is most similar."""
-    found = decontamination.contaminated(documents(spark, path), spark.read.parquet(f"{path}/benchmark.parquet"))
+    found = decontamination.contaminated(documents(spark, path), spark.read.parquet(f"{path}/benchmark.parquet"), short_docs=True)
     return found.select(F.col("id").alias("doc_id"), "item_id", "start", "n_words", F.round("similarity", 9).alias("similarity"))
 
 
