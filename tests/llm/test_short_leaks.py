@@ -43,3 +43,12 @@ def test_the_query_and_the_stage_report_them(spark, tmp_path):
     leaked = {r["doc_id"] for r in QUERIES["op6_benchmark_decontamination"](spark, str(tmp_path)).collect()}
     assert {59, 60, 100, 101, 200} <= leaked and not leaked & {1, 40, 102, 201}
     assert {r["doc_id"] for r in corpus_pipeline.decontaminate(spark, frame, str(tmp_path)).collect()} == {i for i, _ in docs} - leaked
+
+
+def test_clean_rows_keep_their_place_beside_leaks_of_the_same_id(spark, tmp_path):
+    leak = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, leak), (1, "a clean text of the same id and more"), (None, leak), (None, "another clean text without any id"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(0, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = [tuple(r) for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()]
+    assert sorted(kept, key=str) == sorted([r for r in rows if r[1] != leak], key=str)
