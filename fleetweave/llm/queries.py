@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetweave.llm import byte_bpe, decontamination, imatch, language_id, line_dedup, lm_scoring, sharding, simhash_dedup, substring_dedup, token_rollups
+from fleetweave.llm import (byte_bpe, decontamination, imatch, language_id, lexical_search, line_dedup, lm_scoring, sharding, simhash_dedup,
+                            substring_dedup, token_rollups)
 from fleetweave.llm.scratch import stored
 from fleetweave.session import shared_dir
 
@@ -175,3 +176,32 @@ def op3_token_rollups(spark: SparkSession, path: str) -> DataFrame:
     rollup.commit("repeats", changes(repeats, "delete", "cast(null as bigint)", "counted"))
     rollup.commit("recount", recount)
     return rollup.totals()
+
+
+@query
+def op11_lexical_search(spark: SparkSession, path: str) -> DataFrame:
+    """The ten documents that fit each benchmark item best."""
+    return lexical_search.search(documents(spark, path), spark.read.parquet(f"{path}/benchmark.parquet"))
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+ORACLES["op11_lexical_search"] = f"""
+    WITH words AS (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')) AS term
+        FROM documents),
+    counted AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+    sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM counted GROUP BY doc_id),
+    whole AS (SELECT count(*)::BIGINT AS rows, sum(n)::BIGINT AS total FROM sizes),
+    weights AS (
+        SELECT term, floor(1000 * ln((2 * rows + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+        FROM (SELECT term, count(*) AS df FROM counted GROUP BY term), whole),
+    asked AS (
+        SELECT DISTINCT item_id, term FROM (
+            SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')) AS term
+            FROM benchmark)),
+    scored AS (
+        SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * rows) // total))))::BIGINT AS score
+        FROM asked JOIN counted USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), whole GROUP BY ALL)
+    SELECT item_id, rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scored WHERE score > 0)
+    WHERE rank <= 10"""
