@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetweave.llm import (byte_bpe, decontamination, imatch, language_id, lexical_search, line_dedup, lm_scoring, sharding, simhash_dedup,
-                            substring_dedup, token_rollups)
+from fleetweave.llm import (byte_bpe, decontamination, imatch, language_id, lexical_search, line_dedup, lm_scoring, metric_join, sharding,
+                            simhash_dedup, substring_dedup, token_rollups)
 from fleetweave.llm.scratch import stored
 from fleetweave.session import shared_dir
 
@@ -205,3 +205,26 @@ ORACLES["op11_lexical_search"] = f"""
     SELECT item_id, rank, doc_id, score
     FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scored WHERE score > 0)
     WHERE rank <= 10"""
+
+
+@query
+def op12_metric_join(spark: SparkSession, path: str) -> DataFrame:
+    """The number of vectors at cosine 0.95 or more of every vector, and the smallest one that such links reach."""
+    return metric_join.near_duplicates(spark.read.parquet(f"{path}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
+
+
+ORACLES["op12_metric_join"] = f"""
+    WITH RECURSIVE usable AS (
+        SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+        WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+        ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= {metric_join.LEAST}),
+    reached AS (
+        SELECT vec_id AS a, vec_id AS b FROM embeddings
+        UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a),
+    least AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a),
+    counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+    SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+    FROM least LEFT JOIN counted USING (vec_id)"""
