@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetweave.llm import (byte_bpe, decontamination, imatch, language_id, lexical_search, line_dedup, lm_scoring, metric_join, sharding,
-                            simhash_dedup, substring_dedup, token_rollups)
+                            simhash_dedup, substring_dedup, token_rollups, whitening)
 from fleetweave.llm.scratch import stored
 from fleetweave.session import shared_dir
 
@@ -228,3 +228,9 @@ ORACLES["op12_metric_join"] = f"""
     counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
     SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
     FROM least LEFT JOIN counted USING (vec_id)"""
+
+
+@query
+def op13_whitening(spark: SparkSession, path: str) -> DataFrame:
+    """Every vector on the first eight principal components, each scaled to variance one."""
+    return whitening.whitened(spark.read.parquet(f"{path}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
