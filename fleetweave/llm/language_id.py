@@ -14,9 +14,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetweave.llm.scratch import stored
 from fleetweave.llm.text import chunks, release, texts_of, words_of
 
 HIDDEN = 16
@@ -25,7 +26,7 @@ CHUNK = 3 << 20  # bytes of text whose equal words are read once
 ROWS = 1000  # documents in hand at a time
 BATCH, STEPS, RATE = 256, 500, 0.02
 SAMPLE_DOCS = 1200  # documents to learn from, shared out evenly over the languages
-SAMPLE_BYTES = 4 << 20  # of their texts together; the last one that fits is whole
+SAMPLE_BYTES = 4 << 20  # of their texts together, likewise
 MOST_SENT = 10_000
 UNKNOWN = "und"
 MIN_SCORE = 0.3  # a best language below this is no better than a guess among a few
@@ -225,30 +226,32 @@ def is_held_out(doc_id: int | None, divisor: int, value: int) -> bool:
 
 
 def sample(docs: DataFrame, text_col: str, lang_col: str) -> list[tuple[bytes, str]]:
-    """Labelled texts to learn from: rows of lowest text hash, evenly over languages, bounded in number and in bytes.
+    """Labelled texts to learn from: distinct texts of lowest hash, evenly over languages, bounded in number and in bytes.
 
-    The rate of each language comes from its row count, so one job counts and one reads little more than the sample.
+    A text counts once for a language, however many copies it has, so copies neither crowd out other texts nor lower the
+    rate at which they are drawn. Every language has its share of ``SAMPLE_DOCS`` and of ``SAMPLE_BYTES``, in hash order;
+    texts larger than the latter come last, and a language's first text is always taken. If there are more languages than
+    ``SAMPLE_DOCS``, those whose first text has the lowest hash are learned. Nothing depends on the order of rows.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    known = known.select(F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
-    counts = known.groupBy("_lang").agg(F.count("*").alias("_rows"))
-    kinds = counts.agg(F.count("*").alias("n")).first()["n"]
+    known = known.select(F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
+    known = known.withColumn("_hash", F.xxhash64("_text", F.lit("sample")))
+    counts = stored(known.groupBy("_lang", "_hash").agg(F.lit(1).alias("_one")).groupBy("_lang").agg(F.count("*").alias("_texts")))
+    kinds = counts.count()
     if not kinds:
         return []
-    share = max(1, SAMPLE_DOCS // kinds)
-    spread = F.pmod(F.xxhash64("_text", F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
+    share, most = max(1, SAMPLE_DOCS // kinds), SAMPLE_BYTES // kinds
+    spread = F.pmod(F.col("_hash"), F.lit(1 << 40)) / float(1 << 40)
     # few languages are sent to every task, so that no text moves; more than that are met by a shuffle
     counts = F.broadcast(counts) if kinds <= MOST_SENT else counts
-    drawn = (known.join(counts, "_lang").where(spread * F.col("_rows") < share)
-             .select("_text", "_lang").limit(2 * SAMPLE_DOCS))
-    found, held = [], 0
-    # the order decides what fits into the bound, and must not depend on how rows arrive
-    for row in sorted(drawn.toLocalIterator(), key=lambda r: zlib.crc32(r["_text"].encode())):
-        text = row["_text"].encode()
-        if held + len(text) <= SAMPLE_BYTES and len(found) < SAMPLE_DOCS:
-            held += len(text)
-            found.append((text, row["_lang"]))
-    return found
+    drawn = known.join(counts, "_lang").where(spread * F.col("_texts") < 2 * share)  # about twice the share
+    drawn = drawn.groupBy("_lang", "_hash").agg(F.first("_text").alias("_text")).withColumn("_bytes", F.octet_length("_text"))
+    order = Window.partitionBy("_lang").orderBy(F.col("_bytes") > most, spread, "_hash")
+    held = F.sum("_bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = drawn.select("*", F.row_number().over(order).alias("_nth"), held.alias("_held"))
+    taken = ranked.where((F.col("_nth") == 1) | ((F.col("_nth") <= share) & (F.col("_held") <= most)))
+    rows = taken.orderBy("_nth", spread, "_hash", "_lang").limit(SAMPLE_DOCS).select("_text", "_lang").collect()
+    return [(r["_text"].encode(), r["_lang"]) for r in rows]
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

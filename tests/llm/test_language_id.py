@@ -85,3 +85,29 @@ def test_held_out_rows_teach_nothing(spark):
              "xx" if language_id.is_held_out(i, 3, 1) else "yy") for i in range(60)]
     network = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert network.languages == ["yy"]
+
+
+@pytest.mark.parametrize("copies_first", [True, False])
+def test_copies_do_not_crowd_the_sample(spark, copies_first):
+    """Five thousand copies of a text that is drawn anyway leave all languages and all other texts where they were."""
+    draw = np.random.default_rng(3)
+    words = {lang: [f"{lang}{k}" for k in range(50)] for lang in ("en", "fr", "de", "es")}
+    rows = [(k, " ".join(draw.choice(words[lang], 20)), lang) for k, lang in enumerate(list(words) * 250)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    wanted = language_id.sample(plain, "text", "lang")
+    hot = next(t for t, lang in wanted if lang == "en").decode()
+    copies = [(2000 + k, hot, "en") for k in range(5000)]
+    docs = spark.createDataFrame(copies + rows if copies_first else rows + copies, plain.schema)
+    assert language_id.sample(docs, "text", "lang") == wanted
+    assert {lang for _, lang in wanted} == set(words) and len({t for t, _ in wanted}) == len(wanted) == 1000
+
+
+def test_the_sample_is_bounded_and_keeps_every_language(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_DOCS", 12)
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 300)
+    rows = [(k, f"text {k} of {k % 3}", f"l{k % 3}") for k in range(90)] + [(100, "z" * 5000, "long"), (101, "y" * 400, "l0")]
+    found = language_id.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang")
+    assert {lang for _, lang in found} == {"l0", "l1", "l2", "long"} and len(found) <= 12
+    assert sum(len(t) for t, lang in found if lang != "long") <= 300
+    rows = [(k, f"text {k}", f"l{k}") for k in range(40)]
+    assert len(language_id.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang")) == 12
