@@ -1,10 +1,10 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
 Words are lower-cased runs of letters and digits; shingles are five words. For every item of n shingles, windows of n
-shingles slide over the documents, word by word; a document of fewer shingles is one window as a whole, if the caller
-wants that. A window whose weighted similarity to an item is 0.8 or more has at
-least ``need`` shingles in common with it, so windows with fewer shingles of items of their size than that are ruled out
-by counting: nothing that could be verified is lost. The rest get a SimHash, their shingles weighted by how often they stand in them.
+shingles slide over the documents, word by word; a document of fewer shingles is one window as a whole. A window whose weighted
+similarity to an item is 0.8 or more has at least ``need`` shingles in common with it, so windows with fewer shingles of
+items of their size than that are ruled out by counting: nothing that could be verified is lost. The rest get a SimHash,
+their shingles weighted by how often they stand in them.
 Fingerprints are four blocks of 16 bits. Within ``RADIUS`` differing bits one block differs in ``RADIUS // 4`` bits at
 most, so the index holds every such variant of every block of the items, and a window looks its four blocks up: all
 pairs within the radius meet. They are verified by the weighted Jaccard similarity of their shingles.
@@ -112,12 +112,11 @@ def _starts(at: Column, n: Column, need: Column) -> Column:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 item_col: str = "item_id", item_text: str = "text", short_docs: bool = False) -> DataFrame:
+                 item_col: str = "item_id", item_text: str = "text", short_docs: bool = True) -> DataFrame:
     """(id, digest, item_id, start, n_words, similarity): each pair of a document and an item it holds, once, at its best window.
 
-    ``short_docs``: documents of fewer shingles than an item are compared with it as a whole; else they hold no such item.
-
-    ``start`` counts words from 0; of equally similar windows the first counts. Documents without a leak have no row.
+    Documents of fewer shingles than an item are compared with it as a whole. ``start`` counts words from 0; of equally
+    similar windows the first counts. Documents without a leak have no row.
     Null, empty and short texts (fewer than five words), on either side, match nothing. Items with equal texts each get
     their rows; rows equal in id and text are one document. Other columns are not read.
     """

@@ -27,14 +27,14 @@ def brute_leaks(docs, items):
             n, best = len(mine), None
             if not n or not set(mine).intersection(own):
                 continue
-            counts = Counter(mine)
-            for s in range(len(own) - n + 1):
-                common = sum((counts & Counter(own[s:s + n])).values())
-                similarity = common / (2 * n - common)
+            counts, w = Counter(mine), min(n, len(own))  # a shorter document is one window as a whole
+            for s in range(len(own) - w + 1):
+                common = sum((counts & Counter(own[s:s + w])).values())
+                similarity = common / (w + n - common)
                 if similarity >= 0.8 and (best is None or similarity > best[1]):
                     best = (s, similarity)
             if best:
-                out.append((i, j, best[0], n + 4, round(best[1], 9)))
+                out.append((i, j, best[0], w + 4, round(best[1], 9)))
     return out
 
 
