@@ -82,7 +82,7 @@ def _small(df: DataFrame, rows: DataFrame, each: int = 1) -> DataFrame:
     return F.broadcast(df) if rows.limit(most + 1).count() <= most else df
 
 
-def _hits(docs: DataFrame, items: DataFrame, short_docs: bool) -> DataFrame:
+def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(_id, _digest, _n, _w, _need, _at): for each document and item size the ascending positions of such items' shingles.
 
     ``_w`` is the size of its windows, ``_n`` or that of the whole document if smaller. Documents with fewer shingles of
@@ -93,9 +93,7 @@ def _hits(docs: DataFrame, items: DataFrame, short_docs: bool) -> DataFrame:
     w = F.least("_m", "_n")
     # common / (w + n - common) >= s  is  common >= (w + n) s / (1 + s)
     need = F.ceil(F.round((w + F.col("_n")) * (SIMILARITY / (1 + SIMILARITY)), 9)).cast("int")
-    hits = places.join(_small(known, known), "_shingle")
-    hits = (hits if short_docs else hits.where("_m >= _n")).groupBy("_id", "_digest", "_n", "_m")
-    hits = hits.agg(F.sort_array(F.collect_set("_pos")).alias("_at"))
+    hits = places.join(_small(known, known), "_shingle").groupBy("_id", "_digest", "_n", "_m").agg(F.sort_array(F.collect_set("_pos")).alias("_at"))
     return hits.select("_id", "_digest", "_n", w.alias("_w"), need.alias("_need"), "_at").where(F.size("_at") >= F.col("_need"))
 
 
@@ -112,7 +110,7 @@ def _starts(at: Column, n: Column, need: Column) -> Column:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 item_col: str = "item_id", item_text: str = "text", short_docs: bool = True) -> DataFrame:
+                 item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, digest, item_id, start, n_words, similarity): each pair of a document and an item it holds, once, at its best window.
 
     Documents of fewer shingles than an item are compared with it as a whole. ``start`` counts words from 0; of equally
@@ -122,7 +120,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     items = _items(benchmark, item_col, item_text)
     keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_digest"), F.col(text_col).alias("_text"))
-    hits = _hits(keyed.select("_id", "_digest", _shingles(F.col("_text")).alias("_all")), items, short_docs)
+    hits = _hits(keyed.select("_id", "_digest", _shingles(F.col("_text")).alias("_all")), items)
 
     window = lambda s: F.struct(s.alias("s"), F.col("_n").alias("n"), F.col("_w").alias("w"))
     hits = hits.select(F.col("_id").alias("_hid"), F.col("_digest").alias("_hdigest"),
