@@ -7,7 +7,7 @@ import corpus_pipeline
 from fleetweave.llm import byte_bpe, line_dedup
 from test_decontamination import brute_leaks
 from test_line_dedup import brute as brute_lines
-from test_simhash_dedup import brute_components, brute_print
+from test_similar_texts import brute_kept
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,8 +22,7 @@ def test_run_against_brute_force(spark, documents):
     texts = {r["doc_id"]: (r["text"], r["source"]) for r in corpus_pipeline.language(spark, documents, SF).collect()}
     assert len(texts) == documents.count()  # clean documents stay
     cleaned = {i: t for i, t, _, _ in brute_lines([(i, *v) for i, v in texts.items()], line_dedup.MIN_SITES)}
-    groups = brute_components([(i, brute_print(t)) for i, t in cleaned.items()])
-    kept = {i: cleaned[i] for i, _, root in groups if i == root}
+    kept = {i: cleaned[i] for i in brute_kept(sorted(cleaned.items()))}
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
     leaked = {i for i, *_ in brute_leaks(list(kept.items()), [(r["item_id"], r["text"]) for r in items])}
     library = tiktoken.Encoding("own", pat_str=PATTERN, special_tokens={},
