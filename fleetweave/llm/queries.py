@@ -1,16 +1,13 @@
 """Each operator of this subpackage as a query over its whole table, and its SQL twin where SQL can express it."""
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetweave.llm import (byte_bpe, decontamination, imatch, language_id, lexical_search, line_dedup, lm_scoring, metric_join, sharding,
                             simhash_dedup, substring_dedup, token_rollups, whitening)
-from fleetweave.llm.scratch import stored
-from fleetweave.session import shared_dir
+from fleetweave.llm.scratch import folder, stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -162,14 +159,16 @@ def op3_token_rollups(spark: SparkSession, path: str) -> DataFrame:
     docs = documents(spark, path).select("doc_id", "source", "lang", "text", F.ceil(F.octet_length(text) / 4).alias("estimate"),
                                          F.md5(text).alias("digest"))
     files = {v: (public_tokenizers.path(f"{v}.tiktoken"), public_tokenizers.PATTERN) for v in TOKENIZERS}
-    counts = stored(token_rollups.counted(docs, files, name="counted"))
-    firsts = counts.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    repeats = counts.join(firsts, "digest").where("doc_id <> first")
+    counts = stored(token_rollups.counted(docs, files, name="counted").withColumn("row", F.monotonically_increasing_id()))
+    # null ids come last; of rows equal in id and text any one is the first
+    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
+    firsts = counts.groupBy("digest", "tokenizer_version").agg(F.min(place).alias("first")).select(F.col("first.row").alias("row"))
+    repeats = counts.join(firsts, "row", "left_anti")
 
     def changes(rows: DataFrame, op: str, new, old) -> DataFrame:
         return rows.select(*token_rollups.KEYS, F.lit(op).alias("op"), F.expr(new).alias("n_tokens"), F.expr(old).alias("old_tokens"))
 
-    rollup = token_rollups.Rollup(spark, f"{shared_dir(spark)}/fleetweave-rollup-{uuid.uuid4().hex}")
+    rollup = token_rollups.Rollup(spark, folder(spark))
     recount = changes(counts, "revise", "counted", "estimate")
     rollup.commit("load", changes(counts, "insert", "estimate", "cast(null as bigint)"))
     rollup.commit("recount", recount)

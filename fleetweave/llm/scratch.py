@@ -4,19 +4,25 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from fleetweave.session import shared_dir
 
 _written: list = []
 
 
+def folder(spark: SparkSession) -> str:
+    """A new name in the shared folder; what is written there is removed when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/fleetweave-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back; removed when the driver's Python ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fleetweave-{uuid.uuid4().hex}"
+    path = folder(spark)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

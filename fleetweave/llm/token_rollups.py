@@ -2,16 +2,17 @@
 
 Changes are signed: an insert adds a document and its tokens, a delete takes them back, a revision adds the difference of
 two counts. Totals are sums, so a batch is folded to one row per group before it is stored, whatever its size or skew,
-and totals never read documents again. A batch is committed under its id by one rename; an id that is already there
-changes nothing, so batches can be sent again after any failure.
+and totals never read documents again. A batch is committed with its id by one rename of a manifest; an id that is already
+there changes nothing, so batches can be sent again after any failure.
 """
 from __future__ import annotations
 
+import json
 import uuid
-from urllib.parse import quote
 
 import pyarrow as pa
 import tiktoken
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,66 +75,116 @@ def signed(changes: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Totals kept in a folder of folded batches. One writer at a time; readers see whole batches only."""
+    """Totals kept in a folder: folded batches as immutable tables below ``data``, and numbered manifests that list them.
+
+    The manifest of the highest number is the state: its tables, the ids of all batches they hold, and tables that an
+    earlier compaction replaced. A change writes its table first and then the next manifest, by one rename that fails if
+    that number is taken; a writer that loses reads the winner's manifest and tries again. A crash before the rename leaves
+    a table that no manifest lists; after it, at most files to delete. Readers hold one manifest's tables, which stay for
+    one more compaction.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._at = lambda *names: jvm.org.apache.hadoop.fs.Path("/".join([self.path, *names]))
-        self._files = self._at().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._files = self._at().getFileSystem(conf)
+        self._renames = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._files.getUri(), conf)
+
+    def _at(self, *names: str):
+        return self._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *names]))
+
+    def _numbers(self) -> list[int]:
+        """Numbers of the manifests, ascending."""
+        if not self._files.exists(self._at("manifests")):
+            return []
+        return sorted(int(n) for s in self._files.listStatus(self._at("manifests")) if (n := s.getPath().getName()).isdigit())
+
+    def _state(self) -> tuple[int, dict]:
+        numbers = self._numbers()
+        if not numbers:
+            return 0, {"tables": [], "ids": [], "retired": []}
+        reader = self._jvm.org.apache.commons.io.IOUtils
+        stream = self._files.open(self._at("manifests", str(numbers[-1])))
+        try:
+            return numbers[-1], json.loads(reader.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _publish(self, number: int, state: dict) -> bool:
+        """Make a state the manifest of this number; False if there is one already."""
+        draft = self._at("manifests", f"draft-{uuid.uuid4().hex}")
+        stream = self._files.create(draft, False)
+        try:
+            stream.write(json.dumps(state).encode())
+        finally:
+            stream.close()
+        never = self._jvm.org.apache.hadoop.fs.Options.Rename
+        flags = self.spark.sparkContext._gateway.new_array(never, 1)
+        flags[0] = getattr(never, "NONE")
+        try:
+            self._renames.rename(draft, self._at("manifests", str(number)), flags)
+        except Py4JJavaError:
+            self._files.delete(draft, False)
+            if not self._files.exists(self._at("manifests", str(number))):
+                raise
+            return False
+        return True
+
+    def _written(self, rows: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/data/{name}")
+        return name
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self._files.delete(self._at("data", name), True)
 
-    def _folder(self, batch_id: str) -> str:
-        return "id=" + quote(batch_id, safe="")
+    def _tidy(self, number: int) -> None:
+        """Delete manifests before the last two: one may be in a reader's hands."""
+        for old in self._numbers():
+            if old < number - 1:
+                self._files.delete(self._at("manifests", str(old)), False)
 
     def committed(self, batch_id: str) -> bool:
-        return any(self._files.exists(self._at(kind, self._folder(batch_id))) for kind in ("batches", "folded"))
+        return batch_id in self._state()[1]["ids"]
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Add a batch of changes; False, and nothing done, if its id has been committed before."""
-        if self.committed(batch_id):
-            return False
-        staged = f"staged-{uuid.uuid4().hex}"
-        signed(changes).write.parquet(f"{self.path}/{staged}")
-        return self._put(staged, self._folder(batch_id))
-
-    def _put(self, staged: str, name: str) -> bool:
-        self._files.mkdirs(self._at("batches"))
-        if self._files.exists(self._at("batches", name)):
-            self._files.delete(self._at(staged), True)
+        number, state = self._state()
+        if batch_id in state["ids"]:
             return False
-        if not self._files.rename(self._at(staged), self._at("batches", name)):
-            raise OSError(f"could not commit {name} in {self.path}")
-        return True
-
-    def _batches(self) -> list[str]:
-        if not self._files.exists(self._at("batches")):
-            return []
-        return sorted(s.getPath().getName() for s in self._files.listStatus(self._at("batches")))
+        name = self._written(signed(changes))
+        while batch_id not in state["ids"]:
+            if self._publish(number + 1, state | {"tables": [*state["tables"], name], "ids": [*state["ids"], batch_id]}):
+                self._tidy(number + 1)
+                return True
+            number, state = self._state()
+        self._drop([name])
+        return False
 
     def _sums(self, names: list[str]) -> DataFrame:
         if not names:
             return self.spark.createDataFrame([], DELTA)
-        rows = self.spark.read.schema(DELTA).parquet(*[f"{self.path}/batches/{n}" for n in names])
+        rows = self.spark.read.schema(DELTA).parquet(*[f"{self.path}/data/{n}" for n in names])
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer_version, n_docs, n_tokens) over all committed batches, without empty groups."""
-        return self._sums(self._batches()).where("n_docs <> 0 or n_tokens <> 0")
+        return self._sums(self._state()[1]["tables"]).where("n_docs <> 0 or n_tokens <> 0")
 
-    def compact(self) -> None:
-        """Fold all batches into one. Their ids stay known, as empty folders, so sending one again still does nothing.
+    def compact(self) -> bool:
+        """Fold all tables into one; ids stay known, so sending a batch again still does nothing.
 
-        The fold first appears under a name that readers pass over, and takes the place of its batches by renames.
+        The tables that this replaces are deleted by the next compaction. False if there was nothing to fold, or if
+        another writer was faster.
         """
-        names = self._batches()
-        if len(names) < 2:
-            return
-        staged = f"staged-{uuid.uuid4().hex}"
-        self._sums(names).write.parquet(f"{self.path}/{staged}")
-        for name in names:
-            if name.startswith("id="):
-                self._files.mkdirs(self._at("folded", name))
-        retired = f"retired-{uuid.uuid4().hex}"
-        self._files.rename(self._at("batches"), self._at(retired))
-        self._put(staged, f"base-{uuid.uuid4().hex}")
-        self._files.delete(self._at(retired), True)
+        number, state = self._state()
+        if len(state["tables"]) < 2:
+            return False
+        name = self._written(self._sums(state["tables"]))
+        if not self._publish(number + 1, {"tables": [name], "ids": state["ids"], "retired": state["tables"]}):
+            self._drop([name])
+            return False
+        self._drop(state["retired"])
+        self._tidy(number + 1)
+        return True

@@ -91,3 +91,80 @@ def test_the_query_against_a_recount(spark):
                 total[1] += len(encode(r["text"]))
     got = QUERIES["op3_token_rollups"](spark, sf).collect()
     assert {(r["source"], r["lang"], r["tokenizer_version"]): [r["n_docs"], r["n_tokens"]] for r in got} == expected
+
+
+STEPS = ["_written", "_publish", "_drop", "_tidy"]
+
+
+def two(spark):
+    make = lambda source: spark.createDataFrame([(source, "en", "v", "insert", 5, None, 1, 1)], CHANGES)
+    return make("a"), make("b")
+
+
+@pytest.mark.parametrize("after", [False, True])
+@pytest.mark.parametrize("step", STEPS)
+@pytest.mark.parametrize("act", ["commit", "compact"])
+def test_a_crash_at_any_step_loses_and_doubles_nothing(spark, rollup, monkeypatch, act, step, after):
+    a, b = two(spark)
+    assert rollup.commit("1", a) and rollup.commit("2", a)
+    rollup.compact()
+    assert rollup.commit("3", a)
+    before, with_b = {("a", "en", "v"): [3, 15]}, {("a", "en", "v"): [3, 15], ("b", "en", "v"): [1, 5]}
+    plain = getattr(Rollup, step)
+
+    def broken(self, *args):
+        if after:
+            plain(self, *args)
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:
+        patch.setattr(Rollup, step, broken)
+        try:
+            rollup.commit("4", b) if act == "commit" else rollup.compact()
+        except KeyboardInterrupt:
+            pass
+    fresh = Rollup(spark, rollup.path)
+    assert found(fresh) in ((before, with_b) if act == "commit" else (before,))
+    assert all(not fresh.commit(i, b) for i in "123")
+    fresh.commit("4", b)
+    assert found(fresh) == with_b and not fresh.commit("4", b)
+    fresh.compact()
+    assert found(fresh) == with_b and all(not fresh.commit(i, b) for i in "1234")
+
+
+def test_a_reader_outlives_a_compaction(spark, rollup):
+    a, b = two(spark)
+    rollup.commit("1", a)
+    rollup.commit("2", b)
+    totals = rollup.totals()
+    assert rollup.compact() and not rollup.compact()
+    assert totals.count() == 2
+
+
+def test_writers_of_one_number_and_of_one_id(spark, rollup, monkeypatch):
+    a, b = two(spark)
+    other, plain = Rollup(spark, rollup.path), Rollup._written
+    done = []
+
+    def overtaken(self, rows):
+        name = plain(self, rows)
+        if not done:
+            done.append(True)
+            assert other.commit("first", a)
+        return name
+
+    monkeypatch.setattr(Rollup, "_written", overtaken)
+    assert rollup.commit("second", b)  # its number was taken, so it takes the next one
+    done.clear()
+    assert not rollup.commit("first", b)
+    monkeypatch.setattr(Rollup, "_written", lambda self, rows: overtaken(self, rows) if done else (done.append(1), other.commit("same", a), plain(self, rows))[2])
+    done.clear()
+    assert not rollup.commit("same", b)  # both wrote, one counted
+    assert found(rollup) == {("a", "en", "v"): [2, 10], ("b", "en", "v"): [1, 5]}
+
+
+def test_null_and_repeated_ids_in_the_query(spark, tmp_path):
+    rows = [(1, "x y", "s", "en", 3), (1, "x y", "s", "en", 3), (None, "x y", "s", "en", 3), (None, "other", "s", "en", 5), (None, None, "s", None, None), (2, "", "s", None, 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["lang"], r["tokenizer_version"]): r["n_docs"] for r in QUERIES["op3_token_rollups"](spark, str(tmp_path)).collect()}
+    assert got == {(lang, v): n for v in ("byte_bpe_50k", "byte_bpe_multi_50k") for lang, n in (("en", 2), (None, 1))}
