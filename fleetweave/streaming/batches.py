@@ -9,11 +9,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetweave.operators import frontiers, merging, motion, proximity, scan
+from fleetweave.operators import convergence, frontiers, merging, motion, proximity, scan
 from fleetweave.params import MIN_CLUSTER, Params
-from fleetweave.session import cut_lineage, shared_dir
+from fleetweave.session import shared_dir
+from fleetweave.sinks.rejects import with_rejects
 
 _P = Params()
+FOLD = 16  # epochs whose changes are read one by one
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -69,6 +71,46 @@ class Carried:
             _remove(table.sparkSession, f"{self.path}/epoch={epoch - 2}")
 
 
+class Log:
+    """Latest row per key over epochs: each epoch writes the rows it changed, and every ``FOLD`` epochs one table of all.
+
+    Epoch n reads what was written up to n - 1, so replays are harmless. Folding costs each row one more write in ``FOLD``
+    epochs, and reading opens ``FOLD`` small tables at most.
+    """
+
+    def __init__(self, path: str, keys: list[str]):
+        self.path, self.keys = path, keys
+
+    def _parts(self, epoch: int) -> list[str]:
+        """Tables that hold the state after an epoch."""
+        base = epoch - epoch % FOLD
+        return [f"{self.path}/all/epoch={base}"] * (base > 0) + [f"{self.path}/new/epoch={k}" for k in range(base + (base > 0), epoch + 1)]
+
+    def load(self, spark: SparkSession, epoch: int, schema) -> DataFrame:
+        if epoch == 0:
+            return spark.createDataFrame([], schema)
+        parts = [spark.read.schema(schema).parquet(p).withColumn("_age", F.lit(-k)) for k, p in enumerate(self._parts(epoch - 1))]
+        every = parts[0]
+        for part in parts[1:]:
+            every = every.unionByName(part)
+        rest = [c for c in every.columns if c not in (*self.keys, "_age")]
+        newest = every.groupBy(*self.keys).agg(F.min_by(F.struct(*rest), "_age").alias("_r"))
+        return newest.select(*self.keys, "_r.*")
+
+    def save(self, changed: DataFrame, epoch: int) -> None:
+        spark = changed.sparkSession
+        changed.write.mode("overwrite").parquet(f"{self.path}/new/epoch={epoch}")
+        if epoch and epoch % FOLD == 0:
+            before = self.load(spark, epoch, changed.schema)
+            fresh = spark.read.schema(changed.schema).parquet(f"{self.path}/new/epoch={epoch}")
+            rest = before.join(fresh, self.keys, "left_anti")
+            rest.unionByName(fresh).write.mode("overwrite").parquet(f"{self.path}/all/epoch={epoch}")
+            # the tables before the last fold are no longer read, not even by a replay of this epoch
+            for old in range(max(0, epoch - 2 * FOLD), epoch - FOLD):
+                _remove(spark, f"{self.path}/new/epoch={old}")
+                _remove(spark, f"{self.path}/all/epoch={old}")
+
+
 def receiver_batches(state: str, out: str, comm_range: float = 3.0, bucket_sec: float = 8.0,
                      chunk_sec: float = scan.HOUR, late_sec: float = 60.0):
     """foreachBatch function expanding shares to the robots in range, with positions carried between batches.
@@ -162,41 +204,35 @@ def merge_batches(state: str, out: str, agents: DataFrame, self_w: float = _P.se
 def convergence_batches(state: str, out: str, params: Params = _P, chunk_sec: float = scan.HOUR):
     """foreachBatch function judging cycles as the batch operator does, with one carried row per run.
 
-    Batches hold ``(run_id, ts, mean_sim, merges)``, merges of the cycle itself, in time order from batch to batch. Within
-    a batch rows may come in any order, and a long backlog of one run is cut into time chunks.
+    Batches hold ``(run_id, ts, mean_sim, merges)``, merges of the cycle itself. Within a batch rows may come in any order,
+    and a long backlog of one run is cut into time chunks. Rows that are not after all rows judged before of their run
+    can't be judged any more: they go to ``out``/rejects with an error text, epoch by epoch. Carried rows are kept per
+    epoch for the runs of that epoch alone, so what is written follows the batch; every ``FOLD`` epochs they are folded.
     """
-    carried, run = Carried(state), ["run_id"]
-    kept = "run_id string, _ts timestamp, _base double, _sim double, _merged long, _calm long, _done boolean"
+    carried, run = Log(state, ["run_id"]), ["run_id"]
+    kept = "run_id string, last timestamp, base double, sim double, merged long, calm long, done boolean"
 
     def judge(batch: DataFrame, epoch: int) -> None:
-        batch = batch.persist()
-        before = carried.load(batch.sparkSession, epoch)
-        before = batch.sparkSession.createDataFrame([], kept) if before is None else before
+        batch = batch.select("run_id", "ts", "mean_sim", "merges").persist()
+        before = carried.load(batch.sparkSession, epoch, kept)
+        entry = before.join(batch.select("run_id").distinct(), run, "left_semi")
+        known = batch.join(entry.select("run_id", "last"), run, "left")
+        late = F.coalesce(F.col("ts") <= F.col("last"), F.lit(False))
+        good, bad = with_rejects(known, {"no time": F.col("ts").isNull(), "not after the last reading judged": late})
+        bad.drop("last").write.mode("overwrite").parquet(f"{out}/rejects/epoch={epoch}")
         chunk = scan.by_time("ts", chunk_sec)
-        steps = scan.running(batch.select("run_id", "ts", "mean_sim", "merges"), run, ["ts"], chunk,
-                             first={"_first": "mean_sim"}, prev={"_prev": "mean_sim"},
-                             total={"_pos": F.lit(1).cast("long"), "_heard": F.col("merges").cast("long")})
-        steps = steps.join(before.drop("_ts"), run, "left")
-        last = F.coalesce("_prev", "_sim")
-        steps = steps.withColumns({"baseline": F.coalesce("_base", "_first"), "merges": F.coalesce("_merged", F.lit(0)) + F.col("_heard"),
-                                   "delta": F.coalesce(F.col("mean_sim") - last, F.lit(0.0)),
-                                   "_moved": last.isNull() | (F.abs(F.col("mean_sim") - last) >= params.stability_eps)})
-        steps = steps.withColumn("rise", F.col("mean_sim") - F.col("baseline"))
-        reset = scan.running(cut_lineage(steps), run, ["ts"], chunk, last={"_reset": F.when(F.col("_moved"), F.col("_pos"))})
-        calm = F.col("_pos") - F.coalesce("_reset", -F.coalesce("_calm", F.lit(0)))
-        hit = (F.col("merges") > 0) & (F.col("rise") >= params.min_rise) & (F.col("stable") >= params.stable_cycles)
-        marked = reset.withColumn("stable", calm).withColumn("_hit", hit.cast("long"))
-        latched = scan.running(cut_lineage(marked), run, ["ts"], chunk, total={"_hits": "_hit"})
-        earlier = F.coalesce("_done", F.lit(False))
-        judged = cut_lineage(latched.withColumns({"newly_converged": ~earlier & (F.col("_hit") == 1) & (F.col("_hits") == 1),
-                                                  "converged": earlier | (F.col("_hits") > 0)}))
-        judged.select("run_id", "ts", "mean_sim", "merges", "baseline", "delta", "rise", "stable", "newly_converged",
-                      "converged").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        newest = judged.select("run_id", F.col("ts").alias("_ts"), F.col("baseline").alias("_base"), F.col("mean_sim").alias("_sim"),
-                               F.col("merges").alias("_merged"), F.col("stable").alias("_calm"), F.col("converged").alias("_done"))
-        names = [c for c in newest.columns if c != "run_id"]
-        latest = newest.unionByName(before).groupBy("run_id").agg(F.max_by(F.struct(*names), "_ts").alias("_r"))
-        carried.save(latest.select("run_id", "_r.*"), epoch)
+        summed = scan.running(good.drop("last"), run, ["ts"], chunk, total={"_heard": F.col("merges").cast("long")})
+        summed = summed.join(entry.select("run_id", "merged"), run, "left").withColumn(
+            "merges", F.coalesce("merged", F.lit(0).cast("long")) + F.coalesce("_heard", F.lit(0).cast("long"))).drop("merged", "_heard")
+        verdicts = convergence.judged(summed, "ts", chunk, params.min_rise, params.stability_eps, params.stable_cycles, entry)
+        verdicts = verdicts.drop("has_prev").persist()
+        verdicts.write.mode("overwrite").parquet(f"{out}/table/epoch={epoch}")
+        newest = F.max_by(F.struct("baseline", "mean_sim", "merges", "stable", "converged"), "ts").alias("_r")
+        latest = verdicts.groupBy("run_id").agg(F.max("ts").alias("last"), newest).select(
+            "run_id", "last", F.col("_r.baseline").alias("base"), F.col("_r.mean_sim").alias("sim"), F.col("_r.merges").alias("merged"),
+            F.col("_r.stable").alias("calm"), F.col("_r.converged").alias("done"))
+        carried.save(latest, epoch)
+        verdicts.unpersist()
         batch.unpersist()
 
     return judge

@@ -61,9 +61,48 @@ def test_convergence(spark, at, tmp_path):
     running = merging.running_merges(cycles, cycles.select("run_id", "cycle", F.col("merges").alias("n")))
     want = convergence.convergence(cycles.drop("merges").join(running, ["run_id", "cycle"]))
     columns = ["run_id", "ts", "merges", "baseline", "delta", "rise", "stable", "newly_converged", "converged"]
-    got = spark.read.parquet(f"{tmp_path}/out").select(columns)
+    got = spark.read.parquet(f"{tmp_path}/out/table").select(columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(columns).collect()))
-    assert got.where("newly_converged").count() > 0
+    assert got.where("newly_converged").count() > 0 and spark.read.parquet(f"{tmp_path}/out/rejects").count() == 0
+
+
+def test_convergence_rejects_rows_out_of_order_and_writes_what_changed(spark, at, tmp_path, monkeypatch):
+    monkeypatch.setattr(batches, "FOLD", 3)
+    judge = batches.convergence_batches(f"{tmp_path}/state", f"{tmp_path}/out")
+    make = lambda rows: spark.createDataFrame(rows, "run_id string, ts timestamp, mean_sim double, merges long")
+    readings = [0.1, 0.101, 0.2, 0.2, 0.201, 0.2, 0.2, 0.3]
+    judge(make([(f"idle{k}", at(0), 0.5, 0) for k in range(40)]), 0)
+    for epoch, sim in enumerate(readings, 1):
+        judge(make([("r", at(10 * epoch), sim, 1)]), epoch)
+        if epoch == 5:
+            judge(make([("r", at(10 * epoch), sim, 1)]), epoch)  # a replay
+    judge(make([("r", at(15), 9.0, 1), ("r", None, 9.0, 1), ("r", at(200), 0.3, 1), ("new", at(5), 0.1, 1)]), 9)
+    cycles = spark.createDataFrame([("r", k, at(10 * k), s, k) for k, s in enumerate(readings, 1)] + [("r", 9, at(200), 0.3, 9)],
+                                   "run_id string, cycle int, ts timestamp, mean_sim double, merges long")
+    columns = ["ts", "merges", "baseline", "delta", "rise", "stable", "newly_converged", "converged"]
+    got = spark.read.parquet(f"{tmp_path}/out/table").where("run_id = 'r'").select(columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, convergence.convergence(cycles).select(columns).collect()))
+    errors = sorted((r.mean_sim, r.error) for r in spark.read.parquet(f"{tmp_path}/out/rejects").collect())
+    assert errors == [(9.0, "no time"), (9.0, "not after the last reading judged")]
+    assert spark.read.parquet(f"{tmp_path}/state/new/epoch=8").count() == 1  # not the forty idle runs
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 7, 4096])
+def test_chunks_of_any_width_judge_alike(spark, width):
+    """Against the definition, cycle by cycle: a reading's run of small steps is looked up backwards from it."""
+    rng = random.Random(width)
+    rows, want = [], []
+    for run in range(8):
+        sims = [round(0.1 + 0.01 * min(c, rng.randrange(1, 9)) + rng.choice([0, 0, 0, 0.004, 0.03]), 3) for c in range(25)]
+        merged = [int(c > rng.randrange(12)) for c in range(25)]
+        rows += [(run, c, s, m) for c, (s, m) in enumerate(zip(sims, merged))]
+        steps = [None] + [b - a for a, b in zip(sims, sims[1:])]
+        stable = [next((n for n in range(c + 1) if c - n == 0 or abs(steps[c - n]) >= 0.005)) for c in range(25)]
+        hits = [m > 0 and s - sims[0] >= 0.03 and n >= 3 for m, s, n in zip(merged, sims, stable)]
+        want += [(run, c, stable[c], any(hits[:c + 1]), hits[c] and not any(hits[:c])) for c in range(25)]
+    cycles = spark.createDataFrame(rows, "run_id int, cycle int, mean_sim double, merges int")
+    found = convergence.judged(cycles, "cycle", F.floor(F.col("cycle") / width).cast("long"))
+    assert sorted((r.run_id, r.cycle, r.stable, r.converged, r.newly_converged) for r in found.collect()) == want
 
 
 def test_stuck(spark, at, tmp_path):
