@@ -129,26 +129,33 @@ def contacts_at(events: DataFrame, telemetry: DataFrame, comm_range: float = 3.0
                 chunk_sec: float = scan.HOUR, how: str = "inner") -> DataFrame:
     """Other robots in range of ``events.robot_id`` at ``events.ts``, everyone at their latest known position.
 
-    Each telemetry row holds from its time until the robot's next one; events meet these spans in (cell, time bucket).
+    Each telemetry row holds from its time until the robot's next one. A span is covered by few blocks of buckets, each
+    eight times as long as those of the level below, and an event looks up the one block of every level that holds it: a
+    robot that is silent for a year costs tens of rows. Events meet spans in (cell, level, block).
     Returns the event columns with event position x, y and, for an inner join, peer_id and dist.
     """
     bucket = int(bucket_sec * 1_000_000)
     # Events are few against telemetry and visited twice below: written once instead of looked up twice.
     own = cut_lineage(positions_asof(telemetry, events, chunk_sec).where(F.col("x").isNotNull()))
     asked = own.select(*own.columns, scan.micros("ts").alias("_at"), F.col("x").alias("lx"), F.col("y").alias("ly"))
-    asked = asked.withColumn("_bucket", F.floor(F.col("_at") / bucket).cast("long"))
 
-    ends = events.groupBy("run_id").agg((F.max(scan.micros("ts")) + 1).alias("_end"))
+    first, last = F.min(scan.micros("ts")), F.max(scan.micros("ts"))
+    ends = events.groupBy("run_id").agg((last + 1).alias("_end"))
+    reach = telemetry.groupBy("run_id").agg(first.alias("_start")).join(ends, "run_id").select(
+        "run_id", scan.levels(F.col("_end") - F.col("_start"), bucket).alias("_top"))
+    asked = (asked.join(reach, "run_id").withColumn("_level", F.explode(F.sequence(F.lit(0), "_top")))
+             .withColumn("_bucket", scan.block_of(F.floor(F.col("_at") / bucket).cast("long"), F.col("_level"))).drop("_top"))
     spans = scan.following(telemetry.select("run_id", "robot_id", "ts", "event_id", "x", "y"), ["run_id", "robot_id"],
                            "ts", "event_id", chunk_sec, "_next", scan.micros("ts"))
     spans = (spans.join(ends, "run_id")
              .select("run_id", F.col("robot_id").alias("peer_id"), scan.micros("ts").alias("_from"),
                      F.least("_next", "_end").alias("_until"), F.col("x").alias("rx"), F.col("y").alias("ry"))
              .where("_from < _until")
-             .withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_from") / bucket).cast("long"),
-                                                         F.floor((F.col("_until") - 1) / bucket).cast("long")))))
+             .withColumn("_block", F.explode(scan.cover(F.floor(F.col("_from") / bucket).cast("long"),
+                                                        F.floor((F.col("_until") - 1) / bucket).cast("long"))))
+             .select("*", F.col("_block.level").alias("_level"), F.col("_block.number").alias("_bucket")).drop("_block"))
     valid = (F.col("peer_id") != F.col("robot_id")) & (F.col("_from") <= F.col("_at")) & (F.col("_at") < F.col("_until"))
-    met = near(asked, spans, ["run_id", "_bucket"], comm_range, valid, how)
+    met = near(asked, spans, ["run_id", "_level", "_bucket"], comm_range, valid, how)
     if how == "left_semi":
         return met.select(*own.columns)
     return met.select(*own.columns, "peer_id", distance("lx", "ly", "rx", "ry").alias("dist"))

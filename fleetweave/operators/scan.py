@@ -140,3 +140,40 @@ def ranked(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
                 .withColumn("_part", F.spark_partition_id()))
     out = running(cut_lineage(spread), keys, list(plain), F.col("_part"), total={name: F.lit(1).cast("long")})
     return out.drop("_part", *plain)
+
+
+FACTOR_BITS, TOP = 3, 19  # blocks of a level are eight times those below; so many levels outlast any clock
+
+
+def block_of(bucket: Column, level: Column) -> Column:
+    """Number of the block of a level that holds a bucket."""
+    return F.call_function("shiftright", bucket, level * FACTOR_BITS)
+
+
+def levels(length: Column, bucket: int) -> Column:
+    """Highest level whose blocks can lie inside a span of ``length``, both in the same unit."""
+    buckets = F.greatest(F.lit(1.0), (length / bucket).cast("double"))
+    return F.least(F.lit(TOP), F.ceil(F.log2(buckets) / FACTOR_BITS)).cast("int")
+
+
+def cover(first: Column, last: Column) -> Column:
+    """Blocks (level, number) that together hold the buckets ``first`` to ``last``, each once: at most 14 a level.
+
+    A level covers what is left of the span on either side of the next level's blocks.
+    """
+    up = lambda x, bits: F.call_function("shiftright", x + (F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1), bits)
+    down = lambda x, bits: F.call_function("shiftright", x, bits)
+    wide = lambda x: F.call_function("shiftleft", x, F.lit(FACTOR_BITS))
+    block = lambda level, number: F.struct(level.alias("level"), number.alias("number"))
+    run = lambda level, a, b: F.when(a < b, F.transform(F.sequence(a, b - 1), lambda n: block(level, n))).otherwise(
+        F.array().cast("array<struct<level:int,number:bigint>>"))
+
+    def of(level: Column) -> Column:
+        bits = level * FACTOR_BITS
+        a, b = up(first, bits), down(last + 1, bits)  # blocks of this level inside the span
+        c, d = wide(up(first, bits + FACTOR_BITS)), wide(down(last + 1, bits + FACTOR_BITS))  # of which the next takes
+        return F.when(c < d, F.concat(run(level, a, c), run(level, d, b))).otherwise(run(level, a, b))
+
+    # shifts are taken modulo 64 bits, so no level may reach them
+    many = F.flatten(F.transform(F.sequence(F.lit(0), F.least(F.lit(TOP - 1), F.ceil(F.log2((last - first + 1).cast("double")) / FACTOR_BITS).cast("int"))), of))
+    return F.when(first == last, F.array(block(F.lit(0), first))).otherwise(many)

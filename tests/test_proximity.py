@@ -100,3 +100,15 @@ def test_headings(spark):
         geometry.angle_diff(F.lit(3.0), F.lit(-3.0)).alias("diff"), geometry.near_wall(F.lit(9.6), F.lit(0.0)).alias("wall"),
         geometry.near_wall(F.lit(9.5), F.lit(-9.5)).alias("edge")).first()
     assert row.yaw == pytest.approx(0.8) and row.diff == pytest.approx(6.0 - 2 * math.pi) and row.wall and not row.edge
+
+
+def test_a_robot_silent_for_a_year_costs_few_rows(spark, at):
+    """Default bucket of eight seconds: the year would be four million buckets."""
+    year = 365 * 24 * 3600
+    poses = [("r", 0, at(0), 1, 0.0, 0.0), ("r", 1, at(0), 2, 1.0, 0.0), ("r", 2, at(1), 3, 50.0, 0.0), ("r", 2, at(year), 4, 0.0, 1.0)]
+    telemetry = spark.createDataFrame(poses, "run_id string, robot_id int, ts timestamp, event_id long, x double, y double")
+    shares = spark.createDataFrame([("r", 0, at(t), k) for k, t in enumerate((0, 7, 40_000, year - 1, year + 1))],
+                                   "run_id string, sender_id int, ts timestamp, msg_id long")
+    heard = proximity.share_receivers(shares, telemetry)
+    want = [(k, 1) for k in range(5)] + [(4, 2)]
+    assert sorted((r.msg_id, r.receiver_id) for r in heard.collect()) == want

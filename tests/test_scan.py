@@ -55,3 +55,27 @@ def test_ranked_numbers_every_key(rows):
 def test_ranked_without_keys(rows):
     got = [r.rank for r in scan.ranked(rows, [], ["k", "pos"], "rank").orderBy("k", "pos").collect()]
     assert got == list(range(1, 342))
+
+
+def test_blocks_cover_a_span_once_and_are_few(spark):
+    spans = [(a, a + n) for a in (-70, -1, 0, 7, 63, 511, 12345) for n in (0, 1, 6, 7, 8, 15, 63, 64, 500, 4095, 4096)]
+    spans += [(0, 3_900_000), (17, 8 ** 9 + 5), (-(8 ** 12), 8 ** 12)]
+    rows = spark.createDataFrame(spans, "a long, b long").select("a", "b", scan.cover(F.col("a"), F.col("b")).alias("blocks")).collect()
+    for r in rows:
+        parts = sorted((n << 3 * level, (n + 1) << 3 * level) for level, n in r.blocks)
+        assert parts[0][0] == r.a and parts[-1][1] == r.b + 1 and all(x[1] == y[0] for x, y in zip(parts, parts[1:]))
+        assert len(parts) <= 14 * (1 + max(level for level, _ in r.blocks))
+        top = spark.range(1).select(scan.levels(F.lit((r.b - r.a) * 10 + 1), 10)).first()[0]
+        assert max(level for level, _ in r.blocks) <= max(top, 1)
+    assert len(next(r for r in rows if r.b == 3_900_000).blocks) < 60
+
+
+def test_an_event_finds_its_bucket_in_one_block(spark):
+    a, b = 1234, 1234 + 70_000
+    blocks = {tuple(x) for x in spark.range(1).select(scan.cover(F.lit(a).cast("long"), F.lit(b).cast("long"))).first()[0]}
+    asked = spark.createDataFrame([(a - 1,), (a,), (a + 1,), (20_000,), (b,), (b + 1,)], "bucket long")
+    asked = asked.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(6)))).select("bucket", "level", scan.block_of(F.col("bucket"), F.col("level")).alias("n"))
+    found = {}
+    for r in asked.collect():
+        found[r.bucket] = found.get(r.bucket, 0) + ((r.level, r.n) in blocks)
+    assert found == {a - 1: 0, a: 1, a + 1: 1, 20_000: 1, b: 1, b + 1: 0}
