@@ -475,6 +475,29 @@ oracle("cluster_similarity", "end_parts beliefs", """, known AS (SELECT run_id,
            round(coalesce((SELECT avg(sim) FROM sims s WHERE s.run_id = k.run_id AND inner_pair), 0), 6) AS within_sim,
            round(coalesce((SELECT avg(sim) FROM sims s WHERE s.run_id = k.run_id AND NOT inner_pair), 0), 6) AS between_sim FROM known k GROUP BY k.run_id""")
 oracle("graph_embeddings", "nodes", """SELECT graph_id, round(avg(node_id % 7), 6) AS z0, round(avg(node_id % 11), 6) AS z1, round(avg(node_id // 1000000000), 6) AS z2 FROM nodes GROUP BY graph_id""")
+oracle("packed_embeddings", "shares", "SELECT msg_id, round((k + 0.75::DOUBLE) / 2, 6) AS z0, round((1.0::DOUBLE + robot_id) / 2, 6) AS z1 FROM shares")
+ORDER_GRAPHS = """lines AS (SELECT l_orderkey AS g, l_linenumber - 1 AS node, l_quantity <> 13 AS there, l_suppkey % 3 AS dst,
+            CASE WHEN l_partkey % 97 = 0 THEN -1 ELSE l_partkey % 5 END AS etype FROM lineitem),
+        faults AS (
+            SELECT g, 1 AS k, format('node ids run from {} to {} over {} nodes', min(node), max(node), count(*)) AS text
+            FROM lines WHERE there GROUP BY g HAVING min(node) <> 0 OR max(node) <> count(*) - 1
+            UNION ALL
+            SELECT g, 4, format('{} repeated node ids such as {}', count(*), min(node)) FROM (
+                SELECT g, node FROM lines WHERE there GROUP BY g, node HAVING count(*) > 1) GROUP BY g
+            UNION ALL
+            SELECT g, 6, format('{} repeated edges such as {}-{} of relation {}', n, m.s, m.d, m.e) FROM (
+                SELECT g, count(*) AS n, min({'s': node, 'd': dst, 'e': etype}) AS m FROM (
+                    SELECT g, node, dst, etype FROM lines GROUP BY ALL HAVING count(*) > 1) GROUP BY g)
+            UNION ALL
+            SELECT g, 5, format('{} edge ends without a node such as {}', count(*), min(e)) FROM (
+                SELECT g, unnest([node, dst]) AS e FROM lines) ends
+            WHERE NOT EXISTS (SELECT 1 FROM lines l WHERE l.g = ends.g AND l.node = ends.e AND l.there) GROUP BY g
+            UNION ALL
+            SELECT g, 7, format('{} edges without a valid relation', count(*)) FROM lines WHERE etype < 0 GROUP BY g)"""
+oracle("compress_rejects", "", f"WITH {ORDER_GRAPHS} SELECT g AS graph_id, string_agg(text, '; ' ORDER BY k) AS error FROM faults GROUP BY g")
+oracle("compress_accepted", "", f"""WITH {ORDER_GRAPHS} SELECT g AS graph_id, count(*) AS n_nodes, CAST(ceil(count(*) * 0.4::DOUBLE) AS BIGINT) AS top_nodes
+    FROM lines WHERE there AND g NOT IN (SELECT g FROM faults) GROUP BY g""")
+oracle("graph_sample", "", "SELECT p_partkey AS graph_id FROM part ORDER BY substr(md5(p_partkey || ':7'), 1, 15), p_partkey LIMIT 50")
 oracle("message_embeddings", "shares", "SELECT msg_id, round((k + 0.75::DOUBLE) / 2, 6) AS z0, round((1.0::DOUBLE + robot_id) / 2, 6) AS z1 FROM shares")
 oracle("monitor_cycles", "monitor", """SELECT run_id, cycle, n_agents, round(mean_sim, 6) AS mean_sim, merges, round(first_value(mean_sim) OVER w, 6) AS baseline,
     round(coalesce(mean_sim - lag(mean_sim) OVER w, 0), 6) AS delta, round(mean_sim - first_value(mean_sim) OVER w, 6) AS rise

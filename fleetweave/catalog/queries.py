@@ -742,6 +742,37 @@ def graph_embeddings(spark, path):
     return found.select("graph_id", *[r6(F.element_at("z", i + 1)).alias(f"z{i}") for i in range(3)])
 
 
+@query
+def packed_embeddings(spark, path):
+    """Share graphs sent in parts of one row each and put together again: one vector a graph, whatever the parts."""
+    packed = knowledge.pack_graphs(*messages.explode_graphs(good_shares(spark, path)), part_rows=1)
+    found, _ = knowledge.embed_packed(packed, knowledge.mean_features)
+    return found.select(F.col("graph_id").alias("msg_id"), *[r6(F.get("z", F.lit(i))).alias(f"z{i}") for i in range(2)])
+
+
+def order_graphs(spark, path) -> tuple[DataFrame, DataFrame]:
+    """A graph per order, its lines being nodes; some lines are missing, and some edges end in lines that are not there."""
+    fx.configure(spark)
+    lines = fx.table(spark, path, "lineitem").select(F.col("l_orderkey").alias("graph_id"), (F.col("l_linenumber") - 1).cast("long").alias("node"),
+                                                     "l_partkey", "l_suppkey", F.col("l_quantity").cast("double").alias("quantity"))
+    nodes = lines.where("quantity <> 13").select("graph_id", F.col("node").alias("node_id"), F.array("quantity").alias("x"))
+    relation = F.when(F.col("l_partkey") % 97 == 0, -1).otherwise(F.col("l_partkey") % 5).cast("int")
+    return nodes, lines.select("graph_id", F.col("node").alias("src"), (F.col("l_suppkey") % 3).cast("long").alias("dst"), relation.alias("etype"))
+
+
+@query
+def compress_rejects(spark, path):
+    """Graphs that a compress request must refuse, with everything that is wrong with them."""
+    return knowledge.compress_checked(*order_graphs(spark, path))[3]
+
+
+@query
+def compress_accepted(spark, path):
+    """Node counts of the graphs that pass the checks and are compressed."""
+    stats = knowledge.compress_checked(*order_graphs(spark, path))[2]
+    return stats.select("graph_id", "n_nodes", (F.col("n_kept") - F.col("bridge_nodes_kept")).alias("top_nodes"))
+
+
 @query
 def message_embeddings(spark, path):
     """A user's model on every share message: here the feature means, computed in Python."""
@@ -830,8 +861,8 @@ def stream_cycles(spark, path):
 def stream_convergence(spark, path):
     source, out = cycle_table(spark, path), batches.work_dir(spark)
     cycles = stateless.subscribe(spark, source, spark.read.parquet(source).schema)
-    finished(cycles, batches.convergence_batches(f"{out}/state", f"{out}/table"), "append", out)
-    found = spark.read.parquet(f"{out}/table")
+    finished(cycles, batches.convergence_batches(f"{out}/state", f"{out}/judged"), "append", out)
+    found = spark.read.parquet(f"{out}/judged/table")
     return rounded(found.select("run_id", us().alias("us"), "mean_sim", "merges", "baseline", "delta", "rise", "stable",
                                 "converged"), "mean_sim", "baseline", "delta", "rise")
 

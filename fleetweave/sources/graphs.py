@@ -20,7 +20,12 @@ def assign_graphs(agents: DataFrame, graphs: DataFrame) -> DataFrame:
 
 
 def sample_graphs(graphs: DataFrame, k: int, seed: int = -1) -> DataFrame:
-    """``k`` graphs by seeded hash order, the same however the data is partitioned; -1 draws a fresh seed."""
+    """``k`` graphs by seeded hash order, the same however the data is partitioned; -1 draws a fresh seed.
+
+    A bottom-k sample: the graphs of the ``k`` smallest hashes, md5 of ``id:seed``, which any engine can repeat. Bottom-k
+    samples merge, so every task passes on ``k`` graphs at most. A graph that is listed twice is one graph.
+    """
     salt = random.getrandbits(62) if seed < 0 else seed
-    return (graphs.select("graph_id").withColumn("_h", F.xxhash64("graph_id", F.lit(salt)))
-            .orderBy("_h", "graph_id").limit(k).select("graph_id"))
+    text = F.concat(F.col("graph_id").cast("string"), F.lit(f":{salt}"))
+    hashed = graphs.select("graph_id").distinct().select(F.substring(F.md5(text), 1, 15).alias("_h"), "graph_id")
+    return hashed.orderBy("_h", "graph_id").limit(k).select("graph_id")
