@@ -15,11 +15,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def range_of(key: Column, marks: list[int]) -> Column:
-    """Number of splitters up to the key, first among every ``STRIDE``-th one, then among those that follow it."""
+    """Number of splitters up to the key: first among every ``STRIDE``-th of every ``STRIDE``-th one, then between those."""
     if not marks:
         return F.lit(0)
-    few, every = (F.lit(m).cast("array<bigint>") for m in (marks[STRIDE - 1::STRIDE] or [marks[-1]], marks))
+    listed = lambda some: F.lit(some).cast("array<bigint>")
     passed = lambda some: F.size(F.filter(some, lambda m: m <= key))
-    if len(marks) < STRIDE:
-        return passed(every)
-    return let(passed(few) * STRIDE, lambda low: low + passed(F.slice(every, low + 1, STRIDE)))
+    levels = [marks]
+    while len(levels[-1]) >= STRIDE:
+        levels.append(levels[-1][STRIDE - 1::STRIDE])
+    def within(low: Column, some: Column) -> Column:
+        return let(low * STRIDE, lambda first: first + passed(F.slice(some, first + 1, STRIDE)))
+
+    found = passed(listed(levels.pop()))
+    while levels:
+        found = within(found, listed(levels.pop()))
+    return found

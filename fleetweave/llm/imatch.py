@@ -1,7 +1,7 @@
 """I-Match fingerprints: terms within a band of inverse document frequency, hashed for several randomised lexicons.
 
-The lexicon holds the terms that between ``LOW`` and ``HIGH`` of all documents contain. Their number is bounded by the
-mean number of distinct terms of a document over ``LOW``, however large the corpus. Each of ``VIEWS`` views draws a chain
+The lexicon holds the terms that between ``LOW`` and ``HIGH`` of all distinct texts contain. Their number is bounded by
+the mean number of distinct terms of a text over ``LOW``, however large the corpus. Each of ``VIEWS`` views draws a chain
 of ever sparser random halves of it: a term's byte of a digest says how far down the chain it stays. A text's signature
 in a view hashes the sorted distinct terms of the sparsest member that it still meets, so long and short texts hash a few
 terms each and an edit elsewhere leaves a signature alone. The fingerprint lists the signatures; likeness is the share of
@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from fleetweave.llm.columns import let, range_of
 from fleetweave.llm.scratch import stored
 
-LOW, HIGH = 0.001, 0.05  # shares of documents; a term is in two documents at least
+LOW, HIGH = 0.001, 0.05  # shares of distinct texts; a term is in two of them at least
 VIEWS = 16
 DIGITS = 8  # hexadecimal digits of a signature
 SPACE = r"[\x20\x09-\x0D]+"
-BUCKET_ROWS, MOST_BUCKETS = 2000, 4096
+BUCKET_ROWS, MOST_BUCKETS = 2000, 32_768  # beyond so many buckets they grow, and are sorted on disk
 BOUND = 1_000_000  # lexicon terms that are sent to every task; more are met by a shuffle
 
 
@@ -28,19 +28,29 @@ def terms(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), SPACE)), lambda w: w != "")
 
 
-def lexicon(docs: DataFrame, rows: int, text_col: str = "_text", low: float = LOW, high: float = HIGH) -> DataFrame:
-    """(term, _depths): terms of the band; ``_depths`` packs for every view the bits of the term's byte, four bits each."""
-    counted = docs.select(F.explode(terms(F.col(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("_docs"))
-    kept = counted.where((F.col("_docs") >= max(2.0, low * rows)) & (F.col("_docs") <= high * rows))
+def _depth(term: Column, view: int) -> Column:
+    """How far down the chain of a view a term stays: the number of binary digits of its byte of a digest."""
+    byte = F.conv(F.substring(F.md5(term), 2 * view + 1, 2), 16, 2)  # without leading zeros
+    return F.when(byte == "0", 0).otherwise(F.length(byte)).cast("long")
 
-    def depth(view: int) -> Column:
-        byte = F.conv(F.substring(F.md5("term"), 2 * view + 1, 2), 16, 2)  # binary digits without leading zeros
-        return F.shiftleft(F.when(byte == "0", 0).otherwise(F.length(byte)).cast("long"), 4 * view)
 
-    depths = depth(0)
+def _depths(term: Column) -> Column:
+    """The depths of all views, four bits each."""
+    packed = _depth(term, 0)
     for view in range(1, VIEWS):
-        depths = depths.bitwiseOR(depth(view))
-    return kept.select("term", depths.alias("_depths"))
+        packed = packed.bitwiseOR(F.shiftleft(_depth(term, view), 4 * view))
+    return packed
+
+
+def lexicon(docs: DataFrame, texts: int, low: float = LOW, high: float = HIGH) -> DataFrame:
+    """(term, depths): terms of the band among the ``texts`` distinct texts of ``docs(_key, _text)``, keyed by their content.
+
+    The terms of a text travel as one string, once per task that holds copies of it.
+    """
+    least = max(2.0, low * texts)
+    distinct = docs.select("_key", F.array_join(terms(F.col("_text")), " ").alias("_terms")).groupBy("_key").agg(F.first("_terms").alias("_terms"))
+    counted = distinct.select(F.explode(F.split("_terms", " ")).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("_texts"))
+    return counted.where(F.col("_texts").between(least, max(least, high * texts))).select("term", _depths(F.col("term")).alias("depths"))
 
 
 def _signatures(found: Column) -> Column:
@@ -60,22 +70,31 @@ def _likeness(a: Column, b: Column) -> Column:
 def _neighbours(docs: DataFrame, rows: int) -> DataFrame:
     """Rows with the next text in descending id order: (_bucket, _nth, _extra, _id, _text, _next).
 
-    Ranges of ids are buckets. Each bucket also gets a copy of the row that follows its last one (``_extra``), so that the
-    next row is always in the same task.
+    Ranges of ids are buckets; an id that fills a bucket has one of its own, and such a bucket, like that of null ids, is
+    divided by ranges of the text's hash, which is the order inside. Each bucket also gets a copy of the row that follows
+    its last one (``_extra``), so that the next row is always in the same task.
     """
     buckets = min(MOST_BUCKETS, max(1, rows // BUCKET_ROWS))
-    marks = docs.agg(F.percentile_approx("_id", [k / buckets for k in range(1, buckets)] or [0.5], 10_000).alias("q")).first()["q"]
-    docs = docs.withColumn("_bucket", F.when(F.col("_id").isNull(), -1).otherwise(range_of(F.col("_id"), sorted(set(marks or [])))))
-    # at most MOST_BUCKETS + 1 rows: the first row of every bucket, and the bucket before
-    heads = docs.groupBy("_bucket").agg(F.max(F.struct("_id", "_digest")).alias("_head"))
+    marks = docs.agg(F.percentile_approx("_id", [k / buckets for k in range(1, buckets)] or [0.5], 10_000).alias("q")).first()["q"] or []
+    alone = {m for m, following in zip(marks, marks[1:]) if m == following}
+    marks = sorted({*marks, *(m + 1 for m in alone)})
+    docs = docs.withColumn("_range", F.when(F.col("_id").isNull(), -1).otherwise(range_of(F.col("_id"), marks)))
+    # one row per range
+    sizes = docs.groupBy("_range").agg(F.count("*").alias("_rows"), (F.min("_id") < F.max("_id")).alias("_mixed"))
+    parts = F.when(F.coalesce("_mixed", F.lit(False)), 1).otherwise(F.ceil(F.col("_rows") / BUCKET_ROWS)).cast("int")
+    docs = docs.join(F.broadcast(sizes.select("_range", F.least(parts, F.lit(MOST_BUCKETS)).alias("_parts"))), "_range")
+    part = F.floor((F.shiftrightunsigned("_digest", 32) * F.col("_parts")) / (1 << 32)).cast("int")  # ascending in the hash's upper half
+    docs = docs.withColumn("_bucket", F.struct("_range", F.when(F.col("_parts") > 1, part).otherwise(0).alias("_part")))
+    # one row per bucket: its first row, and the bucket before
+    heads = docs.groupBy("_bucket").agg(F.max(F.struct("_id", "_order", "_digest")).alias("_head"))
     every, along = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), Window.orderBy("_bucket")
     heads = heads.select(F.col("_bucket").alias("_own"), F.col("_head._id").alias("_head_id"), F.col("_head._digest").alias("_head_digest"),
                          F.coalesce(F.lead("_bucket").over(along), F.first("_bucket").over(every)).alias("_before"))
     is_head = (F.col("_bucket") == F.col("_own")) & F.col("_id").eqNullSafe(F.col("_head_id")) & (F.col("_digest") == F.col("_head_digest"))
     copies = (docs.join(F.broadcast(heads), is_head).dropDuplicates(["_own"])
-              .select("_id", "_digest", "_text", F.col("_before").alias("_bucket"), F.lit(True).alias("_extra")))
-    both = docs.select("_id", "_digest", "_text", "_bucket", F.lit(False).alias("_extra")).unionByName(copies)
-    order = Window.partitionBy("_bucket").orderBy("_extra", F.col("_id").desc_nulls_last(), F.col("_digest").desc())
+              .select("_id", "_order", "_text", F.col("_before").alias("_bucket"), F.lit(True).alias("_extra")))
+    both = docs.select("_id", "_order", "_text", "_bucket", F.lit(False).alias("_extra")).unionByName(copies)
+    order = Window.partitionBy("_bucket").orderBy("_extra", F.col("_id").desc_nulls_last(), F.col("_order").desc())
     return both.select("_bucket", F.row_number().over(order).alias("_nth"), "_extra", "_id", "_text", F.lead("_text").over(order).alias("_next"))
 
 
@@ -85,43 +104,56 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The edited text is the text with its last half (rounded down, in code points) replaced by the start of the next text
     in descending id order; after the last comes the first, and a single row follows itself. Null ids come last, equal ids
-    in descending order of a text hash; a null text is empty. A text without a term of the band has the hash of the whole
-    text in every view, so it is like equal texts only. Repeated rows stay; other columns are not read.
+    in descending order of a text hash; a null text is empty. Document frequency counts distinct texts, so copies do not
+    push terms out of the band; in small tables the band narrows to terms of two texts. A text that meets no term of the
+    band is its own lexicon: all its terms count. One without terms has the hash of the whole text in every view. Repeated
+    rows stay; other columns are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_digest"), text.alias("_text"))
-    rows = docs.count()
-    known = stored(lexicon(docs, rows, low=low, high=high))
+    docs = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"))
+    keyed = docs.select(F.unhex(F.md5("_text")).alias("_key"), "_text")
+    rows, texts = keyed.groupBy("_key").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    known = stored(lexicon(keyed, texts, low, high))
     known = F.broadcast(known) if known.count() <= BOUND else known
 
+    digest = F.xxhash64("_text")
+    # unsigned order of the hash, so that its ranges are those of its upper half
+    docs = docs.select("_id", digest.alias("_digest"), digest.bitwiseXOR(F.lit(-1 << 63)).alias("_order"), "_text")
     half = F.floor(F.char_length("_text") / 2).cast("int")
     edited = F.concat(F.left("_text", F.char_length("_text") - half), F.left("_next", half))
     placed = _neighbours(docs, rows).withColumn("_edited", F.when(~F.col("_extra"), edited))
 
-    words = F.explode(F.concat(F.transform(terms(F.col("_text")), lambda w: F.struct(F.lit(0).alias("kind"), w.alias("term"))),
-                               F.transform(terms(F.coalesce("_edited", F.lit(""))), lambda w: F.struct(F.lit(1).alias("kind"), w.alias("term")))))
-    spread = placed.select("_bucket", "_nth", words.alias("_w")).select("_bucket", "_nth", "_w.kind", "_w.term")
-    # all rows of a bucket are in one task already, so this grouping moves nothing
-    grouped = (spread.join(known, "term").groupBy("_bucket", "_nth")
-               .agg(F.sort_array(F.collect_list(F.struct("term", F.col("_depths").alias("depths"), "kind"))).alias("_found")))
-    of_kind = lambda k: _signatures_or_none(F.filter("_found", lambda x: x["kind"] == k))
-    signed = grouped.select(F.col("_bucket").alias("_b"), F.col("_nth").alias("_n"), of_kind(0).alias("_plain"), of_kind(1).alias("_changed"))
-
     def whole(column) -> Column:
         return F.substring(F.md5(column), 1, DIGITS)
 
-    meta = placed.select("_bucket", "_nth", "_extra", "_id", F.char_length("_text").cast("long").alias("n_chars"),
-                         (F.col("_edited") if keep_text else F.sha2("_edited", 256)).alias("_edited"),
-                         whole("_text").alias("_whole"), whole(F.coalesce("_edited", F.lit(""))).alias("_edited_whole"))
-    joined = meta.join(signed, (F.col("_bucket") == F.col("_b")) & (F.col("_nth") == F.col("_n")), "left")
-    joined = joined.select("_bucket", "_nth", "_extra", "_id", "n_chars", "_edited", F.coalesce("_plain", F.array_repeat("_whole", VIEWS)).alias("_plain"),
-                           F.coalesce("_changed", F.array_repeat("_edited_whole", VIEWS)).alias("_changed"))
+    # all that a row needs later travels with one entry of its own, beside an entry per term; its key is no term
+    def entries(both: Column) -> Column:
+        meta = F.struct("_extra", "_id", F.char_length("_text").cast("long").alias("n_chars"),
+                        (F.col("_edited") if keep_text else F.sha2("_edited", 256)).alias("_edited"), whole("_text").alias("_whole"),
+                        whole(F.coalesce("_edited", F.lit(""))).alias("_edited_whole"), both["plain"].alias("_plain_terms"),
+                        both["edited"].alias("_edited_terms"))
+        nothing = F.when(F.lit(False), meta)
+        entry = lambda kind, term, more: F.struct(F.lit(kind).alias("kind"), term.alias("term"), more.alias("meta"))
+        key = F.concat(F.lit(" "), F.col("_bucket").cast("string"), F.col("_nth").cast("string"))
+        return F.concat(F.array(entry(2, key, meta)), F.transform(both["plain"], lambda w: entry(0, w, nothing)),
+                        F.transform(both["edited"], lambda w: entry(1, w, nothing)))
+
+    both = F.struct(terms(F.col("_text")).alias("plain"), terms(F.coalesce("_edited", F.lit(""))).alias("edited"))
+    spread = placed.select("_bucket", "_nth", F.explode(let(both, entries)).alias("_w")).select("_bucket", "_nth", "_w.*")
+    # all rows of a bucket are in one task already, so this grouping moves nothing if the lexicon is sent to every task
+    found = F.sort_array(F.collect_list(F.struct("term", "depths", "kind", "meta"))).alias("_found")
+    grouped = spread.join(known, "term", "left").where("depths is not null or kind = 2").groupBy("_bucket", "_nth").agg(found)
+    grouped = grouped.withColumn("_meta", F.get(F.filter("_found", lambda x: x["kind"] == 2), F.lit(0))["meta"])
+
+    def signed(kind: int, every: str, otherwise: str) -> Column:
+        own = F.transform(F.array_sort(F.col(f"_meta.{every}")), lambda w: F.struct(w.alias("term"), _depths(w).alias("depths")))
+        return let(F.filter("_found", lambda x: x["kind"] == kind), lambda some: F.when(F.size(some) > 0, _signatures(some)).when(
+            F.size(f"_meta.{every}") > 0, let(own, _signatures)).otherwise(F.array_repeat(F.col(f"_meta.{otherwise}"), VIEWS)))
+
+    joined = grouped.select("_bucket", "_nth", "_meta._extra", "_meta._id", "_meta.n_chars", "_meta._edited",
+                            signed(0, "_plain_terms", "_whole").alias("_plain"), signed(1, "_edited_terms", "_edited_whole").alias("_changed"))
     order = Window.partitionBy("_bucket").orderBy("_nth")
     return joined.withColumn("_following", F.lead("_plain").over(order)).where(~F.col("_extra")).select(
         F.col("_id").alias("id"), "n_chars", F.col("_edited").alias("edited"), F.array_join("_plain", "").alias("fingerprint"),
         F.array_join("_changed", "").alias("edited_fingerprint"), _likeness(F.col("_plain"), F.col("_changed")).alias("near_edited"),
         _likeness(F.col("_plain"), F.col("_following")).alias("near_next"))
-
-
-def _signatures_or_none(found: Column) -> Column:
-    return let(found, lambda some: F.when(F.size(some) > 0, _signatures(some)))

@@ -120,12 +120,19 @@ ORACLES["op5_imatch"] = f"""
         SELECT doc_id, kind, term
         FROM (SELECT doc_id, kind, unnest(list_distinct(string_split_regex(lower(text), '[\\x20\\x09-\\x0D]+'))) AS term FROM texts)
         WHERE term <> ''),
+    distinct_terms AS (
+        SELECT unnest(list_distinct(string_split_regex(lower(text), '[\\x20\\x09-\\x0D]+'))) AS term FROM (SELECT DISTINCT text FROM ordered)),
+    size AS (SELECT count(DISTINCT text) AS n FROM ordered),
     lexicon AS (
-        SELECT term FROM terms WHERE kind = 0 GROUP BY term
-        HAVING count(*) BETWEEN greatest(2, {imatch.LOW} * (SELECT count(*) FROM documents)) AND {imatch.HIGH} * (SELECT count(*) FROM documents)),
+        SELECT term FROM distinct_terms, size WHERE term <> '' GROUP BY term, n
+        HAVING count(*) BETWEEN greatest(2, {imatch.LOW} * n) AND greatest(2, {imatch.LOW} * n, {imatch.HIGH} * n)),
+    banded AS (SELECT terms.*, lexicon.term IS NOT NULL AS inside FROM terms LEFT JOIN lexicon USING (term)),
+    used AS (
+        SELECT doc_id, kind, term FROM banded
+        QUALIFY inside OR NOT bool_or(inside) OVER (PARTITION BY doc_id, kind)),
     viewed AS (
         SELECT doc_id, kind, term, v, length(ltrim(bin(('0x' || substr(md5(term), 2 * v + 1, 2))::INT), '0')) AS depth
-        FROM terms SEMI JOIN lexicon USING (term), range({imatch.VIEWS}) views(v)),
+        FROM used, range({imatch.VIEWS}) views(v)),
     ranked AS (SELECT *, min(depth) OVER (PARTITION BY doc_id, kind, v) AS least FROM viewed),
     signatures AS (
         SELECT doc_id, kind, v, left(md5(string_agg(term, ' ' ORDER BY term)), {imatch.DIGITS}) AS sig

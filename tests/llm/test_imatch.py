@@ -1,17 +1,23 @@
 """Fingerprints against SQL on the documents and against plain Python on awkward rows."""
 import hashlib
+import random
 import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from compare import connect, differences
 from fleetweave.llm import imatch
 from fleetweave.llm.queries import ORACLES, QUERIES
 
 
+def words(text):
+    return set(re.split(imatch.SPACE, text.lower())) - {""}
+
+
 def signatures(text, lexicon):
-    kept = sorted(set(re.split(imatch.SPACE, text.lower())) & lexicon)
+    kept = sorted(words(text) & lexicon or words(text))
     if not kept:
         return [hashlib.md5(text.encode()).hexdigest()[:8]] * imatch.VIEWS
     out = []
@@ -25,8 +31,8 @@ def signatures(text, lexicon):
 def brute(rows, low, high):
     """Rows come in descending id order."""
     texts = [t or "" for _, t in rows]
-    counts = Counter(w for t in texts for w in set(re.split(imatch.SPACE, t.lower())) - {""})
-    lexicon = {w for w, n in counts.items() if max(2, low * len(rows)) <= n <= high * len(rows)}
+    counts, n = Counter(w for t in set(texts) for w in words(t)), len(set(texts))
+    lexicon = {w for w, c in counts.items() if max(2, low * n) <= c <= max(2, low * n, high * n)}
     out = []
     for k, (i, _) in enumerate(rows):
         text, after = texts[k], texts[(k + 1) % len(rows)]
@@ -70,3 +76,46 @@ def test_no_rows_null_ids_and_repeated_rows(spark, awkward, no_rows):
 def test_edited_texts_are_likelier_than_the_next(spark):
     rows = QUERIES["op5_imatch"](spark, "/root/testdata/sf0.01").collect()
     assert sum(r["near_edited"] for r in rows) > 2 * sum(r["near_next"] for r in rows)
+
+
+def likeness(a, b):
+    cut = lambda x: [x[k:k + 8] for k in range(0, len(x), 8)]
+    return sum(p == q for p, q in zip(cut(a), cut(b))) / imatch.VIEWS
+
+
+def corpus(n, seed=1):
+    draw = random.Random(seed)
+    return [" ".join(f"w{min(int(draw.paretovariate(0.4)), 4000)}" for _ in range(120)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("copies", [0, 500])
+def test_copies_do_not_push_terms_out_of_the_band(spark, copies):
+    """One word changed in a text with 500 copies among 1,000 documents."""
+    texts = corpus(500)
+    edited = " ".join(["changed", *texts[0].split()[1:]])
+    rows = list(enumerate([*texts, edited, *[texts[0]] * copies]))
+    prints = {r["id"]: r["fingerprint"] for r in imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert likeness(prints[0], prints[500]) > 0.8 > 0.5 > likeness(prints[0], prints[1])
+
+
+@pytest.mark.parametrize("n", [2, 5, 39, 41])
+def test_small_tables_have_likeness_too(spark, n):
+    rows = [(k, t) for k, t in enumerate(corpus(n))]
+    found = ours(spark.createDataFrame(rows, "doc_id long, text string"), imatch.LOW, imatch.HIGH)
+    assert sorted(found) == sorted(brute(rows[::-1], imatch.LOW, imatch.HIGH))
+    assert sum(f[5] for f in found) > 0
+
+
+def test_null_and_equal_ids_are_spread(spark, monkeypatch):
+    """A third of the rows has no id, a third one id: their buckets are divided, and the order stays."""
+    monkeypatch.setattr(imatch, "BUCKET_ROWS", 20)
+    texts = corpus(240, 5)
+    rows = [(None if k % 3 == 0 else 77 if k % 3 == 1 else 2 * k, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]] % (1 << 64)), reverse=True)
+    digest = F.xxhash64("_text")
+    shaped = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), digest.alias("_digest"), digest.bitwiseXOR(F.lit(-1 << 63)).alias("_order"))
+    placed = imatch._neighbours(shaped, 240)
+    assert max(r["count"] for r in placed.groupBy("_bucket").count().collect()) < 60
+    assert sorted(ours(docs, 0.01, 0.3), key=str) == sorted(brute(ordered, 0.01, 0.3), key=str)
