@@ -16,20 +16,21 @@ from fleetweave.llm.scratch import stored
 
 SHARDS = 24
 OVERHEAD = 8  # bytes of a record besides its text
-RANGES = 512
-SAMPLE = 32 * RANGES  # expected draws, however large the input
+FEWEST, MOST = 512, 32_768  # ranges
+RANGE_ROWS = 50_000  # records of a range, until there are ``MOST`` of them
+DRAWS = 32  # expected draws per range
 OVERFULL = 2.0  # times the mean bytes of a range
 
 
-def splitters(records: DataFrame, ranges: int = RANGES) -> list[int]:
+def splitters(records: DataFrame, ranges: int = FEWEST) -> list[int]:
     """Ascending keys that cut ``records(_key, _id, _size)`` into ranges of about equal bytes.
 
-    Sampling is by hash, so it repeats exactly. The sample alone reaches the driver: ``SAMPLE`` draws are expected.
+    Sampling is by hash, so it repeats exactly. The sample alone reaches the driver: ``DRAWS`` a range are expected.
     """
     total = records.agg(F.sum("_size").alias("n")).first()["n"]
     if not total:
         return []
-    chance = F.col("_size") * (SAMPLE / total)
+    chance = F.col("_size") * (DRAWS * ranges / total)
     draw = F.pmod(F.xxhash64("_key", "_id", F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
     # a record larger than a sampling step is drawn once for each whole step it holds
     times = (F.floor(chance) + F.when(draw < chance - F.floor(chance), 1).otherwise(0)).cast("int")
@@ -49,12 +50,13 @@ def shards(docs: DataFrame, count: int = SHARDS, id_col: str = "doc_id", text_co
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     records = stored(docs.select(F.col(id_col).alias("_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("_size"),
                                  F.crc32(text.cast("binary")).alias("_crc"), F.xxhash64(text).alias("_key")))
-    records = records.withColumn("_range", range_of(F.col("_key"), splitters(records)))
+    ranges = min(MOST, max(FEWEST, records.count() // RANGE_ROWS))
+    records = records.withColumn("_range", range_of(F.col("_key"), splitters(records, ranges)))
 
-    # one row per range, then per cell: at most RANGES, and RANGES and RANGES / OVERFULL
+    # one row per range, then per cell: at most that many, and as many again for every OVERFULL of them
     measured = records.groupBy("_range").agg(F.sum("_size").alias("_bytes"))
     total = measured.agg(F.sum("_bytes")).scalar()
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_bytes") * RANGES / (OVERFULL * total)).cast("int"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("_bytes") * ranges / (OVERFULL * total)).cast("int"))
     divided = records.join(F.broadcast(measured.select("_range", parts.alias("_parts"))), "_range")
     divided = divided.withColumn("_part", F.pmod(F.xxhash64("_id", "_crc", F.lit("part")), F.col("_parts")).cast("int"))
     cells = divided.groupBy("_range", "_part").agg(F.sum("_size").alias("_bytes"), F.count("*").alias("_rows"))
