@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetweave.llm.hot_keys import looked_up
 from fleetweave.llm.linking import components
 from fleetweave.llm.scratch import stored
 from fleetweave.llm.text import chunks, release, texts_of
@@ -106,19 +107,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and link like any other; a null id is never a component id, so a component of null ids alone has a null one.
     Repeated rows stay repeated; other columns are not read. An empty table gives an empty result.
     """
-    grouped, roots = _grouped(docs, id_col, text_col, size, radius)
-    return grouped.join(roots, "root").select("id", "fp", F.col("first.id").alias("component_id"))
+    prints, labelled, roots = _grouped(docs, id_col, text_col, size, radius)
+    named = looked_up(labelled, roots.select("root", "first", "members"), "root", F.col("members"), labelled.count())
+    named = stored(named.select("fp", "rows", F.col("first.id").alias("component_id")))
+    return looked_up(prints.select("id", "fp"), named, "fp", F.col("rows"), prints.count()).select("id", "fp", "component_id")
 
 
-def _grouped(docs, id_col, text_col, size, radius) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, fp, digest, root) and roots (root, first), the row of each group that comes first by id and text."""
+def _grouped(docs, id_col, text_col, size, radius) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, fp, digest), fingerprints (fp, rows, root), and roots (root, members, first): members are fingerprints,
+    ``first`` the row of the group that comes first by id and text.
+    """
     prints = stored(fingerprints(docs, id_col, text_col, size))
     groups = components(links(prints, radius)).toDF("fp", "root")
     place = F.struct(F.col("id").isNull().alias("null"), "id", "digest")
-    held = prints.groupBy("fp").agg(F.min(place).alias("least"))
-    labelled = held.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    roots = labelled.groupBy("root").agg(F.min("least").alias("first"))
-    return prints.join(labelled.select("fp", "root"), "fp"), roots
+    held = prints.groupBy("fp").agg(F.min(place).alias("least"), F.count("*").alias("rows"))
+    labelled = stored(held.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    roots = stored(labelled.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("members")))
+    return prints, labelled.select("fp", "rows", "root"), roots
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS,
@@ -127,7 +132,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Repeated rows are one group's like any other, so one of them stays. All columns pass through.
     """
-    _, roots = _grouped(docs, id_col, text_col, size, radius)
+    _, _, roots = _grouped(docs, id_col, text_col, size, radius)
     kept = roots.select(F.col("first.id").alias("_kept_id"), F.col("first.digest").alias("_kept_digest"))
     digest = F.xxhash64(F.col(text_col).cast("string"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
