@@ -78,3 +78,23 @@ def test_gaps_and_waits_follow_dispatched_goals(spark, at):
     assert {r["goal_num"]: r["gap_sec"] for r in goals.dispatch_gaps(log, 100.0).collect()} == {1: None, 3: 90.0, 4: 230.0}
     maps = spark.createDataFrame([(1, at(52)), (1, at(340))], "robot_id int, ts timestamp")
     assert {r["goal_num"]: r["stale"] for r in goals.stale_maps(log, maps).collect()} == {1: False, 4: True}
+
+
+def test_finished_receivers_settle_once(spark, monkeypatch):
+    """Forty receivers with one event, one with fifty, one with none, in rounds of four events."""
+    from fleetweave.operators import folds
+    agents = spark.createDataFrame([(k, [1.0, 0.0]) for k in range(42)], "agent_id int, z array<double>")
+    events = [(k, 0, [0.0, 1.0]) for k in range(40)] + [(40, s, [float(s % 3), 1.0]) for s in range(50)]
+    events = spark.createDataFrame(events, "receiver_id int, seq long, r array<double>")
+    sizes, plain = [], folds._step
+
+    def counted(states, *args):
+        sizes.append(states.count())
+        return plain(states, *args)
+
+    monkeypatch.setattr(folds, "_step", counted)
+    got = {r.agent_id: (r.n_folded, r.z) for r in merging.merge_embeddings(agents, events, rows=4).collect()}
+    assert sizes == [41] + [1] * 12
+    monkeypatch.undo()
+    want = {r.agent_id: (r.n_folded, r.z) for r in merging.merge_embeddings(agents, events).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in got)
