@@ -177,6 +177,11 @@ VIEWS = {
         UNION
         SELECT r.run_id, r."at", CASE WHEN p.i = r.robot_id THEN p.j ELSE p.i END, r.root
         FROM union_reach r JOIN cycle_pairs p ON p.run_id = r.run_id AND p.cycle <= r."at" AND (p.i = r.robot_id OR p.j = r.robot_id)""",
+    "hour_reach": """
+        SELECT run_id, "at", robot_id, robot_id AS root FROM fleet, (SELECT CAST(range AS INTEGER) AS "at" FROM range(24))
+        UNION
+        SELECT r.run_id, r."at", CASE WHEN p.i = r.robot_id THEN p.j ELSE p.i END, r.root
+        FROM hour_reach r JOIN cycle_pairs p ON p.run_id = r.run_id AND p.cycle <= r."at" AND (p.i = r.robot_id OR p.j = r.robot_id)""",
     "end_reach": """
         SELECT run_id, robot_id, robot_id AS root FROM latest
         UNION
@@ -215,7 +220,7 @@ NEEDS = {
     "marked": ["scores"], "inner_links": ["touches", "marked"], "kept_parts(graph_id, node_id, part) USING KEY (graph_id, node_id)": ["inner_links"],
     "bridges": ["kept_parts(graph_id, node_id, part) USING KEY (graph_id, node_id)"], "kept": ["bridges"],
     "raw_scores": ["nodes", "touches", "relations"], "scores": ["raw_scores"], "contact_reach": ["cycle_pairs"],
-    "union_reach": ["cycle_pairs", "fleet"], "end_reach": ["latest_pairs"], "end_parts": ["end_reach"], "folds": ["agents"],
+    "union_reach": ["cycle_pairs", "fleet"], "hour_reach": ["cycle_pairs", "fleet"], "end_reach": ["latest_pairs"], "end_parts": ["end_reach"], "folds": ["agents"],
     "stuck_rows": ["world"], "hour_cycles": ["telemetry"], "active": ["telemetry", "agents"],
     "monitor": ["active", "cycle_merges"],
 }
@@ -448,6 +453,19 @@ oracle("next_targets", "usable", """, seen AS (SELECT *, sqrt((tx + map_id) ** 2
     SELECT map_id, map_id AS robot_id, CAST(cluster_id AS BIGINT) AS cluster_id, n_cells, d < 0.5 AS projected, round(tx, 6) AS fx, round(ty, 6) AS fy,
            round(CASE WHEN d < 0.5 THEN -map_id + (tx + map_id) / d * 0.7::DOUBLE ELSE tx END, 6) AS gx,
            round(CASE WHEN d < 0.5 THEN map_id + (ty - map_id) / d * 0.7::DOUBLE ELSE ty END, 6) AS gy FROM best WHERE d >= 0.01""")
+oracle("explored_targets", "targets outcomes", """, bans AS (
+        SELECT robot_id, gx AS px, gy AS py, min(CASE WHEN outcome = 'resent' THEN ts ELSE ts + INTERVAL 1 SECOND * CAST(took AS BIGINT) END) AS banned
+        FROM outcomes WHERE outcome <> 'reached' GROUP BY ALL),
+    choices AS (
+        SELECT map_id, cluster_id, n_cells, robot_id, tx + map_id AS tx, ty - map_id AS ty, first + INTERVAL 1 DAY * (robot_id + 1) AS chosen
+        FROM targets, (SELECT min(ts) AS first FROM outcomes), (VALUES (0), (5)) s(shift), LATERAL (SELECT CAST((map_id + shift) % 10 AS INTEGER) AS robot_id)),
+    seen AS (
+        SELECT *, sqrt((tx - 0.2::DOUBLE) ** 2 + (ty - 0.1::DOUBLE) ** 2) AS d FROM choices c
+        WHERE NOT EXISTS (SELECT 1 FROM bans b WHERE b.robot_id = c.robot_id AND banned < chosen AND sqrt((tx - px) ** 2 + (ty - py) ** 2) < 0.4)),
+    best AS (SELECT * FROM seen QUALIFY row_number() OVER (PARTITION BY map_id, robot_id ORDER BY d < 0.5, d, cluster_id) = 1)
+    SELECT map_id, robot_id, CAST(cluster_id AS BIGINT) AS cluster_id, n_cells, d < 0.5 AS projected, round(tx, 6) AS fx, round(ty, 6) AS fy,
+           round(CASE WHEN d < 0.5 THEN 0.2 + (tx - 0.2::DOUBLE) / d * 0.7::DOUBLE ELSE tx END, 6) AS gx,
+           round(CASE WHEN d < 0.5 THEN 0.1 + (ty - 0.1::DOUBLE) / d * 0.7::DOUBLE ELSE ty END, 6) AS gy FROM best WHERE d >= 0.01""")
 oracle("interleaved_clock", "shares", """SELECT run_id, epoch_us(ts) AS us, event_id, 0 AS kind, robot_id, NULL::INTEGER AS sender_id FROM telemetry
     UNION ALL SELECT run_id, epoch_us(ts), msg_id, 1, NULL, sender_id FROM shares""")
 
@@ -469,6 +487,10 @@ oracle("contact_components", "contact_reach", """SELECT run_id, cycle, robot_id,
     count(*) OVER (PARTITION BY run_id, cycle, component) = 1 AS isolated FROM (SELECT run_id, cycle, robot_id, min(root) AS component FROM contact_reach GROUP BY ALL)""")
 oracle("union_connectivity", "union_reach", """SELECT run_id, "at", count(DISTINCT component) AS n_components, count(DISTINCT component) = 1 AS connected
     FROM (SELECT run_id, "at", robot_id, min(root) AS component FROM union_reach GROUP BY ALL) GROUP BY ALL""")
+oracle("first_contacts", "hour_reach", """, labelled AS (SELECT run_id, "at", robot_id, min(root) AS component FROM hour_reach GROUP BY ALL),
+    parts AS (SELECT run_id, "at", count(DISTINCT component) AS n, count(DISTINCT robot_id) AS n_robots FROM labelled GROUP BY ALL)
+    SELECT run_id, "at" AS t, n_joined FROM (
+        SELECT run_id, "at", coalesce(lag(n) OVER (PARTITION BY run_id ORDER BY "at"), n_robots) - n AS n_joined FROM parts) WHERE n_joined > 0""")
 oracle("cluster_similarity", "end_parts beliefs", """, known AS (SELECT run_id, robot_id, component, z FROM end_parts JOIN beliefs USING (run_id, robot_id)),
     sims AS (SELECT a.run_id, a.component = b.component AS inner_pair, list_cosine_similarity(a.z, b.z) AS sim FROM known a JOIN known b ON a.run_id = b.run_id AND a.robot_id <> b.robot_id)
     SELECT k.run_id, count(DISTINCT component) AS n_components,

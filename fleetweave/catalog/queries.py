@@ -685,6 +685,29 @@ def frontier_clusters(spark, path):
     return labelled.select("map_id", "cell", "cluster_id")
 
 
+@query
+def explored_targets(spark, path):
+    """Two robots on every map choose a target in the first days of the goal log: what a robot has tried by then rules out points for it.
+
+    All maps lie in the frame of the goals, and robot k chooses on day k + 1.
+    """
+    grids, log = fx.grids(spark, path).withColumns({"origin_x": F.lit(0.0), "origin_y": F.lit(0.0)}), fx.goal_log(spark, path)
+    first = log.agg(F.min("ts").alias("first"))  # one row
+    pair = F.explode(F.array(*[((F.col("map_id") + k) % 10).cast("int") for k in (0, 5)])).alias("robot_id")
+    robots = grids.select("map_id", "seq", pair, F.lit(0.2).alias("x"), F.lit(0.1).alias("y")).join(F.broadcast(first))
+    robots = robots.withColumn("ts", F.col("first") + F.make_dt_interval(days=F.col("robot_id") + 1)).drop("first")
+    found = frontier_targets.explored_targets(grids, robots, log)
+    return rounded(found.drop("seq"), "gx", "gy", "fx", "fy")
+
+
+@query
+def first_contacts(spark, path):
+    """The contacts by which parts of every run's fleet met for the first time."""
+    pairs = cycle_pairs(spark, path).withColumn("t", F.col("cycle"))
+    forest = fragmentation.first_contact_forest(pairs, ["run_id"])
+    return forest.groupBy("run_id", "t").agg(F.count("*").alias("n_joined"))
+
+
 @query
 def contact_components(spark, path):
     here = cycle_positions(spark, path).select("run_id", "cycle", "robot_id")

@@ -26,17 +26,26 @@ def drop_blacklisted(targets: DataFrame, blacklist: DataFrame, keys: list[str],
 
 def next_targets(robots: DataFrame, targets: DataFrame, blacklist: DataFrame | None = None,
                  keys: tuple[str, ...] = ("map_id", "seq"), min_dist: float = MIN_GOAL_DIST,
-                 project: float = GOAL_PROJECT) -> DataFrame:
+                 project: float = GOAL_PROJECT, radius: float = BLACKLIST_RADIUS) -> DataFrame:
     """Next goal of each robot on its own map.
 
     The nearest target at least ``min_dist`` away; else the nearest one, its goal projected outward; no row when that
-    one gives no heading. ``robots(keys, robot_id, x, y)``, ``targets(keys, cluster_id, tx, ty, n_cells)``.
+    one gives no heading. ``robots(keys, robot_id, x, y)``, ``targets(keys, cluster_id, tx, ty, n_cells)``. A
+    ``blacklist(keys, bx, by)`` bans points of a map for everyone; one with ``robot_id`` and ``ts`` bans them for that
+    robot alone, in choices made later than that, and ``robots`` then has the time ``ts`` of each choice.
     """
     keys = list(keys)
-    if blacklist is not None:
-        targets = drop_blacklisted(targets, blacklist, keys, [*keys, "cluster_id"])
+    if blacklist is not None and "robot_id" not in blacklist.columns:
+        targets = drop_blacklisted(targets, blacklist, keys, [*keys, "cluster_id"], radius)
     away = distance("tx", "ty", "x", "y")
     seen = robots.join(targets, keys).withColumn("_d", away)
+    if blacklist is not None and "robot_id" in blacklist.columns:
+        ids = [*keys, "robot_id", "cluster_id"]
+        spots = seen.select(*ids, F.col("ts").alias("_chosen"), F.col("tx").alias("lx"), F.col("ty").alias("ly"))
+        # of equal points the first ban counts
+        bans = blacklist.groupBy("robot_id", F.col("bx").alias("rx"), F.col("by").alias("ry")).agg(F.min("ts").alias("_banned"))
+        known = near(spots, bans, ["robot_id"], radius, F.col("_banned") < F.col("_chosen"), "left_semi")
+        seen = seen.join(known.select(*ids).distinct(), ids, "left_anti")
     # Far targets first, then by distance; a minimum needs no sort and combines map-side.
     order = F.struct((F.col("_d") < min_dist).alias("close"), F.col("_d").alias("d"), F.col("cluster_id"))
     best = seen.groupBy(*keys, "robot_id").agg(
@@ -119,6 +128,13 @@ def blacklist_points(outcomes: DataFrame) -> DataFrame:
     return outcomes.where("blacklisted").select("robot_id", F.col("fx").alias("bx"), F.col("fy").alias("by")).distinct()
 
 
+def timed_blacklist(outcomes: DataFrame) -> DataFrame:
+    """(robot_id, bx, by, ts): points that a robot's goals ruled out, and when; a re-sent goal ends as it is chosen."""
+    when = F.when(F.col("outcome") == "resent", F.col("ts")).otherwise(F.col("end_ts"))
+    return (outcomes.where("blacklisted").groupBy("robot_id", F.col("fx").alias("bx"), F.col("fy").alias("by"))
+            .agg(F.min(when).alias("ts")))
+
+
 def dispatch_gaps(goal_log: DataFrame, floor_sec: float = MIN_GOAL_PERIOD, chunk_sec: float = DAY) -> DataFrame:
     """Seconds since the robot's previous dispatch, flagged when under the floor; candidates never sent are left out."""
     goal_log = goal_log.where("dispatched") if "dispatched" in goal_log.columns else goal_log

@@ -63,3 +63,25 @@ def test_cluster_similarity(spark):
     h = 2 ** -0.5
     assert got.n_components == 3 and got.within_sim == pytest.approx(h)
     assert got.between_sim == pytest.approx((0 - 1 + h - h + 0) / 5)
+
+
+def test_the_forest_holds_first_contacts_that_join_parts(spark):
+    """Against Kruskal's rule: contacts in time order, those kept that join two parts."""
+    import random
+    rng = random.Random(8)
+    rows = [(run, *rng.sample(range(18), 2), rng.randrange(30)) for run in ("a", "b") for _ in range(25)]
+    rows += [(r, j, i, t + 3) for r, i, j, t in rows[:9]] + [("a", 4, 4, 0), ("lone", 1, 2, 7)]
+    pairs = spark.createDataFrame(rows, "run_id string, i int, j int, t int")
+    got = sorted((r.run_id, r.t, r.i, r.j) for r in fragmentation.first_contact_forest(pairs, ["run_id"]).collect())
+    want, label = [], {}
+    for run, t, i, j in sorted((r, t, min(i, j), max(i, j)) for r, i, j, t in rows):
+        a, b = label.setdefault((run, i), i), label.setdefault((run, j), j)
+        if a != b:
+            want.append((run, t, i, j))
+            label = {k: a if k[0] == run and v == b else v for k, v in label.items()}
+    assert got == want
+    robots = spark.createDataFrame([(run, k) for run in ("a", "b", "lone", "none") for k in range(18)], "run_id string, robot_id int")
+    found = fragmentation.union_connectivity(pairs, robots, list(range(-1, 34)))
+    counts = {(r.run_id, r.at): (r.n_components, r.connected) for r in found.collect()}
+    assert len(counts) == 4 * 35 and all(counts[run, t][0] == 18 - sum(1 for r, x, *_ in want if r == run and x <= t) for run, t in counts)
+    assert fragmentation.first_contact_forest(pairs.where("false"), ["run_id"]).count() == 0

@@ -142,3 +142,24 @@ def test_gaps_and_stale_maps(spark, at):
     maps = spark.createDataFrame([(0, at(0)), (0, at(15)), (0, at(316))], "robot_id int, ts timestamp")
     stale = {r.goal_num: r.stale for r in goals.stale_maps(log, maps).collect()}
     assert stale == {0: False, 1: True, 2: True}
+
+
+def test_bans_hold_for_one_robot_and_later_choices(spark, at):
+    """Robots 1 and 2 share a map; robot 1 has tried the nearest target before its second choice only."""
+    targets = spark.createDataFrame([(0, 0, 10, 2.0, 0.0, 5), (0, 0, 11, 3.0, 0.0, 5), (0, 0, 12, 9.0, 0.0, 5)],
+                                    "map_id int, seq int, cluster_id long, tx double, ty double, n_cells long")
+    bans = spark.createDataFrame([(1, 2.1, 0.1, at(50)), (1, 2.1, 0.1, at(90)), (1, 3.0, 0.39, at(70)), (2, 9.0, 0.0, at(0)), (3, 2.0, 0.4, at(0))],
+                                 "robot_id int, bx double, by double, ts timestamp")
+    choose = lambda t: spark.createDataFrame([(0, 0, k, at(t), 0.0, 0.0) for k in (1, 2, 3)],
+                                             "map_id int, seq int, robot_id int, ts timestamp, x double, y double")
+    got = {t: {r.robot_id: r.cluster_id for r in goals.next_targets(choose(t), targets, bans).collect()} for t in (40, 50, 60, 80)}
+    assert got == {40: {1: 10, 2: 10, 3: 10}, 50: {1: 10, 2: 10, 3: 10}, 60: {1: 11, 2: 10, 3: 10}, 80: {1: 12, 2: 10, 3: 10}}
+
+
+def test_a_log_of_goals_bans_points_once_they_ended(spark, at):
+    log = [(1, 1, at(0), 1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, "failed", at(30)), (1, 2, at(40), 1.05, 0.0, 1.05, 0.0, 0.0, 0.0, 1.0, 0.0, "succeeded", at(60)),
+           (1, 3, at(70), 5.0, 0.0, 5.0, 0.0, 0.0, 0.0, 4.0, 0.0, "succeeded", at(80))]
+    frame = spark.createDataFrame(log, "robot_id int, goal_num long, ts timestamp, gx double, gy double, fx double, fy double, sx double, sy double, "
+                                       "ex double, ey double, result string, end_ts timestamp")
+    got = {(r.bx, r.ts.replace(tzinfo=None)) for r in goals.timed_blacklist(goals.goal_outcomes(frame)).collect()}
+    assert got == {(1.0, at(30).replace(tzinfo=None)), (1.05, at(40).replace(tzinfo=None))}
