@@ -1,5 +1,6 @@
 import math
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,37 +48,40 @@ def test_newest_pose_decides_the_displacement(spark, at):
     assert not judge(spark, at, [tuple(map(float, s)) for s in STILL], here=(1.0, 0.0))
 
 
-def test_against_a_deque(spark, at):
-    """Random histories over several chunks against a plain loop."""
-    rng = random.Random(11)
-    log, event = [], 0
-    for robot in range(6):
-        x = t = 0.0
-        while t < 60:
-            t += rng.choice([0.3, 0.5, 0.9])
-            kind = rng.choices([0, 1, 2, 3], [3, 8, 3, 0.3])[0]
-            if rng.random() < 0.04:
-                x += 0.2
-            event += 1
-            log.append((robot, round(t, 1), kind, event, x, 0.0 if rng.random() < 0.02 else 0.15))
-    want, state = {}, {}
-    for robot, t, kind, event, x, v in sorted(log, key=lambda r: (r[1], r[2], r[3])):
-        samples, pose = state.setdefault(robot, ([], [None]))
-        if kind == 0:
-            pose[0] = x
-        elif kind == 1:
-            samples.append((t, x, v))
-            samples[:] = [s for s in samples if s[0] >= round(t - 4.0, 6)]
-        elif kind == 3:
-            samples.clear()
-        else:
-            full = len(samples) >= 2 and round(t - samples[0][0], 6) >= 4.0 and pose[0] is not None
-            want[event] = bool(full and all(s[2] > 0 for s in samples) and abs(pose[0] - samples[0][1]) < 0.05)
-    rows = [("r", robot, at(t), event, x, 0.0, v, kind) for robot, t, kind, event, x, v in log]
+def stuck_by_definition(history, tick):
+    """Verdict on a tick of one robot: ``history`` is all that comes before it, (time, kind, event, x, speed) in order.
+
+    The samples that count are those since the last clear that lie within four seconds of the newest of them. They must
+    be two at least, reach back four seconds from the tick, and all have been driven; the newest pose must lie within
+    five centimetres of the oldest of them.
+    """
+    cleared = max((k for k, row in enumerate(history) if row[1] == motion.CLEAR), default=-1)
+    since = [row for row in history[cleared + 1:] if row[1] == motion.SAMPLE]
+    poses = [row[3] for row in history if row[1] == motion.ODOM]
+    counted = [row for row in since if Decimal(since[-1][0]) - Decimal(row[0]) <= 4]
+    if len(counted) < 2 or not poses:
+        return False
+    oldest = min(counted, key=lambda row: (Decimal(row[0]), row[2]))
+    return (Decimal(tick[0]) - Decimal(oldest[0]) >= 4 and all(row[4] > 0 for row in counted) and abs(poses[-1] - oldest[3]) < 0.05)
+
+
+def test_random_histories_by_definition(spark, at):
+    """Several robots, chunks much shorter than the histories, and every tick judged over the whole log before it."""
+    rng = random.Random(23)
+    logs, event = {robot: [] for robot in range(5)}, 0
+    for robot, log in logs.items():
+        tenths, x = 0, float(robot)
+        for _ in range(130):
+            tenths, event = tenths + rng.choice((2, 4, 7, 9)), event + 1
+            x += 0.15 * (rng.random() < 0.05)
+            kind = rng.choices((motion.ODOM, motion.SAMPLE, motion.TICK, motion.CLEAR), (3, 8, 4, 0.3))[0]
+            log.append((f"{tenths / 10:.1f}", kind, event, x, 0.15 * (rng.random() > 0.02)))
+    want = {row[2]: stuck_by_definition(log[:k], row) for log in logs.values() for k, row in enumerate(log) if row[1] == motion.TICK}
+    rows = [("r", robot, at(float(t)), e, x, 0.0, v, kind) for robot, log in logs.items() for t, kind, e, x, v in log]
     df = spark.createDataFrame(rows, SAMPLES + ", kind int")
     of = lambda kind: df.where(F.col("kind") == kind).drop("kind")
-    got = motion.stuck(of(1), of(2), of(0), 4.0, 0.05, of(3), 6.0).collect()
-    assert {r.event_id: r.stuck for r in got} == want and any(want.values())
+    got = motion.stuck(of(motion.SAMPLE), of(motion.TICK), of(motion.ODOM), 4.0, 0.05, of(motion.CLEAR), 6.0).collect()
+    assert {r.event_id: r.stuck for r in got} == want and 10 < sum(want.values()) < len(want) / 2
 
 
 def test_first_tick_of_each_stuck_run_triggers(spark, at):
