@@ -116,8 +116,9 @@ def receiver_batches(state: str, out: str, comm_range: float = 3.0, bucket_sec:
     """foreachBatch function expanding shares to the robots in range, with positions carried between batches.
 
     Batches hold ``(run_id, robot_id, ts, kind, event_id, x, y)``, kind 0 poses and kind 1 shares by that robot. The
-    carried table keeps each robot's rows of the last ``late_sec`` and the newest one before, so shares up to that late
-    still see the position of their time. It is spread over robots, not gathered per run.
+    carried table keeps each robot's rows of the last ``late_sec`` by its own clock and the newest one before, so shares up
+    to that late still see the position of their time, and a wrong clock trims the poses of its own robot alone. It is
+    spread over robots, not gathered per run. Shares older than the poses kept of their sender go to ``state``-rejects.
     """
     columns = ["run_id", "robot_id", "ts", "event_id", "x", "y"]
     carried = Carried(state)
@@ -131,8 +132,14 @@ def receiver_batches(state: str, out: str, comm_range: float = 3.0, bucket_sec:
                                                 F.col("event_id").alias("msg_id"))
         heard = proximity.share_receivers(shares, poses, comm_range, bucket_sec, chunk_sec)
         heard.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        edge = poses.groupBy("run_id").agg((F.max("ts") - F.make_dt_interval(secs=F.lit(late_sec))).alias("_edge"))
-        marked = poses.join(edge, "run_id")
+        if before is not None:
+            kept = before.groupBy("run_id", F.col("robot_id").alias("sender_id")).agg(F.min("ts").alias("_kept"))
+            late = shares.join(kept, ["run_id", "sender_id"]).where("ts < _kept").drop("_kept")
+            late.withColumn("error", F.lit("no pose of the sender is kept from that time")).write.mode("overwrite").parquet(
+                f"{state}-rejects/epoch={epoch}")
+        robot = ["run_id", "robot_id"]
+        edge = poses.groupBy(*robot).agg((F.max("ts") - F.make_dt_interval(secs=F.lit(late_sec))).alias("_edge"))
+        marked = poses.join(edge, robot)
         last = marked.where("ts < _edge").groupBy("run_id", "robot_id").agg(_newest_row(columns[2:]))
         recent = marked.where("ts >= _edge").select(*columns)
         carried.save(recent.unionByName(last.select("run_id", "robot_id", "p.*")), epoch)

@@ -163,3 +163,16 @@ def test_late_joiner_and_encounters(spark, at, tmp_path):
     got = sorted((r.start, r.end, r.n_contacts) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     naive = lambda s: at(s).replace(tzinfo=None)
     assert got == [(naive(10), naive(50), 2), (naive(100), naive(140), 2)]
+
+
+def test_one_wrong_clock_hides_nobody_else_and_late_shares_are_rejected(spark, at, tmp_path):
+    expand = batches.receiver_batches(f"{tmp_path}/state", f"{tmp_path}/heard", 3.0, 60.0)
+    make = lambda rows: spark.createDataFrame(rows, "run_id string, robot_id int, ts timestamp, kind int, event_id long, x double, y double")
+    pose = lambda robot, t, event, x: ("r", robot, at(t), 0, event, x, 0.0)
+    expand(make([pose(0, 0, 1, 0.0), pose(1, 0, 2, 1.0), pose(0, 10, 3, 0.0), pose(1, 11, 4, 1.0), pose(2, 86_400, 5, 90.0)]), 0)
+    expand(make([("r", 0, at(12), 1, 6, None, None), pose(0, 300, 7, 0.0), pose(1, 300, 8, 1.0)]), 1)
+    expand(make([("r", 0, at(5), 1, 9, None, None), ("r", 0, at(301), 1, 10, None, None)]), 2)
+    heard = sorted((r.msg_id, r.receiver_id) for r in spark.read.parquet(f"{tmp_path}/heard").collect())
+    assert heard == [(6, 1), (10, 1)]
+    rejects = [(r.msg_id, r.error) for r in spark.read.parquet(f"{tmp_path}/state-rejects").collect()]
+    assert rejects == [(9, "no pose of the sender is kept from that time")]
