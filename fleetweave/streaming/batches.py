@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetweave.operators import convergence, frontiers, merging, motion, proximity, scan
 from fleetweave.params import MIN_CLUSTER, Params
@@ -56,55 +57,44 @@ def publish_convergence(stream: DataFrame, path: str, checkpoint: str, **trigger
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 
-class Carried:
-    """Small table handed from one epoch to the next; epoch n reads what n-1 left, so replays are harmless."""
-
-    def __init__(self, path: str):
-        self.path = path
-
-    def load(self, spark: SparkSession, epoch: int) -> DataFrame | None:
-        return spark.read.parquet(f"{self.path}/epoch={epoch - 1}") if epoch > 0 else None
-
-    def save(self, table: DataFrame, epoch: int) -> None:
-        table.write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
-        if epoch > 1:
-            _remove(table.sparkSession, f"{self.path}/epoch={epoch - 2}")
-
-
 class Log:
-    """Latest row per key over epochs: each epoch writes the rows it changed, and every ``FOLD`` epochs one table of all.
+    """Rows per key over epochs: what the newest epoch wrote of a key replaces all its earlier rows.
 
-    Epoch n reads what was written up to n - 1, so replays are harmless. Folding costs each row one more write in ``FOLD``
-    epochs, and reading opens ``FOLD`` small tables at most.
+    Each epoch writes the rows of the keys it changed, and every ``FOLD`` epochs one table of all, so what is written follows
+    the batch. Epoch n reads what was written up to n - 1, so replays are harmless. Folding costs each row one more write in
+    ``FOLD`` epochs, and reading opens ``FOLD`` small tables at most. A key may hold any number of rows. With ``idle``, keys
+    expire once nothing with the same ``by`` columns (all key columns by default) has changed for that many epochs: counted by
+    arrival, so a wrong clock lets nobody expire. Keys that are null are not kept.
     """
 
-    def __init__(self, path: str, keys: list[str]):
-        self.path, self.keys = path, keys
+    def __init__(self, path: str, keys: list[str], idle: int | None = None, by: list[str] | None = None):
+        self.path, self.keys, self.idle, self.by = path, keys, idle, by or keys
 
     def _parts(self, epoch: int) -> list[str]:
         """Tables that hold the state after an epoch."""
         base = epoch - epoch % FOLD
         return [f"{self.path}/all/epoch={base}"] * (base > 0) + [f"{self.path}/new/epoch={k}" for k in range(base + (base > 0), epoch + 1)]
 
+    def _current(self, spark: SparkSession, parts: list[str], epoch: int, schema) -> DataFrame:
+        every = spark.read.schema(T.StructType([*schema, T.StructField("_epoch", T.LongType())])).parquet(*parts)
+        changed = every.groupBy(*self.keys).agg(F.max("_epoch").alias("_epoch"))
+        if self.idle is not None:
+            heard = changed.groupBy(*self.by).agg(F.max("_epoch").alias("_heard")).where(F.col("_heard") >= epoch - self.idle)
+            changed = changed.join(heard, self.by, "left_semi")
+        return every.join(changed, [*self.keys, "_epoch"], "left_semi")
+
     def load(self, spark: SparkSession, epoch: int, schema) -> DataFrame:
+        schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         if epoch == 0:
             return spark.createDataFrame([], schema)
-        parts = [spark.read.schema(schema).parquet(p).withColumn("_age", F.lit(-k)) for k, p in enumerate(self._parts(epoch - 1))]
-        every = parts[0]
-        for part in parts[1:]:
-            every = every.unionByName(part)
-        rest = [c for c in every.columns if c not in (*self.keys, "_age")]
-        newest = every.groupBy(*self.keys).agg(F.min_by(F.struct(*rest), "_age").alias("_r"))
-        return newest.select(*self.keys, "_r.*")
+        return self._current(spark, self._parts(epoch - 1), epoch, schema).drop("_epoch").select(*schema.names)
 
     def save(self, changed: DataFrame, epoch: int) -> None:
-        spark = changed.sparkSession
-        changed.write.mode("overwrite").parquet(f"{self.path}/new/epoch={epoch}")
+        spark, fresh = changed.sparkSession, f"{self.path}/new/epoch={epoch}"
+        changed.withColumn("_epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(fresh)
         if epoch and epoch % FOLD == 0:
-            before = self.load(spark, epoch, changed.schema)
-            fresh = spark.read.schema(changed.schema).parquet(f"{self.path}/new/epoch={epoch}")
-            rest = before.join(fresh, self.keys, "left_anti")
-            rest.unionByName(fresh).write.mode("overwrite").parquet(f"{self.path}/all/epoch={epoch}")
+            parts = [*self._parts(epoch - 1), fresh]
+            self._current(spark, parts, epoch, changed.schema).write.mode("overwrite").parquet(f"{self.path}/all/epoch={epoch}")
             # the tables before the last fold are no longer read, not even by a replay of this epoch
             for old in range(max(0, epoch - 2 * FOLD), epoch - FOLD):
                 _remove(spark, f"{self.path}/new/epoch={old}")
@@ -112,37 +102,38 @@ class Log:
 
 
 def receiver_batches(state: str, out: str, comm_range: float = 3.0, bucket_sec: float = 8.0,
-                     chunk_sec: float = scan.HOUR, late_sec: float = 60.0):
+                     chunk_sec: float = scan.HOUR, late_sec: float = 60.0, idle: int | None = None):
     """foreachBatch function expanding shares to the robots in range, with positions carried between batches.
 
-    Batches hold ``(run_id, robot_id, ts, kind, event_id, x, y)``, kind 0 poses and kind 1 shares by that robot. The
-    carried table keeps each robot's rows of the last ``late_sec`` by its own clock and the newest one before, so shares up
-    to that late still see the position of their time, and a wrong clock trims the poses of its own robot alone. It is
-    spread over robots, not gathered per run. Shares older than the poses kept of their sender go to ``state``-rejects.
+    Batches hold ``(run_id, robot_id, ts, kind, event_id, x, y)``, kind 0 poses and kind 1 shares by that robot. Of each
+    robot the rows of the last ``late_sec`` by its own clock and the newest one before are carried, so shares up to that
+    late still see the position of their time, and a wrong clock trims the poses of its own robot alone. Only robots with
+    poses in a batch are written again, and only runs of the batch are read; ``idle`` is the number of epochs without a pose
+    after which a run's poses expire. Shares older than the poses kept of their sender go to ``state``-rejects.
     """
-    columns = ["run_id", "robot_id", "ts", "event_id", "x", "y"]
-    carried = Carried(state)
+    columns, robot = ["run_id", "robot_id", "ts", "event_id", "x", "y"], ["run_id", "robot_id"]
+    carried = Log(state, robot, idle, ["run_id"])
 
     def expand(batch: DataFrame, epoch: int) -> None:
         batch = batch.persist()
-        poses = batch.where("kind = 0").select(*columns)
-        before = carried.load(batch.sparkSession, epoch)
-        poses = poses if before is None else poses.unionByName(before)
+        fresh = batch.where("kind = 0").select(*columns)
+        before = carried.load(batch.sparkSession, epoch, fresh.schema)
+        before = before.join(batch.select("run_id").distinct(), "run_id", "left_semi").select(*columns)
+        poses = fresh.unionByName(before)
         shares = batch.where("kind = 1").select("run_id", F.col("robot_id").alias("sender_id"), "ts",
                                                 F.col("event_id").alias("msg_id"))
         heard = proximity.share_receivers(shares, poses, comm_range, bucket_sec, chunk_sec)
         heard.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        if before is not None:
-            kept = before.groupBy("run_id", F.col("robot_id").alias("sender_id")).agg(F.min("ts").alias("_kept"))
-            late = shares.join(kept, ["run_id", "sender_id"]).where("ts < _kept").drop("_kept")
-            late.withColumn("error", F.lit("no pose of the sender is kept from that time")).write.mode("overwrite").parquet(
-                f"{state}-rejects/epoch={epoch}")
-        robot = ["run_id", "robot_id"]
+        kept = before.groupBy("run_id", F.col("robot_id").alias("sender_id")).agg(F.min("ts").alias("_kept"))
+        late = shares.join(kept, ["run_id", "sender_id"]).where("ts < _kept").drop("_kept")
+        late.withColumn("error", F.lit("no pose of the sender is kept from that time")).write.mode("overwrite").parquet(
+            f"{state}-rejects/epoch={epoch}")
+        poses = poses.join(fresh.select(*robot).distinct(), robot, "left_semi")
         edge = poses.groupBy(*robot).agg((F.max("ts") - F.make_dt_interval(secs=F.lit(late_sec))).alias("_edge"))
         marked = poses.join(edge, robot)
-        last = marked.where("ts < _edge").groupBy("run_id", "robot_id").agg(_newest_row(columns[2:]))
+        last = marked.where("ts < _edge").groupBy(*robot).agg(_newest_row(columns[2:]))
         recent = marked.where("ts >= _edge").select(*columns)
-        carried.save(recent.unionByName(last.select("run_id", "robot_id", "p.*")), epoch)
+        carried.save(recent.unionByName(last.select(*robot, "p.*")), epoch)
         batch.unpersist()
 
     return expand
@@ -153,23 +144,31 @@ def _newest_row(columns: list[str]):
 
 
 def stuck_batches(state: str, out: str, window_sec: float = _P.stuck_window, eps_m: float = _P.stuck_epsilon,
-                  chunk_sec: float = scan.HOUR):
-    """foreachBatch function judging ticks; samples of the last window and the newest pose are carried per robot.
+                  chunk_sec: float = scan.HOUR, idle: int | None = None):
+    """foreachBatch function judging ticks; samples of the last window, the newest pose and clear are carried per robot.
 
     Batches hold ``(run_id, robot_id, ts, kind, event_id, x, y, speed)``, kind as in ``motion``: pose, sample, tick,
-    clear. A long backlog in one batch is still cut into time chunks, whatever robot it belongs to.
+    clear. A long backlog in one batch is still cut into time chunks, whatever robot it belongs to. Only robots of the batch
+    are read on and written again; ``idle`` is the number of epochs without a row after which a run expires. Ticks that are
+    older than a row carried of their robot can't be judged any more and go to ``state``-rejects.
     """
     rest = ["ts", "kind", "event_id", "x", "y", "speed"]
     columns = [*motion.ROBOT, *rest]
-    carried = Carried(state)
+    carried = Log(state, motion.ROBOT, idle, ["run_id"])
 
     def judge(batch: DataFrame, epoch: int) -> None:
         batch = batch.select(*columns).persist()
-        before = carried.load(batch.sparkSession, epoch)
-        clock = batch if before is None else batch.unionByName(before)
+        before = carried.load(batch.sparkSession, epoch, batch.schema)
+        before = before.join(batch.select(*motion.ROBOT).distinct(), motion.ROBOT, "left_semi").select(*columns)
+        known = before.groupBy(*motion.ROBOT).agg(F.max("ts").alias("_known"))
+        ticks = batch.where(F.col("kind") == motion.TICK).join(known, motion.ROBOT, "left")
+        late = F.coalesce(F.col("ts") < F.col("_known"), F.lit(False))
+        ticks, rejects = with_rejects(ticks, {"before a row judged already": late})
+        rejects.drop("_known").write.mode("overwrite").parquet(f"{state}-rejects/epoch={epoch}")
+        clock = batch.where(F.col("kind") != motion.TICK).unionByName(before)
         of = lambda kind: clock.where(F.col("kind") == kind)
-        verdicts = motion.stuck(of(motion.SAMPLE), batch.where(F.col("kind") == motion.TICK), of(motion.ODOM),
-                                window_sec, eps_m, of(motion.CLEAR), chunk_sec)
+        verdicts = motion.stuck(of(motion.SAMPLE), ticks.select(*columns), of(motion.ODOM), window_sec, eps_m,
+                                of(motion.CLEAR), chunk_sec)
         verdicts.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
         marks = clock.groupBy(*motion.ROBOT).agg(
             F.max(F.when(F.col("kind") == motion.SAMPLE, F.col("ts"))).alias("_sampled"),
@@ -177,8 +176,9 @@ def stuck_batches(state: str, out: str, window_sec: float = _P.stuck_window, eps
         kept = (of(motion.SAMPLE).join(marks, motion.ROBOT)
                 .where(F.col("ts") >= F.col("_sampled") - F.make_dt_interval(secs=F.lit(window_sec)))
                 .where(F.col("_cleared").isNull() | (F.col("ts") > F.col("_cleared"))).select(*columns))
-        pose = of(motion.ODOM).groupBy(*motion.ROBOT).agg(_newest_row(rest)).select(*motion.ROBOT, "p.*")
-        carried.save(kept.unionByName(pose), epoch)
+        single = clock.where(F.col("kind").isin(motion.ODOM, motion.CLEAR))
+        single = single.groupBy(*motion.ROBOT, F.col("kind").alias("_kind")).agg(_newest_row(rest)).select(*motion.ROBOT, "p.*")
+        carried.save(kept.unionByName(single), epoch)
         batch.unpersist()
 
     return judge
@@ -188,20 +188,25 @@ def merge_batches(state: str, out: str, agents: DataFrame, self_w: float = _P.se
                   recv_w: float = _P.recv_weight):
     """foreachBatch function folding arriving vectors into beliefs, which are carried between batches.
 
-    Batches hold ``(receiver_id, seq, r)``; writes (agent_id, z, n_folded) of the agents that merged, n_folded in total.
+    Batches hold ``(receiver_id, seq, r)``; writes (agent_id, z, n_folded) of the agents that merged, n_folded in total, and
+    to ``state``-rejects the events that ``merging.checked_merges`` finds fault with. A batch reads the beliefs of its own
+    receivers and writes those that changed; ``agents`` are the beliefs before the stream.
     """
-    carried = Carried(state)
+    carried = Log(state, ["agent_id"])
     start = agents.select("agent_id", F.col("z").cast("array<double>").alias("z"), F.lit(0).cast("long").alias("_n"))
 
     def fold(batch: DataFrame, epoch: int) -> None:
         batch = batch.persist()
-        before = carried.load(batch.sparkSession, epoch)
-        beliefs = start if before is None else before
-        merged = merging.merge_embeddings(beliefs, batch, self_w, recv_w).persist()
-        total = (F.col("n_folded") + F.col("_n"))
-        merged.where("n_folded > 0").select("agent_id", "z", total.alias("n_folded")).write.mode("overwrite").parquet(
-            f"{out}/epoch={epoch}")
-        carried.save(merged.select("agent_id", "z", total.alias("_n")), epoch)
+        asked = batch.select(F.col("receiver_id").alias("agent_id")).distinct()
+        held = carried.load(batch.sparkSession, epoch, start.schema).join(asked, "agent_id", "left_semi")
+        first = start.join(asked, "agent_id", "left_semi").join(held, "agent_id", "left_anti")
+        beliefs = held.unionByName(first)
+        rejects = merging.checked_merges(beliefs, batch).where("error is not null")
+        rejects.write.mode("overwrite").parquet(f"{state}-rejects/epoch={epoch}")
+        merged = merging.merge_embeddings(beliefs, batch, self_w, recv_w).where("n_folded > 0")
+        merged = merged.withColumn("_n", F.col("n_folded") + F.col("_n")).persist()
+        merged.select("agent_id", "z", F.col("_n").alias("n_folded")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        carried.save(merged.select("agent_id", "z", "_n"), epoch)
         merged.unpersist()
         batch.unpersist()
 

@@ -133,6 +133,70 @@ def test_merge(spark, tmp_path):
         assert got[agent].z == pytest.approx(want[agent].z) and got[agent].n_folded == want[agent].n_folded
 
 
+def test_bad_merge_events_are_rejected_and_only_changed_beliefs_are_written(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(batches, "FOLD", 2)
+    agents = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(50)], "agent_id int, z array<double>")
+    fold = batches.merge_batches(f"{tmp_path}/state", f"{tmp_path}/out", agents)
+    rows = [(e % 3, e, [0.5, float(e)]) for e in range(6)]
+    make = lambda rows: spark.createDataFrame(rows, "receiver_id int, seq long, r array<double>")
+    for epoch, row in enumerate(rows):
+        fold(make([row]), epoch)
+        if epoch == 3:
+            fold(make([row]), epoch)  # a replay
+    fold(make([(99, 6, [1.0, 1.0]), (0, 7, [1.0]), (0, 8, None), (1, 9, [1.0, float("nan")])]), 6)
+    want = {r.agent_id: r for r in merging.merge_embeddings(agents, make(rows)).collect() if r.n_folded}
+    got = {r.agent_id: r for r in batches.newest(spark, f"{tmp_path}/out", ["agent_id"]).collect()}
+    assert {k: r.n_folded for k, r in got.items()} == {0: 2, 1: 2, 2: 2}
+    assert all(got[k].z == pytest.approx(want[k].z) for k in want)
+    errors = sorted((r.seq, r.error) for r in spark.read.parquet(f"{tmp_path}/state-rejects").collect())
+    assert errors == [(6, "unknown agent 99"), (7, "expected 2 values, got 1"), (8, "no vector"), (9, "not a number")]
+    assert spark.read.parquet(f"{tmp_path}/state/new/epoch=5").count() == 1
+    assert spark.read.parquet(f"{tmp_path}/state/all/epoch=6").count() == 3
+
+
+def test_late_ticks_are_rejected_and_only_robots_of_the_batch_are_written(spark, at, tmp_path):
+    judge = batches.stuck_batches(f"{tmp_path}/state", f"{tmp_path}/out", 4.0, 0.05, 10.0)
+    make = lambda rows: spark.createDataFrame(
+        rows, "run_id string, robot_id int, ts timestamp, kind int, event_id long, x double, y double, speed double")
+    row = lambda robot, t, kind, event: ("r", robot, at(t), kind, event, 0.0, 0.0, 0.15)
+    judge(make([row(k, t, kind, 100 * k + 2 * t + kind) for k in range(30) for t in range(3) for kind in (0, 1)]), 0)
+    judge(make([row(0, t, kind, 1000 + 3 * t + kind) for t in range(3, 8) for kind in (0, 1, 2)]), 1)
+    judge(make([row(0, 2, 2, 2000), row(0, 9, 3, 2001), row(0, 9, 2, 2002)]), 2)
+    judge(make([row(0, 10, 2, 3000), row(5, 10, 2, 3001)]), 3)
+    verdicts = {r.event_id: r.stuck for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert verdicts[1023] and 2000 not in verdicts and not verdicts[3000] and {2002, 3001} <= verdicts.keys()
+    assert [(r.event_id, r.error) for r in spark.read.parquet(f"{tmp_path}/state-rejects").collect()] == [(2000, "before a row judged already")]
+    assert spark.read.parquet(f"{tmp_path}/state/new/epoch=2").select("robot_id").distinct().count() == 1
+
+
+@pytest.mark.parametrize("fold", [2, 16])
+def test_a_log_replaces_all_rows_of_a_key_and_lets_idle_runs_expire(spark, tmp_path, monkeypatch, fold):
+    monkeypatch.setattr(batches, "FOLD", fold)
+    log = batches.Log(f"{tmp_path}/log", ["run", "robot"], idle=3, by=["run"])
+    schema = "run string, robot int, v int"
+    writes = [[("a", 1, 1), ("a", 1, 2), ("b", 1, 1)], [("a", 2, 7)], [("a", 1, 3)], [("a", 1, 4), ("a", 1, 5)], [], [("b", 2, 9)]]
+    seen = [[], [("a", 1, 1), ("a", 1, 2), ("b", 1, 1)], [("a", 1, 1), ("a", 1, 2), ("a", 2, 7), ("b", 1, 1)],
+            [("a", 1, 3), ("a", 2, 7), ("b", 1, 1)], [("a", 1, 4), ("a", 1, 5), ("a", 2, 7)], [("a", 1, 4), ("a", 1, 5), ("a", 2, 7)]]
+    for epoch, (rows, want) in enumerate(zip(writes, seen)):
+        for _ in range(2):  # the second time is a replay
+            assert sorted(map(tuple, log.load(spark, epoch, schema).collect())) == want
+            log.save(spark.createDataFrame(rows, schema), epoch)
+    if fold == 2:
+        assert sorted(map(tuple, log.load(spark, 6, schema).collect())) == [("a", 1, 4), ("a", 1, 5), ("a", 2, 7), ("b", 2, 9)]
+
+
+def test_poses_are_written_for_robots_of_the_batch_and_runs_expire(spark, at, tmp_path):
+    expand = batches.receiver_batches(f"{tmp_path}/state", f"{tmp_path}/heard", 3.0, 60.0, idle=2)
+    make = lambda rows: spark.createDataFrame(rows, "run_id string, robot_id int, ts timestamp, kind int, event_id long, x double, y double")
+    expand(make([("r", k, at(0), 0, k, 0.1 * k, 0.0) for k in range(20)] + [("s", 0, at(0), 0, 30, 0.0, 0.0), ("s", 1, at(0), 0, 31, 0.0, 0.0)]), 0)
+    for epoch in (1, 2, 3):
+        expand(make([("r", 1, at(epoch), 0, 40 + epoch, 50.0, 0.0)]), epoch)
+    assert spark.read.parquet(f"{tmp_path}/state/new/epoch=3").count() == 4
+    expand(make([("r", 0, at(9), 1, 50, None, None), ("s", 0, at(9), 1, 51, None, None)]), 4)
+    heard = sorted((r.msg_id, r.receiver_id) for r in spark.read.parquet(f"{tmp_path}/heard").collect())
+    assert heard == [(50, k) for k in range(2, 20)]  # robot 1 has left, run s has expired
+
+
 def test_cycles_feed_convergence_in_one_query(spark, at, tmp_path):
     rows = [("r", at(s), s, 0.1 if s < 10 else 0.3, 1) for s in range(0, 120)]
     readings = spark.createDataFrame(rows, "run_id string, ts timestamp, event_id long, mean_sim double, merges long")
