@@ -12,6 +12,7 @@ BLOCK = 4096
 # Cell edge per unit of radius, just under 1/sqrt(2): two points of one cell are always in range, so the candidates
 # a hot cell produces stay within a constant factor of the pairs it must report.
 CELL_EDGE = 0.7071
+FARTHEST = 2.0 ** 62  # cells are numbered by longs
 
 
 def to_world(telemetry: DataFrame, robots: DataFrame) -> DataFrame:
@@ -59,7 +60,8 @@ def near(left: DataFrame, right: DataFrame, keys: list[str], radius: float, cond
 
     Points meet in grid cells. Cells too full for one task are cut into ``block``-sized slices of both sides, every
     slice pair becoming its own join key. ``once=(l_id, r_id)`` visits each unordered pair once (both sides must be
-    the same points). ``how`` is inner or left_semi; a semi join may repeat a left row, so deduplicate on its id.
+    the same points). ``how`` is inner or left_semi; a semi join may repeat a left row, so deduplicate on its id. Points
+    that are null, not finite or past ``FARTHEST`` cells are near nothing.
     """
     edge = radius * CELL_EDGE
     spot = [*keys, "_cx", "_cy"]
@@ -68,7 +70,7 @@ def near(left: DataFrame, right: DataFrame, keys: list[str], radius: float, cond
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps]))
 
     def cell(df, x, y):
-        known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+        known = df.where((F.abs(x) < edge * FARTHEST) & (F.abs(y) < edge * FARTHEST))
         return known.withColumns({"_cx": F.floor(F.col(x) / edge), "_cy": F.floor(F.col(y) / edge)})
 
     def spread(df):
