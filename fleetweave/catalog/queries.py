@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from fleetweave.functions import geometry, labels, vectors
 from fleetweave.operators import (convergence, fragmentation, frontiers, goals, knowledge, merging, motion, proximity,
                                   scan, similarity)
+from fleetweave.operators.contact_links import contact_links
 from fleetweave.plans import frontier_targets, monitor, sharing_round
 from fleetweave.sinks import rejects, reports
 from fleetweave.sources import fixtures as fx
@@ -584,8 +585,8 @@ def frozen_pairs(spark, path):
 
 @query
 def isolated_robots(spark, path):
-    here = cycle_positions(spark, path).select("run_id", "cycle", "robot_id")
-    return motion.isolated_robots(here, cycle_pairs(spark, path), ["run_id", "cycle"])
+    here = cut_lineage(cycle_positions(spark, path))
+    return motion.isolated_robots(here.select("run_id", "cycle", "robot_id"), contact_links(here, 3.0, ["run_id", "cycle"]), ["run_id", "cycle"])
 
 
 @query
@@ -710,8 +711,8 @@ def first_contacts(spark, path):
 
 @query
 def contact_components(spark, path):
-    here = cycle_positions(spark, path).select("run_id", "cycle", "robot_id")
-    return fragmentation.contact_components(cycle_pairs(spark, path), here, ["run_id", "cycle"])
+    by, here = ["run_id", "cycle"], cut_lineage(cycle_positions(spark, path))
+    return fragmentation.contact_components(contact_links(here, 3.0, by), here.select(*by, "robot_id"), by)
 
 
 @query
@@ -723,7 +724,7 @@ def union_connectivity(spark, path):
 @query
 def cluster_similarity(spark, path):
     here = latest(spark, path)
-    parts = fragmentation.contact_components(proximity.in_range_pairs(here), here.select("run_id", "robot_id"))
+    parts = fragmentation.contact_components(contact_links(here), here.select("run_id", "robot_id"))
     found = fragmentation.cluster_similarity(fx.fleet_agents(spark, path), parts)
     return rounded(found, "within_sim", "between_sim")
 
@@ -759,6 +760,26 @@ def sharing_round_beliefs(spark, path):
     return rounded(beliefs.select("run_id", "robot_id", "n_folded", F.posexplode("z").alias("pos", "z")), "z")
 
 
+def later_rounds(spark, path):
+    """Three rounds a day; every fourth refresh fails."""
+    telemetry, agents, nodes, edges, noon = round_inputs(spark, path)
+    number = F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("round")
+    at = noon.select("run_id", "ts", number).withColumn("ts", F.col("ts") + F.make_dt_interval(hours=4 * F.col("round")))
+    failed = agents.select("run_id", "robot_id", number).where((F.col("robot_id") + F.col("round")) % 4 == 0)
+    return sharing_round.sharing_rounds(telemetry, agents, nodes, edges, at, embed=wide_embedding, failed=failed)
+
+
+@query
+def sharing_rounds_sends(spark, path):
+    return rounded(later_rounds(spark, path).sends, "min_sim", "node_retention")
+
+
+@query
+def sharing_rounds_beliefs(spark, path):
+    beliefs = later_rounds(spark, path).beliefs
+    return rounded(beliefs.select("run_id", "robot_id", "n_folded", F.posexplode("z").alias("pos", "z")), "z")
+
+
 @query
 def graph_embeddings(spark, path):
     found = knowledge.embed_graphs(fx.nodes(spark, path), fx.edges(spark, path))
