@@ -115,7 +115,7 @@ def map_updates(spark, path) -> DataFrame:
 def events_stream(spark, path) -> DataFrame:
     """The event table as a stream of shaped telemetry in world coordinates."""
     fx.configure(spark)
-    raw = messages.read_telemetry(spark, path, stream=True, schema=RAW_EVENTS, pathGlobFilter="events.parquet")
+    raw = messages.read_telemetry(spark, fx.stream_path(path, "events"), stream=True, schema=RAW_EVENTS)
     return proximity.to_world(fx.shape_events(raw), fx.robots(spark, path))
 
 
@@ -935,7 +935,7 @@ def stream_merge(spark, path):
     fx.configure(spark)
     out = batches.work_dir(spark)
     schema = fx.table(spark, path, "embeddings").schema
-    raw = messages.read_telemetry(spark, path, stream=True, schema=schema, pathGlobFilter="embeddings.parquet")
+    raw = messages.read_telemetry(spark, fx.stream_path(path, "embeddings"), stream=True, schema=schema)
     events = raw.select(F.col("label").alias("receiver_id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("r"))
     finished(events, batches.merge_batches(f"{out}/state", f"{out}/table", fx.agents(spark, path)), "append", out)
     found = batches.newest(spark, f"{out}/table", ["agent_id"])
@@ -950,7 +950,7 @@ def stream_subscription(spark, path):
     fx.configure(spark)
     out = batches.work_dir(spark)
     since = datetime(2024, 1, 16, tzinfo=timezone.utc)
-    seen = stateless.subscribe(spark, path, RAW_EVENTS, since, pathGlobFilter="events.parquet")
+    seen = stateless.subscribe(spark, fx.stream_path(path, "events"), RAW_EVENTS, since)
     finished(seen.select("event_id", "user_id"), batches.epoch_writer(f"{out}/table"), "append", out)
     return spark.read.parquet(f"{out}/table").select("event_id", "user_id")
 

@@ -13,6 +13,11 @@ def table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
+def stream_path(path: str, name: str) -> str:
+    """A table, be it one file or a folder of files, as the source of a stream: streams take a single file by a pattern only."""
+    return f"{path}/{name}.parque[t]"
+
+
 def shape_events(events: DataFrame) -> DataFrame:
     """Pose telemetry out of raw event rows; works on a batch or a stream."""
     ts = F.col("ts").cast("timestamp")

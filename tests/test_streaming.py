@@ -1,6 +1,7 @@
 """Streams fed file by file end where the batch operators do."""
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,3 +241,18 @@ def test_one_wrong_clock_hides_nobody_else_and_late_shares_are_rejected(spark, a
     assert heard == [(6, 1), (10, 1)]
     rejects = [(r.msg_id, r.error) for r in spark.read.parquet(f"{tmp_path}/state-rejects").collect()]
     assert rejects == [(9, "no pose of the sender is kept from that time")]
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_streams_read_tables_that_are_files_or_folders(spark, tmp_path, folder):
+    from fleetweave.catalog.queries import QUERIES
+
+    spark.range(20).selectExpr("id AS vec_id", "array(cast(id AS float), 1f) AS embedding", "cast(id % 3 AS int) AS label").repartition(
+        3).write.parquet(f"{tmp_path}/parts")
+    table = tmp_path / "embeddings.parquet"
+    if folder:
+        (tmp_path / "parts").rename(table)
+    else:
+        pq.write_table(pq.read_table(f"{tmp_path}/parts"), table)
+    batch, stream = (QUERIES[name](spark, str(tmp_path)).collect() for name in ("merged_embeddings", "stream_merge"))
+    assert len(stream) == 6 and sorted(map(tuple, batch)) == sorted(map(tuple, stream))
