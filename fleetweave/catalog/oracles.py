@@ -207,6 +207,8 @@ VIEWS = {
     "active": """
         SELECT DISTINCT run_id, CAST(hour(ts) AS INTEGER) AS cycle, robot_id, z FROM telemetry JOIN agents ON robot_id = agent_id""",
 }
+# Of equal times the largest event counts.
+VIEWS["closed_cycles"] = VIEWS["hour_cycles"].replace("490.02::DOUBLE, ts)", "490.02::DOUBLE, row(ts, event_id))")
 # What each view reads.
 NEEDS = {
     "robots": ["telemetry"], "world": ["robots"], "fleet": ["telemetry"], "latest": ["world"], "latest_pairs": ["latest"],
@@ -221,7 +223,7 @@ NEEDS = {
     "bridges": ["kept_parts(graph_id, node_id, part) USING KEY (graph_id, node_id)"], "kept": ["bridges"],
     "raw_scores": ["nodes", "touches", "relations"], "scores": ["raw_scores"], "contact_reach": ["cycle_pairs"],
     "union_reach": ["cycle_pairs", "fleet"], "hour_reach": ["cycle_pairs", "fleet"], "end_reach": ["latest_pairs"], "end_parts": ["end_reach"], "folds": ["agents"],
-    "stuck_rows": ["world"], "hour_cycles": ["telemetry"], "active": ["telemetry", "agents"],
+    "stuck_rows": ["world"], "hour_cycles": ["telemetry"], "closed_cycles": ["telemetry"], "active": ["telemetry", "agents"],
     "monitor": ["active", "cycle_merges"],
 }
 
@@ -530,9 +532,9 @@ oracle("stream_latest_positions", "world", """SELECT run_id, robot_id, event_id,
 oracle("stream_receivers", "receivers", "SELECT run_id, msg_id, sender_id, receiver_id, round(dist, 6) AS dist FROM receivers")
 oracle("stream_merge_counts", "receivers", "SELECT run_id, sender_id, receiver_id, count(*) AS n_merges FROM receivers GROUP BY ALL")
 oracle("stream_cycles", "hour_cycles", "SELECT run_id, epoch_us(ts) AS us, round(mean_sim, 6) AS mean_sim, merges FROM hour_cycles")
-oracle("stream_convergence", "hour_cycles", """, steps AS (SELECT run_id, ts, mean_sim, CAST(sum(merges) OVER w AS BIGINT) AS merges, first_value(mean_sim) OVER w AS baseline,
+oracle("stream_convergence", "closed_cycles", """, steps AS (SELECT run_id, ts, mean_sim, CAST(sum(merges) OVER w AS BIGINT) AS merges, first_value(mean_sim) OVER w AS baseline,
         coalesce(mean_sim - lag(mean_sim) OVER w, 0) AS delta, lag(mean_sim) OVER w IS NOT NULL AS has_prev, row_number() OVER w AS pos
-        FROM hour_cycles WINDOW w AS (PARTITION BY run_id ORDER BY ts)),
+        FROM closed_cycles WINDOW w AS (PARTITION BY run_id ORDER BY ts)),
     calm AS (SELECT *, mean_sim - baseline AS rise, pos - max(CASE WHEN NOT (has_prev AND abs(delta) < 0.005) THEN pos END) OVER (PARTITION BY run_id ORDER BY ts) AS stable FROM steps)
     SELECT run_id, epoch_us(ts) AS us, round(mean_sim, 6) AS mean_sim, merges, round(baseline, 6) AS baseline, round(delta, 6) AS delta, round(rise, 6) AS rise, stable,
            bool_or(merges > 0 AND rise >= 0.03 AND stable >= 3) OVER (PARTITION BY run_id ORDER BY ts) AS converged FROM calm""")

@@ -889,23 +889,22 @@ def readings(spark, path) -> DataFrame:
                                              purchase.alias("merges"))
 
 
-def cycle_table(spark, path) -> str:
-    out = batches.work_dir(spark)
-    finished(stateless.stream_cycles(readings(spark, path), "1 hour"), batches.epoch_writer(f"{out}/table"), "append", out)
-    return f"{out}/table"
+def cycle_stream(spark, path) -> DataFrame:
+    return stateless.stream_cycles(readings(spark, path), "1 hour")
 
 
 @query
 def stream_cycles(spark, path):
-    found = spark.read.parquet(cycle_table(spark, path))
-    return found.select("run_id", us().alias("us"), r6("mean_sim").alias("mean_sim"), "merges")
+    out = batches.work_dir(spark)
+    finished(cycle_stream(spark, path), batches.epoch_writer(f"{out}/table"), "append", out)
+    return spark.read.parquet(f"{out}/table").select("run_id", us().alias("us"), r6("mean_sim").alias("mean_sim"), "merges")
 
 
 @query
 def stream_convergence(spark, path):
-    source, out = cycle_table(spark, path), batches.work_dir(spark)
-    cycles = stateless.subscribe(spark, source, spark.read.parquet(source).schema)
-    finished(cycles, batches.convergence_batches(f"{out}/state", f"{out}/judged"), "append", out)
+    """Cycles are judged as they close: the watermark hands them on in time order, which files of a table have not."""
+    out = batches.work_dir(spark)
+    finished(cycle_stream(spark, path), batches.convergence_batches(f"{out}/state", f"{out}/judged"), "append", out)
     found = spark.read.parquet(f"{out}/judged/table")
     return rounded(found.select("run_id", us().alias("us"), "mean_sim", "merges", "baseline", "delta", "rise", "stable",
                                 "converged"), "mean_sim", "baseline", "delta", "rise")
