@@ -209,6 +209,9 @@ VIEWS = {
 }
 # Of equal times the largest event counts.
 VIEWS["closed_cycles"] = VIEWS["hour_cycles"].replace("490.02::DOUBLE, ts)", "490.02::DOUBLE, row(ts, event_id))")
+VIEWS["instants"] = "SELECT * FROM world QUALIFY row_number() OVER (PARTITION BY run_id, robot_id, ts ORDER BY event_id DESC) = 1"
+VIEWS["placed_last"] = VIEWS["placed"].replace("JOIN world", "JOIN instants")
+VIEWS["heard"] = VIEWS["receivers"].replace("placed p JOIN placed q", "placed_last p JOIN placed_last q")
 # What each view reads.
 NEEDS = {
     "robots": ["telemetry"], "world": ["robots"], "fleet": ["telemetry"], "latest": ["world"], "latest_pairs": ["latest"],
@@ -223,7 +226,8 @@ NEEDS = {
     "bridges": ["kept_parts(graph_id, node_id, part) USING KEY (graph_id, node_id)"], "kept": ["bridges"],
     "raw_scores": ["nodes", "touches", "relations"], "scores": ["raw_scores"], "contact_reach": ["cycle_pairs"],
     "union_reach": ["cycle_pairs", "fleet"], "hour_reach": ["cycle_pairs", "fleet"], "end_reach": ["latest_pairs"], "end_parts": ["end_reach"], "folds": ["agents"],
-    "stuck_rows": ["world"], "hour_cycles": ["telemetry"], "closed_cycles": ["telemetry"], "active": ["telemetry", "agents"],
+    "stuck_rows": ["world"], "hour_cycles": ["telemetry"], "closed_cycles": ["telemetry"], "instants": ["world"],
+    "placed_last": ["asked", "instants"], "heard": ["placed_last"], "active": ["telemetry", "agents"],
     "monitor": ["active", "cycle_merges"],
 }
 
@@ -544,7 +548,7 @@ oracle("stream_subscription", "", "SELECT event_id, user_id FROM events WHERE ts
 oracle("stream_share_traffic", "telemetry", """SELECT run_id, robot_id, epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, count(*) AS broadcasts,
     CAST(8 * count(*) AS BIGINT) AS bytes FROM telemetry WHERE event_type = 'purchase' GROUP BY ALL
     HAVING time_bucket(INTERVAL 1 HOUR, any_value(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM telemetry WHERE event_type = 'purchase')""")
-oracle("stream_encounters", "receivers", """, contacts AS (SELECT run_id, least(sender_id, receiver_id) AS i, greatest(sender_id, receiver_id) AS j, ts FROM receivers),
+oracle("stream_encounters", "heard", """, contacts AS (SELECT run_id, least(sender_id, receiver_id) AS i, greatest(sender_id, receiver_id) AS j, ts FROM heard),
     cut AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY run_id, i, j ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM contacts),
     numbered AS (SELECT *, sum(new) OVER (PARTITION BY run_id, i, j ORDER BY ts) AS n FROM cut)
     SELECT run_id, i, j, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 2 HOUR) AS end_us, count(*) AS n_contacts FROM numbered GROUP BY run_id, i, j, n

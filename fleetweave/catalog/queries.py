@@ -964,9 +964,12 @@ def stream_share_traffic(spark, path):
 
 @query
 def stream_encounters(spark, path):
-    """Encounters of sender and receiver of heard shares, closed after two hours apart."""
+    """Encounters of sender and receiver of heard shares, closed after two hours apart.
+
+    Files of one epoch are in no order of time, so they must come in one batch: a watermark would drop rows of later files.
+    """
     heard, out = heard_table(spark, path), batches.work_dir(spark)
-    contacts = stateless.subscribe(spark, heard, spark.read.parquet(heard).schema).select(
+    contacts = stateless.subscribe(spark, heard, spark.read.parquet(heard).schema, files_per_trigger=None).select(
         "run_id", F.least("sender_id", "receiver_id").alias("i"), F.greatest("sender_id", "receiver_id").alias("j"), "ts")
     finished(stateless.stream_encounters(contacts, "2 hours"), batches.epoch_writer(f"{out}/table"), "append", out)
     return spark.read.parquet(f"{out}/table").select("run_id", "i", "j", us("start").alias("start_us"), us("end").alias("end_us"), "n_contacts")

@@ -58,11 +58,14 @@ def stream_encounters(contacts: DataFrame, gap: str = "30 seconds", late: str =
 
 
 def subscribe(spark: SparkSession, path: str, schema: T.StructType, since: datetime | None = None,
-              files_per_trigger: int = 10, time: str = "ts", **options) -> DataFrame:
+              files_per_trigger: int | None = 10, time: str = "ts", **options) -> DataFrame:
     """Volatile subscription to a folder of parquet files: nothing from before ``since``, a bounded batch at a time.
 
+    Files come by the time they were written, whatever times their rows hold: where rows of later files may be older than
+    the watermark allows, None takes all there is as one batch.
     On a Kafka source the same is ``startingOffsets=latest`` with ``maxOffsetsPerTrigger``.
     """
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).options(**options)
-              .parquet(path).withColumn(time, F.col(time).cast("timestamp")))
+    bound = {} if files_per_trigger is None else {"maxFilesPerTrigger": files_per_trigger}
+    stream = (spark.readStream.schema(schema).options(**bound, **options).parquet(path)
+              .withColumn(time, F.col(time).cast("timestamp")))
     return stream if since is None else stream.where(F.col(time) >= F.lit(since))

@@ -12,7 +12,7 @@ MANY = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartit
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b"}
 
 
-@pytest.mark.parametrize("name", ["stream_convergence"])
+@pytest.mark.parametrize("name", ["stream_convergence", "stream_encounters"])
 def test_many_files(spark, name):
     before = {key: spark.conf.get(key, None) for key in MANY}
     try:
@@ -35,7 +35,7 @@ def ties(path, source):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["stream_convergence"])
+@pytest.mark.parametrize("name", ["stream_convergence", "stream_encounters"])
 def test_equal_times(spark, tmp_path, name):
     path = ties(tmp_path, "/root/testdata/sf0.001")
     assert differences(spark, connect(path), path, name, queries()[name], oracle_sql()[name]) == []
