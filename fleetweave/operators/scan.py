@@ -98,22 +98,6 @@ def following(df: DataFrame, keys: list[str], ts: str, tie: str, chunk_sec: floa
     return out.drop("_back", "_tie")
 
 
-def overlapping(df: DataFrame, ts: str, seconds: float, chunk_sec: float = HOUR) -> DataFrame:
-    """Cut rows into time chunks that each also hold the ``seconds`` before their start.
-
-    Adds ``_t`` (microseconds), ``_home`` (the row's own chunk) and the chunk; rows with chunk = ``_home`` are the originals.
-    """
-    width, span = int(seconds * 1_000_000), int(max(chunk_sec, seconds) * 1_000_000)
-    spread = F.sequence(F.col("_home"), F.floor((F.col("_t") + width) / span).cast("long"))
-    return (df.withColumn("_t", micros(ts)).withColumn("_home", F.floor(F.col("_t") / span).cast("long"))
-              .withColumn(CHUNK, F.explode(spread)))
-
-
-def trailing(keys: list[str], seconds: float):
-    """Window of the trailing ``seconds``, both ends included, inside ``overlapping`` chunks."""
-    return Window.partitionBy(*keys).orderBy("_t").rangeBetween(-int(seconds * 1_000_000), 0)
-
-
 def trailing_rows(df: DataFrame, keys: list[str], position: str, rows: int, aggregates: dict,
                   chunk_rows: int = 4096) -> DataFrame:
     """Aggregate over each row's trailing ``rows`` positions; a key has one row per ``position`` and may leave some out."""

@@ -142,3 +142,12 @@ def test_frozen_and_isolated(spark):
     assert frozen == {(1, 4, 3), (1, 4, 4), (1, 4, 5)}
     robots = spark.createDataFrame([("r", i) for i in range(5)], "run_id string, robot_id int")
     assert [r.robot_id for r in motion.isolated_robots(robots, pairs).collect()] == [3]
+
+
+def test_no_row_looks_at_its_whole_window(spark, at, monkeypatch):
+    """A frame that slides over the window costs every row all rows of its window; running counts do not."""
+    monkeypatch.setattr(motion, "cut_lineage", lambda df: df, raising=False)
+    samples = spark.createDataFrame([("r", 0, at(0.5 * k), k, 0.0, 0.0, 0.15) for k in range(40)], SAMPLES)
+    judged = motion.stuck(samples, samples, samples, 4.0, 0.05)
+    assert "RangeFrame" not in judged._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.stuck for r in judged.orderBy("ts").collect()] == [k >= 8 for k in range(40)]
