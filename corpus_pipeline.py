@@ -32,7 +32,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of every group linked by similarity 0.8 of five-word shingles; repeated rows are a group."""
+    """The first document of every group linked by similarity 0.8 of five-word shingles; repeated rows are a group.
+
+    Candidates are the groups of the SimHash index and, for what 64 bits can't reach, positional minima.
+    """
     return similar_texts.deduplicated(docs)
 
 

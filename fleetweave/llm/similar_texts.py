@@ -1,9 +1,11 @@
-"""Near-duplicate texts: exact Jaccard similarity of five-word shingles, for texts that positional minima bring together.
-
-A fingerprint is ``BANDS`` groups of ``ROWS`` positional minima of the hashed shingles; a position of two texts agrees
-with a chance that equals their similarity, so a pair at 0.8 shares a whole group with a chance of 0.99995, more above.
-Of the texts that share one, every pair that may reach 0.8 is verified on the shingles themselves, unless links found
-before connect it already: a prefix filter finds them without pairing all texts of a group.
+"""Near-duplicate texts: SimHash groups and positional minima bring texts together, their five-word shingles decide.
+
+Texts have a SimHash, and those that its byte-position index links (``simhash_dedup.links``) are a bucket. At a similarity
+of 0.8 two SimHashes differ in some ten bits of 64, more than the index reaches, so ``BANDS`` groups of ``ROWS``
+positional minima of the hashed shingles are buckets too: a position of two texts agrees with a chance that equals their
+similarity, so a pair at 0.8 shares a whole group with a chance of 0.99995, more above. Of the texts of a bucket, every
+pair that may reach 0.8 is verified on the shingles themselves, unless links found before connect it already: a prefix
+filter finds them without pairing all texts of a bucket.
 """
 from __future__ import annotations
 
@@ -13,6 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetweave.llm import simhash_dedup
 from fleetweave.llm.linking import components
 from fleetweave.llm.scratch import stored
 from fleetweave.llm.text import chunks, mix, release, span_hashes, texts_of, words_of
@@ -21,7 +24,7 @@ SHINGLE_WORDS = 5
 TIMES, PARTS = 4, 9  # similarity 0.8 or more is common * PARTS >= (size + size) * TIMES
 BANDS, ROWS = 25, 5
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
-_PRINT = "id long, digest long, node long, size int, keys array<long>"
+_PRINT = "id long, digest long, node long, size int, fp long, keys array<long>"
 _SET = "node long, size int, shingles array<long>"
 
 
@@ -56,7 +59,7 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, digest, node, size, keys) of every row; texts with the same shingles are one node, 0 if they have no words."""
+    """(id, digest, node, size, fp, keys) of every row; texts with the same shingles are one node, 0 if they have no words."""
     def run(batches):
         for batch in batches:
             texts = texts_of(batch.column(1))
@@ -67,10 +70,11 @@ def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 keys = [np.empty(0, np.uint64)] * len(sets)
                 for k, row in zip(full, _keys([sets[k] for k in full]) if len(full) else []):
                     keys[k] = row
+                prints = simhash_dedup.simhashes(texts[part], SHINGLE_WORDS).view(np.int64)
                 own = batch.slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays(
                     [own.column(0), own.column(2), pa.array(nodes.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()),
-                     _lists(keys)], names=["id", "digest", "node", "size", "keys"])
+                     pa.array(prints), _lists(keys)], names=["id", "digest", "node", "size", "fp", "keys"])
             release()
 
     text = F.col(text_col).cast("string")
@@ -147,14 +151,25 @@ def _new(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
-def _links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _entries(prints: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, node, size) of the buckets that a text lies in: the group of its SimHash, and those of its positional minima.
+
+    Texts of equal shingles that repeat them differently have SimHashes of their own; their node is in the group of each.
+    """
+    hashed = prints.where("size > 0").select("node", "size", "fp").distinct()
+    groups = components(simhash_dedup.links(hashed)).toDF("fp", "root")
+    near = hashed.join(groups, "fp", "left").select(F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("key"), "node", "size")
+    return near.distinct().unionByName(nodes.where("size > 0").select(F.explode("keys").alias("key"), "node", "size"))
+
+
+def _links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Pairs (a, b) of different nodes at similarity 0.8 or more that connect all such candidates.
 
     First the texts of a bucket are compared with its least one only, so a dense bucket costs one pair a text. What is
     then connected needs no further comparison. The texts of buckets that are still in several groups meet by prefix
     shingles (``_posts``): again with the first text of each only, then all that are still apart.
     """
-    entries = nodes.where("size > 0").select(F.explode("keys").alias("key"), "node", "size")
+    entries = stored(_entries(prints, nodes))
     heads = (entries.groupBy("key").agg(F.min(F.struct("node", "size")).alias("h"), F.count("*").alias("n"))
              .where("n > 1").select("key", "h.node", "h.size").toDF("key", "head", "head_size"))
     entries = stored(entries.join(heads, "key"))
@@ -199,7 +214,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     place = F.struct(F.col("id").isNull().alias("null"), "id", "digest")
     # a node's keys follow from it, so any of its rows has them
     nodes = stored(prints.groupBy("node").agg(F.min(place).alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    groups = components(_links(docs, nodes, id_col, text_col)).toDF("node", "root")
+    groups = components(_links(docs, prints, nodes, id_col, text_col)).toDF("node", "root")
     held = nodes.select("node", "least").join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
     kept = held.agg(F.min("least").alias("first")).select(F.col("first.id").alias("_kept_id"), F.col("first.digest").alias("_kept_digest"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *_row_key(docs, id_col, text_col))

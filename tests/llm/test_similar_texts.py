@@ -116,3 +116,19 @@ def test_the_stage_against_all_pairs(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     found = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
     assert found == brute_kept([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_the_simhash_index_names_candidates(spark):
+    """Without positional minima the groups of the SimHash index still bring close copies together."""
+    draw = random.Random(11)
+    rows = []
+    for k in range(12):
+        words = [f"w{draw.randrange(3000)}" for _ in range(2000)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-1], "edited"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = similar_texts._prints(docs, "doc_id", "text").withColumn("keys", F.array().cast("array<long>")).cache()
+    nodes = prints.groupBy("node").agg(F.min(F.struct(F.lit(False).alias("null"), "id", "digest")).alias("least"),
+                                       F.first("size").alias("size"), F.first("keys").alias("keys"))
+    ids = {r["node"]: r["id"] for r in prints.collect()}
+    linked = {frozenset((ids[r["a"]], ids[r["b"]])) for r in similar_texts._links(docs, prints, nodes, "doc_id", "text").collect()}
+    assert linked == {frozenset((2 * k, 2 * k + 1)) for k in range(12)}
