@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from fleetweave.functions.geometry import distance
 from fleetweave.operators import scan
-from fleetweave.session import cut_lineage
+from fleetweave.session import cut_lineage, written
 
 BLOCK = 4096
 # Cell edge per unit of radius, just under 1/sqrt(2): two points of one cell are always in range, so the candidates
 # a hot cell produces stay within a constant factor of the pairs it must report.
 CELL_EDGE = 0.7071
+# Cells of a join are somewhat wider than the radius, so all that a point reaches lies in nine. The points of
+# a quarter of a cell are in range of each other, so candidates stay within a constant factor here too.
+JOIN_EDGE = 1.1
 FARTHEST = 2.0 ** 62  # cells are numbered by longs
 
 
@@ -63,9 +66,9 @@ def near(left: DataFrame, right: DataFrame, keys: list[str], radius: float, cond
     the same points). ``how`` is inner or left_semi; a semi join may repeat a left row, so deduplicate on its id. Points
     that are null, not finite or past ``FARTHEST`` cells are near nothing.
     """
-    edge = radius * CELL_EDGE
+    edge = radius * JOIN_EDGE
     spot = [*keys, "_cx", "_cy"]
-    reach = range(-2, 3)
+    reach = range(-1, 2)
     steps = [(i, j) for i in reach for j in reach if once is None or (i, j) >= (0, 0)]
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps]))
 
@@ -137,12 +140,13 @@ def contacts_at(events: DataFrame, telemetry: DataFrame, comm_range: float = 3.0
     Returns the event columns with event position x, y and, for an inner join, peer_id and dist.
     """
     bucket = int(bucket_sec * 1_000_000)
-    # Events are few against telemetry and visited twice below: written once instead of looked up twice.
+    # Events are few against telemetry and visited several times below: written once instead of read or looked up again.
+    events = written(events)
     own = cut_lineage(positions_asof(telemetry, events, chunk_sec).where(F.col("x").isNotNull()))
     asked = own.select(*own.columns, scan.micros("ts").alias("_at"), F.col("x").alias("lx"), F.col("y").alias("ly"))
 
     first, last = F.min(scan.micros("ts")), F.max(scan.micros("ts"))
-    ends = events.groupBy("run_id").agg((last + 1).alias("_end"))
+    ends = own.groupBy("run_id").agg((last + 1).alias("_end"))
     reach = telemetry.groupBy("run_id").agg(first.alias("_start")).join(ends, "run_id").select(
         "run_id", scan.levels(F.col("_end") - F.col("_start"), bucket).alias("_top"))
     asked = (asked.join(reach, "run_id").withColumn("_level", F.explode(F.sequence(F.lit(0), "_top")))
@@ -156,6 +160,10 @@ def contacts_at(events: DataFrame, telemetry: DataFrame, comm_range: float = 3.0
              .withColumn("_block", F.explode(scan.cover(F.floor(F.col("_from") / bucket).cast("long"),
                                                         F.floor((F.col("_until") - 1) / bucket).cast("long"))))
              .select("*", F.col("_block.level").alias("_level"), F.col("_block.number").alias("_bucket")).drop("_block"))
+    spans = written(spans)
+    # An event is copied to the cells around it only in blocks that hold a span at all.
+    taken = spans.select("run_id", "_level", "_bucket").distinct()
+    asked = asked.join(taken, ["run_id", "_level", "_bucket"], "left_semi")
     valid = (F.col("peer_id") != F.col("robot_id")) & (F.col("_from") <= F.col("_at")) & (F.col("_at") < F.col("_until"))
     met = near(asked, spans, ["run_id", "_level", "_bucket"], comm_range, valid, how)
     if how == "left_semi":

@@ -1,0 +1,72 @@
+"""Steps that decide how work and memory grow with the tables."""
+from pyspark.sql import functions as F
+
+from fleetweave.operators import knowledge, proximity
+from fleetweave.session import TASK_SIZES, configure
+from fleetweave.sources import fixtures as fx
+
+SF = "/root/testdata/sf0.001"
+
+
+def scans(df, table):
+    return df._jdf.queryExecution().optimizedPlan().collectLeaves().mkString("|").count(table)
+
+
+def test_trade_edges_join_the_lines_once(spark):
+    assert scans(fx.edges(spark, SF), "l_orderkey") == 1
+
+
+def test_nodes_are_all_ends_of_the_edges(spark):
+    edges = fx.edges(spark, SF)
+    ends = edges.select("graph_id", F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    nodes = fx.nodes_of(edges, spark, SF).select("graph_id", "node_id")
+    assert ends.join(nodes, ["graph_id", "node_id"], "left_anti").count() == 0
+    assert nodes.count() == nodes.distinct().count()
+
+
+def test_task_sizes_are_bounded_unless_chosen(spark):
+    session = spark.newSession()
+    configure(session)
+    assert all(session.conf.get(name) == value for name, value in TASK_SIZES.items())
+    other, name = spark.newSession(), "spark.sql.files.maxPartitionBytes"
+    other.conf.set(name, "8m")
+    assert configure(other).conf.get(name) == "8m"
+
+
+def test_statistics_count_repeated_and_unnamed_nodes(spark):
+    nodes = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (1, None), (1, 9), (1, 9), (2, 1)], "graph_id long, node_id long")
+    edges = spark.createDataFrame([(1, 1, 2, 3), (1, 2, 1, None), (1, None, 1, 4), (3, 1, 2, 1)],
+                                  "graph_id long, src long, dst long, etype int")
+    found = {r["graph_id"]: tuple(r)[1:] for r in knowledge.graph_stats(nodes, edges).collect()}
+    assert found == {1: (6, 3, 2, 3), 2: (1, 0, 0, 1)}
+
+
+def test_events_of_contacts_are_read_once(spark, at):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    poses = spark.createDataFrame([("a", k % 2, k, at(k), float(k % 3), 0.0) for k in range(40)],
+                                  "run_id string, robot_id int, event_id long, ts timestamp, x double, y double")
+    shares = spark.createDataFrame([("a", 0, at(k), k) for k in range(5, 25)], "run_id string, sender_id int, ts timestamp, msg_id long")
+    heard = proximity.share_receivers(shares.mapInArrow(counted, shares.schema), poses).collect()
+    assert len(heard) == 20 and reads.value == 20
+
+
+def test_contacts_over_cell_borders_against_all_pairs(spark):
+    spots = [(k, (k * 37 % 101) * 0.11 - 5, (k * 53 % 97) * 0.13 - 6) for k in range(150)] + [(150, 1.1, 0.0), (151, 2.2, 0.0), (152, -1.1, 0.0)]
+    here = spark.createDataFrame([("a", *s) for s in spots], "run_id string, robot_id int, x double, y double")
+    found = {(r["i"], r["j"]) for r in proximity.in_range_pairs(here, 1.0).collect()}
+    brute = {(i, j) for i, x, y in spots for j, u, v in spots if i < j and ((x - u) ** 2 + (y - v) ** 2) ** 0.5 < 1.0}
+    assert found == brute
+
+
+def test_refusals_are_those_of_a_checked_compression(spark):
+    nodes = spark.createDataFrame([(1, 0, [1.0]), (1, 1, [1.0]), (2, 1, [1.0])], "graph_id long, node_id long, x array<double>")
+    edges = spark.createDataFrame([(1, 0, 1, 2), (2, 1, 5, 1)], "graph_id long, src long, dst long, etype int")
+    refused = knowledge.refused_graphs(nodes, edges)
+    assert [r["graph_id"] for r in refused.collect()] == [2]
+    assert refused.collect() == knowledge.compress_checked(nodes, edges)[3].collect()
