@@ -1,13 +1,15 @@
 """Byte-level BPE by a global distinct-word shuffle, and decoding by the token-byte table.
 
-Texts are cut into pre-tokens, each block of documents names its distinct pre-tokens once, and every distinct pre-token
-of the corpus is encoded once, in the slice where all blocks that hold it meet. Its ids return to these blocks, where
-the pre-tokens stand at their positions. Merges follow the ranks of the vocabulary file; nothing is trained here.
+Texts are cut into words and every distinct word of a block of documents once into pre-tokens. Each block names its
+distinct pre-tokens once, and every distinct pre-token of the corpus is encoded once, in the slice where all blocks that
+hold it meet. Its ids return to these blocks, where the pre-tokens stand at their positions. Merges follow the ranks of
+the vocabulary file; nothing is trained here.
 """
 from __future__ import annotations
 
 import base64
 import heapq
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -24,8 +26,14 @@ from fleetweave.llm.scratch import shuffle_width
 from fleetweave.llm.text import packed, release, unpacked
 
 DECODED_ROWS = 250  # decoded together
+# The pattern whose texts are cut into words first; a text under any other pattern is one word.
+WORDED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ENCODED = "id long, token_ids array<int>"
 _ENCODED = pa.schema([("id", pa.int64()), ("token_ids", pa.list_(pa.int32()))])
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_FILLED = ~_SPACE  # bytes that begin no white space; beyond ASCII, some of it begins with one of these four
+_FILLED[[0xC2, 0xE1, 0xE2, 0xE3]] = False
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -71,8 +79,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 def disputed(pattern: str) -> dict[int, str]:
     """Characters that the two regular-expression libraries class differently, with a stand-in that both class alike.
 
-    The libraries know different versions of Unicode. The public encoder decides, so its view of every code point is
-    read off once, on the driver.
+    The libraries know different versions of Unicode, and ``str.isalpha`` a third. The public encoder decides, so its view
+    of every code point is read off once, on the driver.
     """
     kinds = sorted(set(regex.findall(r"\\p\{\w+\}|\\s", pattern)))
     every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
@@ -83,6 +91,8 @@ def disputed(pattern: str) -> dict[int, str]:
         theirs.append(frozenset(bytes(encoder.encode_ordinary(every)).decode()))
         ours.append(frozenset(regex.findall(kind, every)))
     odd = frozenset().union(*(a ^ b for a, b in zip(theirs, ours)))
+    if r"\p{L}" in kinds:
+        odd |= theirs[kinds.index(r"\p{L}")] ^ frozenset(filter(str.isalpha, every))
     stand_ins = {tuple(c in k for k in ours): c for c in "a1!\t"}
     return {ord(c): stand_ins[tuple(c in k for k in theirs)] for c in odd}
 
@@ -97,7 +107,7 @@ def cutter(pattern: str, odd: dict[int, str]):
             return [text[m.start():m.end()] for m in span(text.translate(odd))]
         return find(text)
 
-    return cut
+    return cut if odd else find
 
 
 def _latin(text: str) -> bool:
@@ -116,11 +126,73 @@ class _Numbered(dict):
         return number
 
 
-def _distinct(block: Block, pattern: str, odd: dict[int, str]) -> tuple[list[np.ndarray], list[bytes]]:
-    """Every text as numbers of pre-tokens, and the distinct pre-tokens."""
-    numbers, cut = _Numbered(), cutter(pattern, odd)
-    rows = [np.fromiter(map(numbers.__getitem__, cut(t.decode())), np.int32) for t in block.texts]
-    return rows, [piece.encode() for piece in numbers]
+def words_of(texts: list[bytes], pattern: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """All texts as numbers of words, the place of each text's first word (and the end), and the distinct words.
+
+    A word's pre-tokens do not depend on what stands around it, and the words joined are the texts. Under ``WORDED`` the
+    last white space before other characters always begins a pre-token, and unless it is a blank it is one by itself: words
+    begin at both borders.
+    """
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    borders = np.cumsum([0, *map(len, texts)])
+    begins = np.zeros(len(data) + 1, bool)
+    if pattern == WORDED and len(data):
+        last = _SPACE[data[:-1]] & _FILLED[data[1:]]
+        inner = borders[(borders > 0) & (borders < len(data))]
+        last[inner - 1] = False  # what follows is another text
+        begins[:-2] = last
+        begins[1:-1] |= last & (data[:-1] != 32)
+    begins[borders] = True
+    edges = np.flatnonzero(begins)
+    buffers = [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)]
+    words = pa.Array.from_buffers(pa.large_string(), len(edges) - 1, buffers).dictionary_encode()
+    return words.indices.to_numpy(), np.searchsorted(edges, borders), words.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+
+@dataclass
+class _Cut:
+    """A block's texts as numbers of words, its distinct words as numbers of pre-tokens, its distinct pre-tokens."""
+
+    words: np.ndarray
+    firsts: np.ndarray  # place of each text's first word, and the number of words at the end
+    inside: np.ndarray  # pre-tokens of the distinct words, one word after the other
+    sizes: np.ndarray  # number of pre-tokens of each distinct word
+    pieces: list[bytes]
+
+
+def _distinct(block: Block, pattern: str, odd: dict[int, str]) -> _Cut:
+    words, firsts, distinct = words_of(block.texts, pattern)
+    seen = set("".join(distinct))
+    odd = {c: stand_in for c, stand_in in odd.items() if chr(c) in seen}
+    numbers, cut, sizes = _Numbered(), cutter(pattern, odd), []
+    simple = pattern == WORDED and not odd  # letters alone, with a blank before them or not, are one pre-token
+
+    def pieces():
+        for word in distinct:
+            if simple and (word[1:] if word[0] == " " else word).isalpha():
+                sizes.append(1)
+                yield word
+                continue
+            found = cut(word)
+            sizes.append(len(found))
+            yield from found
+
+    inside = np.fromiter(map(numbers.__getitem__, pieces()), np.int32)
+    return _Cut(words, firsts, inside, np.array(sizes, np.int64), [piece.encode() for piece in numbers])
+
+
+def _spread(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, row: np.ndarray, step: int = 1 << 18):
+    """The stretches of ``flat`` that a row of numbers names, in its order, some at a time so that little is held wide."""
+    for k in range(0, len(row), step):
+        part = row[k:k + step]
+        lengths = sizes[part]
+        upto = np.cumsum(lengths)
+        yield flat[np.repeat(starts[part] - upto + lengths, lengths) + np.arange(int(upto[-1]))]
+
+
+def _sums(sizes: np.ndarray) -> np.ndarray:
+    """Zero and the running totals."""
+    return np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
 
 
 def _slices(pieces: list[bytes], width: int) -> np.ndarray:
@@ -129,7 +201,7 @@ def _slices(pieces: list[bytes], width: int) -> np.ndarray:
 
 def _ask(pattern: str, odd: dict[int, str], width: int):
     def question(block: Block) -> dict[int, bytes]:
-        _, pieces = _distinct(block, pattern, odd)
+        pieces = _distinct(block, pattern, odd).pieces
         where = _slices(pieces, width)
         out = {}
         for k in np.unique(where).tolist():
@@ -163,27 +235,25 @@ def _answer(ranks):
 
 def _assemble(pattern: str, odd: dict[int, str], width: int):
     def settle(block: Block, answers: dict[int, bytes]) -> pa.Table:
-        rows, pieces = _distinct(block, pattern, odd)
-        where = _slices(pieces, width)
-        sizes, parts = np.zeros(len(pieces), np.int64), {}
+        made = _distinct(block, pattern, odd)
+        where = _slices(made.pieces, width)
+        sizes, parts = np.zeros(len(made.pieces), np.int64), {}
         for k, body in answers.items():
             n = int(np.frombuffer(body, np.int64, 1)[0])
             sizes[where == k] = unpacked(body[8:8 + 4 * n], np.uint32)
             parts[k] = unpacked(body[8 + 4 * n:], np.uint32)
-        starts = np.concatenate(([0], np.cumsum(sizes)))
+        starts = _sums(sizes)
         flat = np.empty(int(starts[-1]), np.int32)
         for k, ids in parts.items():
             mine = np.flatnonzero(where == k)
-            own = np.repeat(starts[mine] - np.concatenate(([0], np.cumsum(sizes[mine])[:-1])), sizes[mine])
+            own = np.repeat(starts[mine] - _sums(sizes[mine])[:-1], sizes[mine])
             flat[own + np.arange(len(ids))] = ids
-        tokens, counts = [], []
-        for row in rows:  # one text at a time, so that only one is held in wide numbers
-            lengths = sizes[row]
-            upto = np.cumsum(lengths)
-            counts.append(int(upto[-1]) if len(row) else 0)
-            tokens.append(flat[np.repeat(starts[row] - upto + lengths, lengths) + np.arange(counts[-1])])
-        offsets = np.cumsum([0, *counts])
-        tokens = np.concatenate([*tokens, np.empty(0, np.int32)])
+        none = np.empty(0, np.int32)
+        borders = _sums(sizes[made.inside])[_sums(made.sizes)]  # of each distinct word's tokens
+        inside = np.concatenate([none, *_spread(flat, starts, sizes, made.inside)])
+        lengths = np.diff(borders)
+        tokens = np.concatenate([none, *_spread(inside, borders, lengths, made.words)])
+        offsets = _sums(lengths[made.words])[made.firsts]
         lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens))
         return pa.Table.from_arrays([pa.array(block.ids, mask=block.nulls), lists], schema=_ENCODED)
     return settle
@@ -217,15 +287,9 @@ class _TokenTable:
         known = (ids >= 0) & (ids < len(self.sizes))
         return np.where(known, self.sizes[np.where(known, ids, 0)], -1)
 
-    def bytes_of(self, ids: np.ndarray, step: int = 1 << 18) -> bytes:
-        """The bytes of known ids, some at a time so that little is held."""
-        out = []
-        for k in range(0, len(ids), step):
-            part = ids[k:k + step]
-            sizes = self.sizes[part]
-            ends = np.cumsum(sizes)
-            out.append(self.data[np.repeat(self.starts[part] - ends + sizes, sizes) + np.arange(int(ends[-1]))].tobytes())
-        return b"".join(out)
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        """The bytes of known ids."""
+        return b"".join(part.tobytes() for part in _spread(self.data, self.starts, self.sizes, ids))
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "token_ids", name: str = "data") -> DataFrame:

@@ -1,4 +1,5 @@
 """Encoding against the public library on the same ranks, and the exact round trip."""
+import numpy as np
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -6,6 +7,7 @@ from hypothesis import strategies as st
 from public_tokenizers import PATTERN, path
 
 from fleetweave.llm import byte_bpe
+from fleetweave.llm.blocks import Block
 
 FILE = path("byte_bpe_multi_50k.tiktoken")
 RANKS = byte_bpe.read_ranks(FILE)
@@ -67,3 +69,56 @@ def test_unknown_ids_decode_to_null(spark):
     rows = spark.createDataFrame([(1, [5]), (2, [99999999]), (3, None), (4, [])], "data long, ids array<int>")
     out = {i: r for i, r in enumerate(byte_bpe.decode(rows, FILE, "ids", "plain").orderBy("data").collect())}
     assert [r["plain"] is None for r in out.values()] == [False, True, True, False]
+
+
+ODD = byte_bpe.disputed(PATTERN)
+SPACES = "\t\n\v\f\r \x1c\x1f\x85\xa0\u1680\u2003\u200b\u2028\u202f\u205f\u3000"
+
+
+def pieces_of(texts, pattern=PATTERN):
+    """The pre-tokens of each text of a block."""
+    block = Block(0, np.arange(len(texts)), np.zeros(len(texts), bool), [t.encode() for t in texts], 0)
+    made = byte_bpe._distinct(block, pattern, ODD)
+    ends = np.cumsum(made.sizes)
+    of_word = [[made.pieces[i].decode() for i in made.inside[e - n:e]] for e, n in zip(ends, made.sizes)]
+    return [[p for w in made.words[a:b] for p in of_word[w]] for a, b in zip(made.firsts, made.firsts[1:])]
+
+
+def test_a_block_cuts_each_distinct_word_once(monkeypatch):
+    """Few words fill many texts: what is cut into pre-tokens follows the words, not the texts."""
+    seen, cutter = [], byte_bpe.cutter
+
+    def counting(*args):
+        cut = cutter(*args)
+        return lambda text: seen.append(len(text)) or cut(text)
+
+    monkeypatch.setattr(byte_bpe, "cutter", counting)
+    texts = [f"It's a one-word, two-word test.\nOver {i % 10} and over; " for i in range(2000)]
+    block = Block(0, np.arange(2000), np.zeros(2000, bool), [t.encode() for t in texts], 0)
+    byte_bpe._ask(PATTERN, ODD, 4)(block)
+    assert sum(seen) < 200
+
+
+def test_the_pattern_of_words_is_the_public_one():
+    assert byte_bpe.WORDED == PATTERN
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.text(alphabet=SPACES + "ab'st1.\u00e9\u00ab\u201c\u1ebf\u3042\U0001f600\u0301", max_size=24), max_size=6))
+def test_words_keep_the_pre_tokens_at_any_white_space(library, texts):
+    whole = byte_bpe.cutter(PATTERN, ODD)
+    assert pieces_of(texts) == [whole(t) for t in texts]
+    for text, pieces in zip(texts, pieces_of(texts)):
+        assert [i for p in pieces for i in byte_bpe.merge(p.encode(), RANKS)] == library.encode_ordinary(text)
+
+
+def test_words_of_every_code_point_keep_the_pre_tokens():
+    whole = byte_bpe.cutter(PATTERN, ODD)
+    for start in range(0, 0x110000, 9973):
+        some = [chr(c) for c in range(start, min(start + 9973, 0x110000)) if not 0xD800 <= c < 0xE000]
+        texts = ["".join(f"{c}  {c}\n{c}" for c in some), " ".join(some)]
+        assert pieces_of(texts) == [whole(t) for t in texts]
+
+
+def test_another_pattern_cuts_whole_texts():
+    assert pieces_of(["ab  cd ab", "", "x"], r"\w\w|\s+|\w") == [["ab", "  ", "cd", " ", "ab"], [], ["x"]]
