@@ -96,8 +96,16 @@ def _ask_anchors(width: int):
 def _answer_anchors(bodies: list[bytes]) -> list[bytes]:
     held = [_values(b) for b in bodies]
     every = np.sort(np.concatenate(held))
-    shared = every[1:][every[1:] == every[:-1]]
-    return [np.packbits(np.isin(h, shared)).tobytes() for h in held]
+    shared = np.unique(every[1:][every[1:] == every[:-1]])
+    # every block looks its own hashes up: np.isin would sort all shared ones again for each block
+    return [np.packbits(_among(h, shared)).tobytes() for h in held]
+
+
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values the ascending array holds."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
 class _Passages:

@@ -1,5 +1,8 @@
 """Removed words against a brute-force reading of the definition."""
 import random
+import time
+
+import numpy as np
 
 from fleetweave.llm import substring_dedup
 from fleetweave.llm.substring_dedup import COVER, PERIOD, WINDOW
@@ -67,3 +70,15 @@ def test_shared_passages_at_all_offsets(spark):
             words[at:at] = draw.choice(passages)
         rows.append((draw.randrange(120), " ".join(words)))
     same(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_answers_cost_what_their_blocks_hold():
+    """Many small blocks that share all anchors: a block's answer must not cost what all blocks share."""
+    draw = np.random.default_rng(2)
+    anchors = np.sort(draw.integers(0, 1 << 63, 100_000).astype(np.uint64))
+    blocks = [anchors[k % 1000::1000] for k in range(2000)] + [np.array([7], np.uint64), np.empty(0, np.uint64)]
+    began = time.process_time()
+    answers = substring_dedup._answer_anchors([substring_dedup._steps(b) for b in blocks])
+    assert time.process_time() - began < 4
+    shared = substring_dedup._bits(dict(enumerate(answers)), np.array([len(b) for b in blocks]))
+    assert shared.tolist() == [True] * 200_000 + [False]
