@@ -96,7 +96,8 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     # the tally reaches the minimum by meeting at all; the lowest shared positions name the one posting that reports it
     first = meets.bitwiseXOR(rest) == F.col("code")
     near = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= radius) & first
-    return a.join(b, ["code", "bytes"]).where(near).select("a", "b")
+    # Spark sizes the index like the fingerprints it is unfolded from, 70 times too low, and would broadcast it whole
+    return a.hint("merge").join(b.hint("merge"), ["code", "bytes"]).where(near).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS,

@@ -73,3 +73,12 @@ def test_links_are_all_pairs_within_the_radius(spark):
     expected = {(min(signed[a], signed[b]), max(signed[a], signed[b])) for a, b in combinations(prints, 2)
                 if (a ^ b).bit_count() <= 4}
     assert len(pairs) == len(set(pairs)) and set(pairs) == expected
+
+
+def test_the_index_is_never_broadcast(spark, tmp_path):
+    """It unfolds every fingerprint seventy times, so its estimated size says nothing of what the driver would hold."""
+    spark.range(300).selectExpr("xxhash64(id) as fp").write.parquet(f"{tmp_path}/prints")
+    found = simhash_dedup.links(spark.read.parquet(f"{tmp_path}/prints"))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
