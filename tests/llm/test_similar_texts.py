@@ -132,3 +132,19 @@ def test_the_simhash_index_names_candidates(spark):
     ids = {r["node"]: r["id"] for r in prints.collect()}
     linked = {frozenset((ids[r["a"]], ids[r["b"]])) for r in similar_texts._links(docs, prints, nodes, "doc_id", "text").collect()}
     assert linked == {frozenset((2 * k, 2 * k + 1)) for k in range(12)}
+
+
+def test_the_index_of_all_texts_is_never_broadcast(spark, tmp_path, monkeypatch):
+    """Its estimated size is that of the fingerprints it is unfolded from, so Spark would send it through the driver."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(8))) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    plans, found = [], similar_texts.components
+
+    def watched(pairs):
+        pairs.collect()
+        plans.append(pairs._jdf.queryExecution().executedPlan().toString())
+        return found(pairs)
+
+    monkeypatch.setattr(similar_texts, "components", watched)
+    assert similar_texts.deduplicated(spark.read.parquet(f"{tmp_path}/docs")).count() == 200
+    assert "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
